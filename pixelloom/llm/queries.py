@@ -5,10 +5,14 @@ from __future__ import annotations
 from pixelloom.llm.mixing import op5_mixing
 from pixelloom.llm.quality import op9_quality
 from pixelloom.llm.sharding import op3_sharding
+from pixelloom.llm.simhash import op6_simhash
+from pixelloom.llm.warc import op8_warc
 
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op5_mixing": op5_mixing,
+    "op6_simhash": op6_simhash,
+    "op8_warc": op8_warc,
     "op9_quality": op9_quality,
 }
 
@@ -39,4 +43,13 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(rep.n, 0) a
 from f left join rep using (rid) left join gone using (rid)
 """
 
-ORACLE_SQL = {"op9_quality": OP9_SQL}
+OP8_SQL = r"""
+with p as (select page_id, encode(coalesce(html, '')) as b, sha1(coalesce(html, '')) as d from pages),
+m as (select d, max(page_id) as first from p where octet_length(b) >= 1000 group by d)
+select page_id, octet_length(b)::bigint as payload_bytes, d as payload_digest,
+       case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+       case when first <> page_id then first end as refers_to
+from p left join m using (d)
+"""
+
+ORACLE_SQL = {"op8_warc": OP8_SQL, "op9_quality": OP9_SQL}
