@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pixelloom.llm.decontaminate import op2_decontaminate
+from pixelloom.llm.html import op7_html
 from pixelloom.llm.mixing import op5_mixing
 from pixelloom.llm.quality import op9_quality
 from pixelloom.llm.sharding import op3_sharding
@@ -9,9 +11,11 @@ from pixelloom.llm.simhash import op6_simhash
 from pixelloom.llm.warc import op8_warc
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_sharding": op3_sharding,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
+    "op7_html": op7_html,
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
 }
