@@ -127,9 +127,9 @@ def inner_rows(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
 
 
 def _softmax_log(table: np.ndarray, rows: np.ndarray, bias: np.ndarray | None) -> np.ndarray:
-    z = table[rows[0]]
+    z = np.take(table, rows[0], axis=0, mode="clip")
     for r in rows[1:]:
-        z += table[r]
+        z += np.take(table, r, axis=0, mode="clip")
     if bias is not None:
         z += bias
     z -= z.max(1, keepdims=True)
@@ -142,7 +142,7 @@ def _step(table: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.nda
         order = np.argsort(r.astype(np.uint16), kind="stable")
         key = r[order]
         first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
-        g = np.add.reduceat(grad[order], first, axis=0)
+        g = np.add.reduceat(np.take(grad, order, axis=0, mode="clip"), first, axis=0)
         u = key[first]
         squares[u] += g * g
         table[u] += RATE * g / np.sqrt(squares[u] + 1e-6)
