@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from pixelloom.llm.decontaminate import op2_decontaminate
 from pixelloom.llm.html import op7_html
+from pixelloom.llm.maxent import op1_lm
 from pixelloom.llm.mixing import op5_mixing
 from pixelloom.llm.quality import op9_quality
 from pixelloom.llm.sharding import op3_sharding
 from pixelloom.llm.simhash import op6_simhash
+from pixelloom.llm.substrings import op4_substrings
+from pixelloom.llm.toxicity import op10_toxicity
 from pixelloom.llm.warc import op8_warc
 
 QUERIES = {
+    "op1_lm": op1_lm,
     "op2_decontaminate": op2_decontaminate,
     "op3_sharding": op3_sharding,
+    "op4_substrings": op4_substrings,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op7_html": op7_html,
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: Words and windows are counted anew here, from texts; ``sig`` names a document by its other lines.
