@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import documents, drop_table, staged
+from pixelloom.llm.common import documents, release, staged
 
 #: Bytes of a repeated string, and of the grams that anchors are chosen from.
 LENGTH, GRAM = 50, 16
@@ -21,9 +22,10 @@ FILTER_BITS = 1 << 29
 RANGES = 64
 #: Distinct segments of one anchor that a suffix order is made of; anchors with more are split by string.
 BUCKET = 20_000
-#: Bytes that are scanned at a time, and strings sorted at a time.
+#: Bytes that are scanned at a time.
 SLICE = 1 << 17
-CHUNK = 200_000
+#: Bits of a text's hash in ``at``, which tells texts of one id apart.
+HASH_BITS = 23
 LOCAL = 24  # bits of a position within what is scanned at a time
 PIECE = 1 << 22
 
@@ -109,6 +111,8 @@ def _scan(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
 
 
 def slots(h: np.ndarray) -> np.ndarray:
+    """Filter slots of hashes, which are mixed anew: anchors are small hashes."""
+    h = _mix(h * np.uint64(0x9E3779B97F4A7C15))
     return (h >> np.uint64(64 - FILTER_BITS.bit_length() + 1)).astype(np.int64)
 
 
@@ -125,8 +129,8 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.int64)[gaps != 65535]
 
 
-def seen_filter(hashed: DataFrame, times: int) -> np.ndarray:
-    """Bits (FILTER_BITS) of slots that ``hashed`` (range int, slots binary) names at least ``times`` (1 or 2) times."""
+def seen_filter(hashed: DataFrame, times: int) -> Broadcast:
+    """Bits (FILTER_BITS, compressed) of slots that ``hashed`` (range int, slots binary) names at least ``times`` (1 or 2) times."""
     width = FILTER_BITS // RANGES
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +148,11 @@ def seen_filter(hashed: DataFrame, times: int) -> np.ndarray:
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r, bits in hashed.repartition(RANGES, "range").mapInArrow(merge, "range int, bits binary").collect():
         out[r * width // 8 : (r + 1) * width // 8] = np.frombuffer(bits, np.uint8)
-    return out
+    return hashed.sparkSession.sparkContext.broadcast(pa.compress(out, codec="zstd", asbytes=True))
+
+
+def _bits(shared: Broadcast) -> np.ndarray:
+    return np.frombuffer(pa.decompress(shared.value, FILTER_BITS // 8, codec="zstd"), np.uint8)
 
 
 def _has(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -159,6 +167,71 @@ def _emit(all_slots: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([pack(s[cut[r] : cut[r + 1]] - r * width) for r in part], pa.binary())], ["range", "slots"])
 
 
+def bucket(ah: np.ndarray) -> np.ndarray:
+    """32 bits of anchor hashes; anchors that agree in them merely share a bucket."""
+    return (_mix(ah * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Number of each row's run of equal keys."""
+    new = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.cumsum(new)
+
+
+def _rows(ah: np.ndarray, sh: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Segments of a task's texts. ``known``: a smaller document here has the same, so the row goes.
+
+    This pre-aggregates before the shuffle: however many copies there are, the
+    bucket of an anchor gets each content from a batch once.
+    """
+    order = np.lexsort((doc, sh, ah))
+    ah, sh, doc, at = ah[order], sh[order], doc[order], at[order]
+    g = _groups(ah, sh)
+    known = doc > doc[np.searchsorted(g, np.arange(g[-1] + 1))][g] if len(g) else np.zeros(0, bool)
+    return pa.RecordBatch.from_arrays([pa.array(ah), pa.array(sh), pa.array(doc), pa.array(at), pa.array(known)], ["ah", "sh", "doc", "at", "known"])
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Iterator[pa.Table]:
+    """Tables of about ``size`` bytes from batches in order of ``ah``, none of which cuts a bucket."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n < size:
+            continue
+        t = pa.Table.from_batches(held)
+        ah = t.column("ah").to_numpy()
+        cut = int(np.searchsorted(ah, ah[-1]))  # the last bucket may go on
+        if cut:
+            yield t.slice(0, cut)
+            t = t.slice(cut)
+        held, n = t.to_batches(), 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _judged(ah: np.ndarray, sh: np.ndarray, doc: np.ndarray, at: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+    """Which segments a smaller document has as a whole, and which must be compared string by string.
+
+    Known rows stand in any partition, so they are set aside first.
+    """
+    open_ = ~known
+    out = [(doc[known], at[known], np.ones(int(known.sum()), bool), np.zeros(int(known.sum()), bool), ah[known])]
+    ah, sh, doc, at = ah[open_], sh[open_], doc[open_], at[open_]
+    if len(ah):
+        seg, buck = _groups(ah, sh), _groups(ah)
+        whole = doc > doc[np.searchsorted(seg, np.arange(seg[-1] + 1))][seg]
+        first = np.searchsorted(buck, np.arange(buck[-1] + 2))
+        n_segs = seg[first[1:] - 1] - seg[first[:-1]] + 1
+        keep = whole | (n_segs[buck] > 1)
+        out.append((doc[keep], at[keep], whole[keep], n_segs[buck][keep] > BUCKET, ah[keep]))
+    doc, at, whole, hot, ah = (np.concatenate(c) for c in zip(*out, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(whole), pa.array(ah, mask=~hot)], ["doc", "at", "whole", "hot"])
+
+
 def longest_previous_factor(order: np.ndarray, lcp: np.ndarray, place: np.ndarray) -> np.ndarray:
     """For each suffix, the longest prefix it shares with a suffix of a smaller place.
 
@@ -217,38 +290,23 @@ def _runs(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _factors(rows: DataFrame) -> DataFrame:
-    """(rid, start, size) of repeated strings in rows (ah, part, doc, rid, lo), bucket by bucket."""
+    """(doc, hash, start, size) of repeated strings in rows (ah, part, doc, at), bucket by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def work(t: pa.Table) -> pa.RecordBatch:
-            parts = t.column("part").to_pylist()
-            row, start = repeated_starts(t.column("ah").to_numpy(), parts, t.column("doc").to_numpy())
+        for t in _whole_buckets(batches):
+            row, start = repeated_starts(t.column("ah").to_numpy(), t.column("part").to_pylist(), t.column("doc").to_numpy())
             row, start, n = _runs(row, start)
-            return pa.RecordBatch.from_arrays([pa.array(t.column("rid").to_numpy()[row]), pa.array(t.column("lo").to_numpy()[row] + start), pa.array(n)], ["rid", "start", "size"])
+            at = t.column("at").to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(t.column("doc").to_numpy()[row]), pa.array(at >> 40), pa.array((at >> 8 & (1 << 32) - 1) + start), pa.array(n)], ["doc", "hash", "start", "size"])
 
-        for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size < 16 * CHUNK:
-                continue
-            t = pa.Table.from_batches(held)
-            ah = t.column("ah").to_numpy()
-            cut = int(np.searchsorted(ah, ah[-1]))  # the last bucket may go on
-            if cut:
-                yield work(t.slice(0, cut))
-                t = t.slice(cut)
-            held, size = t.to_batches(), t.nbytes if cut else 0
-        if held:
-            yield work(pa.Table.from_batches(held))
-
-    return rows.repartition("ah").sortWithinPartitions("ah").mapInArrow(run, "rid long, start long, size long")
+    return rows.repartition("ah").sortWithinPartitions("ah").mapInArrow(run, "doc long, hash long, start long, size long")
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(rid, start, size): bytes of each row (rid, doc, text binary) that a smaller document has too.
+    """(doc, hash, start, size): bytes of each row (doc, hash, text binary) that a smaller document has too.
+
+    ``hash`` (HASH_BITS) tells texts of one id apart. A segment's place is one
+    number, ``at``: the hash, its first start (32 bits), its count (8 bits).
 
     1. A filter of fixed size learns which anchors occur twice; tasks send it
        packed slot numbers, about two bytes for 18 bytes of text.
@@ -273,62 +331,64 @@ def removals(docs: DataFrame) -> DataFrame:
                     held, size = [], 0
         yield _emit(held)
 
-    twice = spark.sparkContext.broadcast(seen_filter(docs.select("text").mapInArrow(anchors, "range int, slots binary"), 2))
-    names = ["ah", "sh", "doc", "rid", "at"]
+    twice = seen_filter(docs.select("text").mapInArrow(anchors, "range int, slots binary"), 2)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = twice.value
+        bits = _bits(twice)
         for b in batches:
-            doc, rid = b.column("doc").to_numpy(), b.column("rid").to_numpy()
+            doc, high = b.column("doc").to_numpy(), b.column("hash").to_numpy() << 40
+            found = []
             for k, first, count, ah, sh in scan(b.column("text").to_pylist()):
                 hit = _has(bits, slots(ah))
                 k = k[hit]
-                at = first[hit] << 8 | count[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ah[hit].view(np.int64), sh[hit].view(np.int64), doc[k], rid[k], at)], names)
-
-    rows = staged(docs.select("doc", "rid", "text").mapInArrow(shared, ", ".join(f"{n} long" for n in names)), "segments")
-    first = rows.groupBy("ah", "sh").agg(F.min("doc").alias("first"))
-    first = staged(first, "first")
-    many = first.groupBy("ah").agg(F.count("*").alias("n")).where("n > 1")
-    judged = rows.join(first.join(many, "ah", "left"), ["ah", "sh"]).where("doc > first or n > 1")
-    judged = staged(judged.select("rid", "at", (F.col("doc") > F.col("first")).alias("whole")), "judged")
-    hot = many.where(F.col("n") > BUCKET).select("ah", F.lit(True).alias("hot"))
-    hot = staged(hot, "hot")
-    drop_table(rows)
+                found.append((bucket(ah[hit]), sh[hit].view(np.int64), doc[k], high[k] | first[hit] << 8 | count[hit]))
+            if found:
+                yield _rows(*(np.concatenate(c) for c in zip(*found, strict=True)))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_buckets(batches):
+            yield _judged(*(t.column(c).to_numpy() for c in ("ah", "sh", "doc", "at", "known")))
+
+    rows = docs.select("doc", "hash", "text").mapInArrow(shared, "ah int, sh long, doc long, at long, known boolean")
+    rows = rows.repartition(F.when(F.col("known"), F.hash("doc", "at")).otherwise(F.col("ah"))).sortWithinPartitions("ah", "sh", "doc")
+    judged = staged(rows.mapInArrow(judge, "doc long, at long, whole boolean, hot int"), "judged")
+    hot = staged(judged.where("hot is not null").select(F.col("hot").alias("ah"), F.lit(True).alias("hot")).distinct(), "hot")
+    twice.destroy()
+    release(spark)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _emit([slots(_key(b.column("rid").to_numpy(), b.column("at").to_numpy()))])
+            yield _emit([slots(_key(b.column("doc").to_numpy(), b.column("at").to_numpy()))])
 
-    unsure = spark.sparkContext.broadcast(seen_filter(judged.where("not whole").select("rid", "at").mapInArrow(named, "range int, slots binary"), 1))
+    unsure = seen_filter(judged.where("not whole").select("doc", "at").mapInArrow(named, "range int, slots binary"), 1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = unsure.value, twice.value
+        bits = _bits(unsure)
         for b in batches:
             texts = b.column("text").to_pylist()
-            doc, rid = b.column("doc").to_numpy(), b.column("rid").to_numpy()
+            doc, high = b.column("doc").to_numpy(), b.column("hash").to_numpy() << 40
             for k, first, count, ah, _ in scan(texts):
-                at = first << 8 | count
-                hit = np.nonzero(_has(seen, slots(ah)))[0]
-                hit = hit[_has(bits, slots(_key(rid[k[hit]], at[hit])))]
+                at = high[k] | first << 8 | count
+                hit = np.nonzero(_has(bits, slots(_key(doc[k], at))))[0]
                 parts = [texts[j][f : f + c + LENGTH - 1] for j, f, c in zip(k[hit], first[hit], count[hit], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ah[hit].view(np.int64)), pa.array(parts, pa.binary()), pa.array(doc[k[hit]]), pa.array(rid[k[hit]]), pa.array(first[hit])], ["ah", "part", "doc", "rid", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket(ah[hit])), pa.array(parts, pa.binary()), pa.array(doc[k[hit]]), pa.array(at[hit])], ["ah", "part", "doc", "at"])
 
-    parts = docs.select("doc", "rid", "text").mapInArrow(cut, "ah long, part binary, doc long, rid long, lo long")
+    parts = docs.select("doc", "hash", "text").mapInArrow(cut, "ah int, part binary, doc long, at long")
+    start = F.shiftright("at", 8).bitwiseAND((1 << 32) - 1)
     if hot.isEmpty():
         found = _factors(parts)
     else:
         parts = staged(parts.join(hot, "ah", "left"), "parts")
         found = _factors(parts.where("hot is null").drop("hot"))
-        strings = parts.where("hot").select("doc", "rid", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("part") - (LENGTH - 1)), lambda i: F.substring("part", i, F.lit(LENGTH)))).alias("k", "string"), "lo")
+        strings = parts.where("hot").select("doc", "at", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("part") - (LENGTH - 1)), lambda i: F.substring("part", i, F.lit(LENGTH)))).alias("k", "string"))
         least = strings.groupBy("string").agg(F.min("doc").alias("least"))
-        found = found.union(strings.join(least, "string").where("doc > least").select("rid", (F.col("lo") + F.col("k")).alias("start"), F.lit(LENGTH).cast("long")))
-    whole = judged.where("whole").select("rid", F.shiftright("at", 8).alias("start"), (F.col("at").bitwiseAND(255) + (LENGTH - 1)).alias("size"))
+        found = found.union(strings.join(least, "string").where("doc > least").select("doc", F.shiftright("at", 40).alias("hash"), (start + F.col("k")).alias("start"), F.lit(LENGTH).cast("long")))
+    whole = judged.where("whole").select("doc", F.shiftright("at", 40).alias("hash"), start.alias("start"), (F.col("at").bitwiseAND(255) + (LENGTH - 1)).alias("size"))
     return whole.union(found)
 
 
-def _key(rid: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return _mix(_mix(rid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + at.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+def _key(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return _mix(_mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + at.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
 
 
 def strip_repeats(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -357,8 +417,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     gives no rows; other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("doc_id", text).alias("rid"), text.cast("binary").alias("text"))
-    spans = removals(rows).groupBy("rid").agg(F.collect_list(F.struct("start", "size")).alias("spans")).withColumnRenamed("rid", "of")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).bitwiseAND((1 << HASH_BITS) - 1).alias("hash"), text.cast("binary").alias("text"))
+    spans = removals(rows).groupBy(F.col("doc").alias("of"), F.col("hash").alias("of_hash")).agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -368,7 +428,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             n = [len(t) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([o[0] for o in out], pa.binary()), pa.array(n, pa.int64()), pa.array([m - len(o[0]) for m, o in zip(n, out, strict=True)], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    joined = rows.join(spans, rows["rid"] == spans["of"], "left").select("doc", "text", "spans")
+    joined = rows.join(spans, (rows["doc"] == spans["of"]) & (rows["hash"] == spans["of_hash"]), "left").select("doc", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
