@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelloom.llm.common import documents, words
@@ -70,12 +70,12 @@ def route(patterns: dict[tuple, int], quotas: dict[str | None, float], most: int
             at.setdefault(s, []).append(p)
         while True:
             # Paths start in the pattern whose next pass is cheapest; arcs between patterns and sources cost nothing.
-            best = None
+            best = none = object()  # a source may be None
             for cost in range(most):
                 starts = [p for p in part if used[p] < (cost + 1) * patterns[p] - 1e-6 and used[p] >= cost * patterns[p] - 1e-6]
-                came = {p: None for p in starts}
+                came = {p: none for p in starts}
                 queue = list(starts)
-                while queue and best is None:
+                while queue and best is none:
                     p = queue.pop(0)
                     for s in p:
                         if ("s", s) in came:
@@ -88,21 +88,21 @@ def route(patterns: dict[tuple, int], quotas: dict[str | None, float], most: int
                             if q not in came and flow[q, s] > 1e-6:
                                 came[q] = s
                                 queue.append(q)
-                if best is not None:
+                if best is not none:
                     break
-            if best is None:
+            if best is none:
                 break
             path, s = [], best
-            while s is not None:
+            while s is not none:
                 p = came["s", s]
                 path.append((p, s, came[p]))
                 s = came[p]
             first = path[-1][0]
             room = (int((used[first] + 1e-6) // patterns[first]) + 1) * patterns[first] - used[first]
-            push = min([left[best], room, *(flow[p, back] for p, _, back in path if back is not None)])
+            push = min([left[best], room, *(flow[p, back] for p, _, back in path if back is not none)])
             for p, s, back in path:
                 flow[p, s] += push
-                if back is not None:
+                if back is not none:
                     flow[p, back] -= push
             used[first] += push
             left[best] -= push
@@ -151,8 +151,6 @@ def mix(docs: DataFrame, seed: int = 11, members: str | None = None, quotas: dic
     plan_df = F.broadcast(spark.createDataFrame(plan, schema))  # MAX_PATTERNS rows at most
     rows = rows.join(plan_df, "pattern").withColumn("band", F.pmod("key", F.col("n_bands")))
     sums_ = rows.groupBy("pattern", "band").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
-    from pyspark.sql import Window
-
     sums_ = sums_.withColumn("until", F.sum("words").over(Window.partitionBy("pattern").orderBy("band")))
     ends = sums_.where((F.col("until") > F.col("need")) & (F.col("until") - F.col("words") <= F.col("need"))).groupBy("pattern").agg(F.min(F.struct("band", (F.col("need") - F.col("until") + F.col("words")).alias("rest"))).alias("e"))
     ends = F.broadcast(ends.select("pattern", F.col("e.band").alias("end_band"), F.col("e.rest").alias("rest")))  # one row a pattern
