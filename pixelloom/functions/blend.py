@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Rgb = tuple[Column, Column, Column]
@@ -72,17 +72,41 @@ def set_lum(c: Rgb, to: Column) -> Rgb:
     return tuple(F.when((high > 1) & (high > level), level + (v - level) * (1 - level) / (high - level)).otherwise(v) for v in c)
 
 
+#: Modes that give one colour the luminance of another: (colour, whose luminance).
+LUMINANCE_MODES: dict[str, Callable[[Rgb, Rgb], tuple[Rgb, Column]]] = {
+    "hue": lambda b, s: (set_sat(s, sat(b)), lum(b)),
+    "saturation": lambda b, s: (set_sat(b, sat(s)), lum(b)),
+    "color": lambda b, s: (s, lum(b)),
+    "luminosity": lambda b, s: (b, lum(s)),
+}
 NON_SEPARABLE: dict[str, Callable[[Rgb, Rgb], Rgb]] = {
-    "hue": lambda b, s: set_lum(set_sat(s, sat(b)), lum(b)),
-    "saturation": lambda b, s: set_lum(set_sat(b, sat(s)), lum(b)),
-    "color": lambda b, s: set_lum(s, lum(b)),
-    "luminosity": lambda b, s: set_lum(b, lum(s)),
+    **{m: lambda b, s, f=f: set_lum(*f(b, s)) for m, f in LUMINANCE_MODES.items()},
     "darkerColor": lambda b, s: tuple(F.when(lum(s) < lum(b), v).otherwise(u) for u, v in zip(b, s, strict=True)),
     "lighterColor": lambda b, s: tuple(F.when(lum(s) > lum(b), v).otherwise(u) for u, v in zip(b, s, strict=True)),
 }
 MODES = [*SEPARABLE, *NON_SEPARABLE]
 
 
+def blend_frame(df: DataFrame, mode: str, b: Rgb, s: Rgb) -> tuple[DataFrame, Rgb]:
+    """As ``blend``, but the luminance modes go step by step through columns of ``df``.
+
+    As one expression they would repeat each step several times in the next;
+    Catalyst keeps projections apart whose columns are used more than once.
+    """
+    if mode not in LUMINANCE_MODES:
+        return df, blend(mode, b, s)
+    color, to = LUMINANCE_MODES[mode](b, s)
+    m = tuple(F.col(f"m{k}") for k in range(3))
+    each = lambda f: {f"m{k}": f(v) for k, v in enumerate(m)}
+    df = df.withColumns({f"m{k}": v for k, v in enumerate(color)} | {"m_to": to})
+    df = df.withColumn("m_lum", lum(m))
+    df = df.withColumns(each(lambda v: v + (F.col("m_to") - F.col("m_lum"))))
+    df = df.withColumns({"m_lum": lum(m), "m_low": F.least(*m), "m_high": F.greatest(*m)})
+    level, low, high = F.col("m_lum"), F.col("m_low"), F.col("m_high")
+    df = df.withColumns(each(lambda v: F.when((low < 0) & (level > low), level + (v - level) * level / (level - low)).otherwise(v)))
+    return df.withColumns(each(lambda v: F.when((high > 1) & (high > level), level + (v - level) * (1 - level) / (high - level)).otherwise(v))), m
+
+
 def blend(mode: str, b: Rgb, s: Rgb) -> Rgb:
     """The mode is chosen while the plan is built; rows see one closed expression."""
     if mode in SEPARABLE:
@@ -90,14 +114,18 @@ def blend(mode: str, b: Rgb, s: Rgb) -> Rgb:
     return NON_SEPARABLE[mode](b, s)
 
 
-def composite(mode: str, b: Rgb, ab: Column, s: Rgb, as_: Column) -> tuple[Rgb, Column]:
-    """Source over backdrop with a blend mode; transparent black where nothing covers."""
+def source_over(mixed: Rgb, b: Rgb, ab: Column, s: Rgb, as_: Column) -> tuple[Rgb, Column]:
+    """Source over backdrop with a colour that is already blended; transparent black where nothing covers."""
     out = as_ + ab * (1 - as_)
-    mixed = blend(mode, b, s)
     rgb = tuple(F.when(out <= 0, F.lit(0.0)).otherwise(((1 - as_) * ab * u + as_ * ((1 - ab) * v + ab * m)) / out) for u, v, m in zip(b, s, mixed, strict=True))
     return rgb, out
 
 
+def composite(mode: str, b: Rgb, ab: Column, s: Rgb, as_: Column) -> tuple[Rgb, Column]:
+    """Source over backdrop with a blend mode."""
+    return source_over(blend(mode, b, s), b, ab, s, as_)
+
+
 def dissolve_noise(x: Column, y: Column) -> Column:
     """Position hash in 0...1: a product in double precision, wrapped to 32 bits."""
     mask = F.lit(0xFFFFFFFF)

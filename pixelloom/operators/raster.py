@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelloom.functions.blend import clamp, composite
+from pixelloom.functions.blend import blend_frame, clamp, source_over
 
 RGB = ("r", "g", "b")
 
@@ -221,7 +221,9 @@ def flatten(layers: list[tuple[DataFrame, str, float]]) -> DataFrame:
         px, mode, opacity = layer
         new = px.select("x", "y", *(F.col(c).alias(f"s{c}") for c in (*RGB, "a")))
         both = below.join(new, ["x", "y"], "full_outer").fillna(0)
-        rgb, a = composite(mode, tuple(F.col(c) for c in RGB), F.col("a"), tuple(F.col(f"s{c}") / 255 for c in RGB), F.col("sa") / 255 * opacity)
+        b, s = tuple(F.col(c) for c in RGB), tuple(F.col(f"s{c}") / 255 for c in RGB)
+        both, mixed = blend_frame(both, mode, b, s)
+        rgb, a = source_over(mixed, b, F.col("a"), s, F.col("sa") / 255 * opacity)
         return both.select("x", "y", *(v.alias(c) for v, c in zip(rgb, RGB, strict=True)), a.alias("a"))
 
     first, mode, opacity = layers[0]
