@@ -1,0 +1,163 @@
+"""Operators on neighbourhoods of dense rasters: windows along rows, then along columns.
+
+Rows and columns are the window partitions, so no pixel is sent to its
+neighbours by a join and nothing grows with the radius but the expression.
+Edges repeat the border pixel.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from pixelloom.operators.raster import RGB
+
+RGBA = (*RGB, "a")
+
+
+def _axis(axis: str) -> Window:
+    return Window.partitionBy("y" if axis == "x" else "x").orderBy(axis)
+
+
+def nine(px: DataFrame, columns: tuple = RGBA) -> DataFrame:
+    """Adds n_<column> for each column: the 3 x 3 values around the pixel, row by row."""
+    for axis in ("x", "y"):
+        w = _axis(axis)
+        if axis == "x":
+            px = px.select("*", *(F.array(F.coalesce(F.lag(c).over(w), F.col(c)), F.col(c), F.coalesce(F.lead(c).over(w), F.col(c))).alias(f"h_{c}") for c in columns))
+        else:
+            px = px.select("*", *(F.concat(F.coalesce(F.lag(f"h_{c}").over(w), F.col(f"h_{c}")), F.col(f"h_{c}"), F.coalesce(F.lead(f"h_{c}").over(w), F.col(f"h_{c}"))).alias(f"n_{c}") for c in columns))
+    return px.drop(*(f"h_{c}" for c in columns))
+
+
+def _straight(value: Column) -> Column:
+    """A premultiplied value (in 255 x 255) within its alpha, as straight 8 bits; halves go to even."""
+    v = F.least(F.col("a") * 255, F.greatest(F.lit(0), value)) / F.col("a")
+    return F.rint(v).cast("long")
+
+
+def convolve(px: DataFrame, kernel: tuple, scale: int) -> DataFrame:
+    """3 x 3 kernel (row by row) on premultiplied colour, which stays within alpha."""
+    pre = px.select("x", "y", "a", *((F.col(c) * F.col("a")).alias(c) for c in RGB))
+    at = nine(pre, RGB)
+    total = lambda c: sum(F.get(f"n_{c}", F.lit(i)) * k for i, k in enumerate(kernel) if k) / scale
+    return at.select("x", "y", *(F.when(F.col("a") == 0, F.lit(0).cast("long")).otherwise(_straight(total(c))).alias(c) for c in RGB), "a")
+
+
+def sharpen(px: DataFrame) -> DataFrame:
+    return convolve(px, (-1, -1, -1, -1, 12, -1, -1, -1, -1), 4)
+
+
+def sharpen_more(px: DataFrame) -> DataFrame:
+    return convolve(px, (-1, -1, -1, -1, 9, -1, -1, -1, -1), 1)
+
+
+def _straight_colors(px: DataFrame) -> DataFrame:
+    """Transparent pixels have no colour."""
+    return px.select("x", "y", *(F.when(F.col("a") == 0, F.lit(0)).otherwise(F.col(c)).cast("long").alias(c) for c in RGB), "a")
+
+
+def find_edges(px: DataFrame) -> DataFrame:
+    """Dark edges on white: one less half the Sobel magnitude of each channel."""
+    at = nine(_straight_colors(px), RGB)
+
+    def one(c: str) -> Column:
+        v = [F.get(f"n_{c}", F.lit(i)) for i in range(9)]
+        gx = v[2] + 2 * v[5] + v[8] - v[0] - 2 * v[3] - v[6]
+        gy = v[6] + 2 * v[7] + v[8] - v[0] - 2 * v[1] - v[2]
+        return F.rint(255 - F.least(F.lit(255.0), F.sqrt((gx * gx + gy * gy).cast("double")) / 2)).cast("long")
+
+    return at.select("x", "y", *(F.when(F.col("a") == 0, F.lit(0)).otherwise(one(c)).alias(c) for c in RGB), "a")
+
+
+def _median(c: str) -> Column:
+    return F.get(F.sort_array(f"n_{c}"), F.lit(4))
+
+
+def median(px: DataFrame) -> DataFrame:
+    """Median of the 3 x 3 values of each channel."""
+    return nine(px).select("x", "y", *(_median(c).alias(c) for c in RGBA))
+
+
+def dust_and_scratches(px: DataFrame, threshold: int = 20) -> DataFrame:
+    """The median where a channel differs from it by more than the threshold."""
+    return nine(px).select("x", "y", *(F.when(F.abs(F.col(c) - _median(c)) > threshold, _median(c)).otherwise(F.col(c)).alias(c) for c in RGBA))
+
+
+def kernel(sigma: float) -> list[float]:
+    """Gaussian weights from the centre outwards; both sides sum to one."""
+    half = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(math.ceil(3 * sigma) + 1)]
+    total = half[0] + 2 * sum(half[1:])
+    return [v / total for v in half]
+
+
+def _blurred(px: DataFrame, sigma: float) -> DataFrame:
+    """Adds g_<channel>: premultiplied values under a separable Gaussian."""
+    px = px.select("*", *((F.col(c) * F.col("a")).cast("double").alias(f"g_{c}") for c in RGB), (F.col("a") * 255).cast("double").alias("g_a"))
+    weights = kernel(sigma)
+    for axis in ("x", "y"):
+        w = _axis(axis)
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        side = lambda c, k: F.coalesce(F.lag(c, k).over(w), F.first(c).over(whole)) + F.coalesce(F.lead(c, k).over(w), F.last(c).over(whole))  # noqa: B023, E731
+        px = px.select(*(c for c in px.columns if not c.startswith("g_")), *((F.col(c) * weights[0] + sum(side(c, k) * v for k, v in enumerate(weights) if k)).alias(c) for c in (f"g_{c}" for c in RGBA)))
+    return px
+
+
+def gaussian(px: DataFrame, sigma: float = 0.6) -> DataFrame:
+    """Gaussian blur of colour and alpha for a sigma up to 12."""
+    g = _blurred(px, sigma)
+    empty = F.col("g_a") <= 127.5
+    return g.select("x", "y", *(F.when(empty, F.lit(0)).otherwise(F.rint(F.least(F.lit(255.0), F.col(f"g_{c}") * 255 / F.col("g_a")))).cast("long").alias(c) for c in RGB), F.when(empty, F.lit(0)).otherwise(F.rint(F.col("g_a") / 255)).cast("long").alias("a"))
+
+
+def _from_blur(px: DataFrame, sigma: float, one: Callable[[Column, Column], Column]) -> DataFrame:
+    at = _blurred(px, sigma)
+    return at.select("x", "y", *(F.when(F.col("a") == 0, F.lit(0).cast("long")).otherwise(_straight(one(F.col(c) * F.col("a"), F.col(f"g_{c}")))).alias(c) for c in RGB), "a")
+
+
+def unsharp_mask(px: DataFrame, amount: float = 0.5, sigma: float = 0.6, threshold: int = 10) -> DataFrame:
+    """Adds ``amount`` of the difference to a blur where that reaches the threshold."""
+    return _from_blur(px, sigma, lambda v, g: F.when(F.abs(v - g) / F.col("a") < threshold, v.cast("double")).otherwise(v + amount * (v - g)))
+
+
+def squared_distance(sel: DataFrame, inside: bool, reach: int) -> DataFrame:
+    """Adds d2: squared distance to the nearest pixel of coverage 128 or more (inside: less).
+
+    Exact up to ``reach``; null if none is that near. Along rows the nearest one
+    is the last or next marked; along columns a squared offset is added.
+    """
+    mark = F.col("cov") < 128 if inside else F.col("cov") >= 128
+    w = _axis("x")
+    before = F.last(F.when(mark, F.col("x")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(F.when(mark, F.col("x")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    rows = sel.withColumn("near", F.least(F.col("x") - before, after - F.col("x")))
+    rows = rows.withColumn("row2", F.col("near") * F.col("near"))
+    v = _axis("y")
+    steps = [F.col("row2"), *(f("row2", k).over(v) + k * k for k in range(1, reach + 1) for f in (F.lag, F.lead))]
+    return rows.withColumn("d2", F.least(*steps)).drop("near", "row2")
+
+
+def expand(sel: DataFrame, px: int = 3) -> DataFrame:
+    return squared_distance(sel, False, px).select("x", "y", F.when(F.col("d2") <= px * px, 255).otherwise(F.col("cov")).cast("long").alias("cov"))
+
+
+def contract(sel: DataFrame, px: int = 3) -> DataFrame:
+    return squared_distance(sel, True, px).select("x", "y", F.when(F.col("d2") <= px * px, 0).otherwise(F.col("cov")).cast("long").alias("cov"))
+
+
+def border(sel: DataFrame, px: int = 4) -> DataFrame:
+    """A hard band of ``px``: half of it on each side of the edge."""
+    both = squared_distance(sel, False, px // 2 + 1).withColumnRenamed("d2", "out2")
+    both = squared_distance(both, True, px // 2 + 1)
+    d = F.when(F.col("cov") >= 128, F.col("d2")).otherwise(F.col("out2"))
+    return both.select("x", "y", F.when(d <= px * px / 4, 255).otherwise(0).cast("long").alias("cov"))
+
+
+def smooth(sel: DataFrame) -> DataFrame:
+    """Majority of the 3 x 3 pixels; a tie selects."""
+    at = nine(sel.withColumn("on", (F.col("cov") >= 128).cast("long")), ("on",))
+    count = sum(F.get("n_on", F.lit(i)) for i in range(9))
+    return at.select("x", "y", F.when(count * 2 >= 9, 255).otherwise(0).cast("long").alias("cov"))

@@ -3,8 +3,9 @@ import os
 import duckdb
 import pytest
 
-from pixelloom.plans.queries import ORACLE_SQL, QUERIES
+from pixelloom.plans import more, queries
 
+QUERIES, ORACLE_SQL = queries.QUERIES | more.QUERIES, queries.ORACLE_SQL | more.ORACLE_SQL
 SF = "/root/testdata/sf0.001"
 
 
