@@ -91,7 +91,9 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk
     tile = reduce(lambda acc, c: acc * base + c + radius, ones, F.lit(0).cast("long"))
     tiled = fps.select("fp", tile.alias("tile"))
     sizes = tiled.groupBy("tile").agg(F.ceil(F.count("*") / chunk).cast("long").alias("n_chunks"))
-    chunks = tiled.join(sizes, "tile").groupBy("tile", F.pmod(F.xxhash64("fp"), F.col("n_chunks")).alias("chunk")).agg(F.collect_list("fp").alias("fps"))
+    # With up to 4 blocks there are at most 17 ** 4 tiles, so their sizes can be broadcast.
+    cut = tiled.join(F.broadcast(sizes) if blocks <= 4 else sizes, "tile").select("tile", F.pmod(F.xxhash64("fp"), F.col("n_chunks")).alias("chunk"), "fp")
+    chunks = cut.repartition("tile", "chunk").groupBy("tile", "chunk").agg(F.collect_list("fp").alias("fps"))  # dealt by chunk: tiles in the middle are large
     chunks = staged(chunks, "tiles")
     steps = [v for v in product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, v)) <= radius and v >= (0,) * blocks] if blocks <= 4 else _steps(blocks, radius)
     offsets = [sum(x * base ** (blocks - 1 - k) for k, x in enumerate(v)) for v in steps]
