@@ -3,9 +3,9 @@ import os
 import duckdb
 import pytest
 
-from pixelloom.plans import more, queries
+from pixelloom.plans import colors, more, queries
 
-QUERIES, ORACLE_SQL = queries.QUERIES | more.QUERIES, queries.ORACLE_SQL | more.ORACLE_SQL
+QUERIES, ORACLE_SQL = queries.QUERIES | more.QUERIES | colors.QUERIES, queries.ORACLE_SQL | more.ORACLE_SQL | colors.ORACLE_SQL
 SF = "/root/testdata/sf0.001"
 
 
