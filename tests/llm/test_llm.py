@@ -103,6 +103,24 @@ def test_simhash(docs, odd, empty):
     assert simhash.keep_one(odd).where("doc_id is not null").count() == len(set(left.values()))
 
 
+def test_near_dedup_stage_finds_similar_texts(spark):
+    rng = random.Random(6)
+    sets = lambda t: set(zip(*(t.split()[k:] for k in range(5))))
+    rows, close, apart = [], [], []
+    for n in range(24):
+        base = [rng.choice("abcdefgh") + str(rng.randint(0, 999)) for _ in range(300)]
+        for changes in ([3], [60, 200], [40, 90, 160, 210, 260], list(range(4, 300, 14))):
+            other = [f"new{rng.randint(0, 9999)}" if k in changes else w for k, w in enumerate(base)]
+            x, y = sets(" ".join(base)), sets(" ".join(other))
+            (close if len(x & y) >= 0.8 * len(x | y) else apart).append(len(rows))
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+            base = [w + "x" for w in base]
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert len(close) == 72 and len(apart) == 24
+    assert sum(i + 1 not in kept for i in close) >= 70
+    assert all({i, i + 1} <= kept for i in apart)
+
+
 @pytest.mark.parametrize("blocks", [2, 4, 8])
 def test_links_are_exact(spark, blocks):
     rng = np.random.default_rng(2)
