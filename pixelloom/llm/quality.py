@@ -19,7 +19,7 @@ MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 
 
-def base_features(docs: DataFrame) -> DataFrame:
+def base_features(docs: DataFrame, host: str = "source") -> DataFrame:
     """One row per row of ``docs`` with the counts of the base rules.
 
     All counts come from arrays within the row, so nothing is shuffled. Windows
@@ -29,12 +29,13 @@ def base_features(docs: DataFrame) -> DataFrame:
     step = docs.select(
         "doc_id",
         F.xxhash64(text).alias("text_hash"),
+        F.col(host).alias("host"),
         words(F.col("text")).alias("ws"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
     )
     step = step.select(
-        "doc_id", "text_hash", "n_symbols", "ws",
+        "doc_id", "text_hash", "host", "n_symbols", "ws",
         F.size("ws").cast("long").alias("n_words"),
         F.length(F.array_join("ws", "")).cast("long").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -68,17 +69,17 @@ def base_features(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame, host: str = "source") -> DataFrame:
-    """A row per line with a word: host, hash of the normalised line, its words, and ``sig``.
+    """A row per line with a word: host, hash of the normalised line, its place in the text, its words, and ``sig``.
 
     ``sig`` says which document has the line: the smallest MD5 prefix among its
     other lines (-1 if there is none). Copies and near copies of a document agree in it and count once.
     """
     clean = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.lower(F.trim(F.regexp_replace(x, SPACE, " "))))
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.col(host).alias("host"), F.filter(clean, lambda x: x != "").alias("lines"))
-    rows = rows.withColumn("hashed", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long").alias("m"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"))))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.col(host).alias("host"), F.filter(F.transform(clean, lambda x, i: F.struct(x.alias("l"), i.alias("pos"))), lambda x: x["l"] != "").alias("lines"))
+    rows = rows.withColumn("hashed", F.transform("lines", lambda x: F.struct(F.xxhash64(x["l"]).alias("h"), F.conv(F.substring(F.md5(x["l"]), 1, 15), 16, 10).cast("long").alias("m"), (F.length(x["l"]) - F.length(F.replace(x["l"], F.lit(" "), F.lit(""))) + 1).alias("w"), x["pos"].alias("pos"))))
     rows = rows.withColumn("least", F.slice(F.sort_array(F.array_distinct(F.col("hashed.m"))), 1, 2))
     rows = rows.select("doc_id", "text_hash", "host", "least", F.explode("hashed").alias("x"))
-    return rows.select("doc_id", "text_hash", "host", F.col("x.h").alias("h"), F.col("x.w").cast("long").alias("w"), F.when(F.get("least", F.lit(0)) == F.col("x.m"), F.get("least", F.lit(1))).otherwise(F.get("least", F.lit(0))).alias("sig"))
+    return rows.select("doc_id", "text_hash", "host", F.col("x.h").alias("h"), F.col("x.pos").alias("pos"), F.col("x.w").cast("long").alias("w"), F.when(F.get("least", F.lit(0)) == F.col("x.m"), F.get("least", F.lit(1))).otherwise(F.get("least", F.lit(0))).alias("sig"))
 
 
 def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -89,34 +90,44 @@ def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DO
     return counts.join(hosts, counts["host"].eqNullSafe(hosts["of"])).where(F.col("n") > max_share * F.col("docs")).select("host", "h")
 
 
-def quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
+def verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
+    """The rows of ``quality`` with ``text_hash``, ``host`` and ``gone``, the places of the frequent lines (null: none)."""
+    bad = frequent_lines(docs, host, min_docs, max_share).select(F.col("host").alias("bad_host"), F.col("h").alias("bad_h"))
+    rows = line_rows(docs, host)
+    hit = rows.join(bad, (rows["h"] == bad["bad_h"]) & rows["host"].eqNullSafe(bad["bad_host"]))
+    #: Rows of one text can be repeated: a set of places counts each line once.
+    hit = hit.groupBy(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), F.col("host").alias("hit_host")).agg(F.collect_set(F.struct("pos", "w")).alias("hits"))
+    out = base_features(docs, host)
+    out = out.join(hit, out["doc_id"].eqNullSafe(hit["hit_id"]) & (out["text_hash"] == hit["hit_hash"]) & out["host"].eqNullSafe(hit["hit_host"]), "left")
+    out = out.withColumn("n_removed_words", F.coalesce(F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["w"]), F.lit(0).cast("long")))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_removed_words") <= max_removed * F.col("n_words")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words", "text_hash", "host", F.col("hits.pos").alias("gone"))
+
+
+def quality(docs: DataFrame, **limits) -> DataFrame:
     """Base counts and the verdict ``kept`` for each row of ``docs``.
 
     Lines are normalised (lower case, white space squeezed) and hashed, distinct
-    documents are counted per host and line, lines above the limits are removed,
-    and a document is rejected if they held more than ``max_removed`` of its
-    words. Cases: a null text has no words and fails the base rules; a null host
-    is a host; rows with the same doc_id and text get the same verdict, and
+    documents are counted per host and line, words of lines above the limits are
+    counted as removed, and a document is rejected if they are more than
+    ``max_removed`` of its words; ``keep_good`` takes the lines out of the texts.
+    Cases: a null text has no words and fails the base rules; a null host is a
+    host; rows with the same doc_id, text and host get the same verdict, and
     repeated rows stay; an empty table gives an empty result; other columns of
     ``docs`` are not read.
     """
-    bad = frequent_lines(docs, host, min_docs, max_share).select(F.col("host").alias("bad_host"), F.col("h").alias("bad_h"))
-    rows = line_rows(docs, host)
-    hit = rows.join(bad, (rows["h"] == bad["bad_h"]) & rows["host"].eqNullSafe(bad["bad_host"]))
-    #: Rows of one text can be repeated; each adds the same, so the sum is over the same number.
-    hit = hit.groupBy("doc_id", "text_hash").agg(F.sum("w").alias("gone"))
-    times = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
-    hit = hit.alias("a").join(times.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash"))).select(F.col("a.doc_id").alias("hit_id"), F.col("a.text_hash").alias("hit_hash"), (F.col("gone") / F.col("times")).cast("long").alias("gone"))
-    out = base_features(docs)
-    out = out.join(hit, out["doc_id"].eqNullSafe(hit["hit_id"]) & (out["text_hash"] == hit["hit_hash"]), "left")
-    out = out.withColumn("n_removed_words", F.coalesce("gone", F.lit(0).cast("long")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_removed_words") <= max_removed * F.col("n_words"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words", "text_hash")
-
-
-def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, with their columns."""
-    bad = quality(docs, **limits).where(~F.col("kept")).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["bad_hash"]), "left_anti")
+    return verdicts(docs, **limits).drop("host", "gone")
+
+
+def keep_good(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, without their frequent lines; other columns are as they were."""
+    of = verdicts(docs, host, **limits).where(~F.col("kept") | F.col("gone").isNotNull())
+    of = of.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), F.col("host").alias("of_host"), "kept", "gone").dropDuplicates(["of_id", "of_hash", "of_host"])
+    of = of.select(*(F.col(c).alias(f"_{c}") for c in of.columns))
+    both = docs.join(of, docs["doc_id"].eqNullSafe(of["_of_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == of["_of_hash"]) & docs[host].eqNullSafe(of["_of_host"]), "left")
+    both = both.where(F.coalesce("_kept", F.lit(True)))
+    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    return both.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,17 @@ def test_quality_removes_frequent_lines(spark):
     assert not any(r["kept"] for r in got) and all(r["n_removed_words"] == 17 for r in got)
 
 
+def test_keep_good_takes_frequent_lines_out(spark):
+    own = lambda i: [" ".join(f"own{i}x{k}y{j}" for k in range(15)) for j in range(3)]
+    text = lambda i: "\n".join(["Menu  of this HOST", own(i)[0], "", own(i)[1], " menu of this host\t", own(i)[2], "foot line"])
+    rows = [(i, text(i), "en", "h", 0, "", 0, "") for i in range(80)] + [(5, text(5), "en", "h", 0, "", 0, ""), (5, text(5), "en", None, 0, "", 0, "")]
+    df = spark.createDataFrame(rows, DOCS)
+    got = [(r["doc_id"], r["source"], r["text"]) for r in quality.keep_good(df).collect()]
+    clean = lambda i: "\n".join([own(i)[0], "", *own(i)[1:]])
+    assert Counter(got) == Counter([(i, "h", clean(i)) for i in [*range(80), 5]] + [(5, None, text(5))])
+    assert {(r["n_removed_words"], r["n"]) for r in quality.quality(df).groupBy("n_removed_words").agg({"*": "count"}).toDF("n_removed_words", "n").collect()} == {(10, 81), (0, 1)}
+
+
 def test_sharding(docs, odd, empty):
     for df in (docs, odd):
         rows = sharding.shard(df).collect()
