@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import drop_table, new_path, staged
+from pixelloom.llm.common import drop_path, drop_table, maybe_among, new_path, staged
 
 #: Fixed values of the WARC 1.0 format.
 MAGIC = "WARC/1.0\r\n"
@@ -29,13 +29,15 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> N
     Of equal payloads of ``min_bytes`` or more, the row with the largest page_id
     is a response and the others revisit it. Payloads are the UTF-8 bytes of the
     html (null: empty); a record is one row of the text sink, whose line
-    separator is the end of a record.
+    separator is the end of a record. Responses are written where they are read:
+    only rows that a filter of bounded size takes for a repeat are joined.
     """
-    pages = pages.select("page_id", "url", "html")
-    plan = _plan(pages, min_bytes).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to")
+    plan = staged(_plan(pages, min_bytes).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to"), "repeats")
     html = F.coalesce("html", F.lit(""))
-    rows = pages.withColumn("digest", F.sha1(html.cast("binary")))
-    rows = rows.join(plan, rows["page_id"].eqNullSafe(plan["p"]) & (rows["digest"] == plan["d"]), "left")
+    rows = maybe_among(pages.select("page_id", "url", "html").withColumn("digest", F.sha1(html.cast("binary"))), ["page_id", "digest"], plan, ["p", "d"])
+    same = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))
+    sure = rows.where(~F.col("maybe")).withColumn("refers_to", F.lit(None).cast(plan.schema["refers_to"].dataType)).drop("maybe")
+    rows = sure.unionByName(rows.where("maybe").join(plan, same, "left").drop("maybe", "p", "d"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     again = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit(END))
@@ -49,6 +51,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> N
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length("block").cast("string"), F.lit(END),
     )
     rows.withColumn("block", block).select(F.concat(head, F.col("block")).alias("value")).write.option("lineSep", END).text(path)
+    drop_table(plan)
 
 
 def _parsed(value: Column) -> list[Column]:
@@ -90,15 +93,29 @@ def _offsets(chunks: DataFrame, before: DataFrame) -> DataFrame:
     return chunks.join(before, ["file", "split"]).withColumn("off", F.col("before") + F.sum("len").over(w) - F.col("len") - len(MAGIC)).drop("before")
 
 
+def runs(rows: DataFrame) -> DataFrame:
+    """``rows`` (file, split, nth, off, next) with ``run``: records of a split that follow each other.
+
+    A run also begins wherever a pointer other than its predecessor's leads, so
+    a chain enters runs at their first record only.
+    """
+    w = Window.partitionBy("file", "split").orderBy("nth")
+    rows = rows.withColumn("follows", F.coalesce(F.col("next") == F.lead("off").over(w), F.lit(False)))
+    targets = rows.where("not follows and next is not null").select(F.col("file").alias("t_file"), F.col("next").alias("t_off")).distinct()
+    rows = rows.join(targets, (F.col("file") == F.col("t_file")) & (F.col("off") == F.col("t_off")), "left")
+    begins = F.col("t_off").isNotNull() | ~F.coalesce(F.lag("follows").over(w), F.lit(False))
+    return rows.withColumn("run", F.sum(begins.cast("int")).over(w)).drop("t_file", "t_off", "follows")
+
+
 def reachable(candidates: DataFrame) -> DataFrame:
     """The (file, off) on the chain from offset 0, by pointer jumping.
 
-    ``candidates`` (file, off, next). After round k, pointers lead 2^k records
-    on and the first 2^k records are known; each round is two joins on the
+    ``candidates`` (file, off, next). After round k, pointers lead 2^k places
+    on and the first 2^k places are known; each round is two joins on the
     offset, so neither a long file nor a hot one gathers in a task.
     """
-    jump = staged(candidates.select("file", "off", "next"), "jump")
-    known = staged(jump.where("off = 0").select("file", "off"), "known")
+    jump = staged(candidates.where("next is not null").select("file", "off", "next"), "jump")
+    known = staged(candidates.where("off = 0").select("file", "off"), "known")
     while True:
         onward = known.join(jump, ["file", "off"]).select("file", F.col("next").alias("off"))
         onward = onward.join(candidates.select("file", "off"), ["file", "off"], "left_semi")
@@ -109,6 +126,7 @@ def reachable(candidates: DataFrame) -> DataFrame:
         drop_table(known)
         jump, known = far, longer
         if jump.isEmpty():
+            drop_table(jump)
             return known
 
 
@@ -116,7 +134,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under ``path``: file, off, type, id, refers, said, payload_bytes, payload_digest.
 
     Spark splits the files and cuts them at every magic; a running sum gives
-    each piece its offset, and its header the offset of its successor. Only
+    each piece its offset, and its header the offset of its successor. Records
+    of a split that follow each other are first drawn together into runs. Only
     records on the chain from the start of the file are real; a magic inside a
     payload is not on it, and the pieces of such a payload are put together
     again. The text of clean records is never shuffled.
@@ -128,10 +147,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     meta = staged(meta.drop("value"), "chunks")
     splits = meta.groupBy("file", "split").agg(F.sum("len").alias("len"))
     before = splits.select("file", "split", (F.sum("len").over(Window.partitionBy("file").orderBy("split")) - F.col("len")).alias("before"))
-    rows = staged(_offsets(meta, before).withColumn("next", F.col("off") + len(MAGIC) + F.col("head") + F.col("block") + len(END)), "offsets")
+    rows = _offsets(meta, before).withColumn("next", F.col("off") + len(MAGIC) + F.col("head") + F.col("block") + len(END))
+    rows = staged(runs(rows), "offsets")
     drop_table(meta)
-    on_chain = reachable(rows.where("off >= 0 and next is not null"))
-    found = rows.join(on_chain, ["file", "off"], "left_semi")
+    places = rows.where("off >= 0").groupBy("file", "split", "run").agg(F.min("off").alias("off"), F.max_by("next", "off").alias("next"))
+    places = staged(places, "runs")
+    on_chain = places.join(reachable(places), ["file", "off"], "left_semi").select("file", "split", "run")
+    found = rows.where("off >= 0").join(on_chain, ["file", "split", "run"], "left_semi")
     fields = ["file", "off", "type", "id", "refers", "said", "payload_bytes", "payload_digest"]
     cut = staged(found.where(~F.col("whole")).select("file", "off", "next"), "cut")
     if cut.isEmpty():
@@ -155,20 +177,23 @@ def archive_digest(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Writes the archives of ``pages``, reads them back and returns a row per page.
 
     Cases: a null html is an empty payload; a null page_id is written as such
-    and revisits a page that has one; repeated rows are repeated records; an
-    empty table gives no rows; other columns are not read.
+    and revisits a page that has one; repeated rows are repeated records, all
+    responses if theirs is the largest page_id (a tie); one page_id may stand
+    with several payloads; payloads are one row each, of up to 2 GB; an empty
+    table gives no rows; other columns are not read.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path, min_bytes)
     if not spark.read.text(path).select("value").isEmpty():
         records = staged(read_archives(spark, path), "records")
+        drop_path(spark, path)
     else:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     number = lambda c: F.regexp_extract(F.coalesce(c, F.lit("")), r"<urn:page:(-?\d+)>", 1).try_cast("long")
     rows = records.select(number(F.col("id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number(F.col("refers")).alias("refers_to"), F.regexp_replace("said", "^sha1:", "").alias("said"))
-    first = rows.where("record_type = 'response'").groupBy("page_id").agg(F.first("payload_bytes").alias("n"), F.first("payload_digest").alias("d")).select(F.col("page_id").alias("first_id"), "n", "d")
-    again = rows.where("record_type = 'revisit'").join(first, F.col("refers_to") == F.col("first_id"), "left").select("page_id", F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to")
+    first = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("first_id"), F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("n"))
+    again = rows.where("record_type = 'revisit'").join(first, (F.col("refers_to") == F.col("first_id")) & (F.col("said") == F.col("d")), "left").select("page_id", F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to")
     return rows.where("record_type = 'response'").drop("said").unionByName(again)
 
 
