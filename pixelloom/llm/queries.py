@@ -26,7 +26,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-#: Words and windows are counted anew here, from texts; ``sig`` names a document by its other lines.
+#: Words, windows and lines are counted anew here, from texts; documents of equal text are one.
 OP9_SQL = r"""
 with t as (select row_number() over () as rid, doc_id, coalesce(text, '') as text, source from documents),
 w as (select *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
@@ -39,11 +39,9 @@ dup as (select rid, i from (select rid, i, count(*) over (partition by rid, g) a
 rep as (select rid, sum(least(8, i - last))::bigint as n from (select rid, i, coalesce(lag(i) over (partition by rid order by i), i - 8) as last from dup) group by rid),
 ln as (select rid, source, pos, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) as l
         from f, unnest(ls) with ordinality r(l, pos)),
-lw as (select rid, source, l, substr(md5(l), 1, 15) as m, len(string_split(l, ' '))::bigint as w from ln where l <> ''),
-two as (select rid, list_sort(list(distinct m))[1] as m1, list_sort(list(distinct m))[2] as m2 from lw group by rid),
-sig as (select lw.*, case when m = m1 then m2 else m1 end as sig from lw join two using (rid)),
-freq as (select source, l, count(distinct coalesce(sig, '')) as n from sig group by all),
-host as (select source, count(*) as docs from t group by source),
+lw as (select rid, source, l, len(string_split(l, ' '))::bigint as w from ln where l <> ''),
+freq as (select lw.source, l, count(distinct text) as n from lw join t using (rid) group by all),
+host as (select source, count(distinct text) as docs from t group by source),
 bad as (select freq.source, l from freq join host on freq.source is not distinct from host.source where n >= 50 and n > 0.005 * docs),
 gone as (select rid, sum(w)::bigint as gone from lw join bad on lw.l = bad.l and lw.source is not distinct from bad.source group by rid)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(rep.n, 0) as n_repeat_words,
