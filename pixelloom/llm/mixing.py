@@ -5,15 +5,15 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import documents, words
+from pixelloom.llm.common import documents, fresh, staged, words
 
-#: Patterns that the flow is solved for on the driver; more raise an error.
-MAX_PATTERNS = 100_000
-#: Rows that the band is made for in which a quota ends.
-BAND_ROWS = 1_000
+#: Patterns up to which their plan is broadcast; beyond, Spark chooses the join.
+FEW_PATTERNS = 100_000
+#: Rows that the band is made for in which a quota ends, and bands of a pattern at most.
+BAND_ROWS, MAX_BANDS = 1_000, 65_536
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
@@ -68,70 +68,70 @@ def route(patterns: dict[tuple, int], quotas: dict[str | None, float], most: int
         at: dict = {}
         for p, s in flow:
             at.setdefault(s, []).append(p)
-        while True:
-            # Paths start in the pattern whose next pass is cheapest; arcs between patterns and sources cost nothing.
-            best = none = object()  # a source may be None
-            for cost in range(most):
-                starts = [p for p in part if used[p] < (cost + 1) * patterns[p] - 1e-6 and used[p] >= cost * patterns[p] - 1e-6]
-                came = {p: none for p in starts}
-                queue = list(starts)
-                while queue and best is none:
-                    p = queue.pop(0)
-                    for s in p:
-                        if ("s", s) in came:
-                            continue
-                        came["s", s] = p
-                        if left[s] > 1e-6:
-                            best = s
-                            break
-                        for q in at[s]:
-                            if q not in came and flow[q, s] > 1e-6:
-                                came[q] = s
-                                queue.append(q)
-                if best is not none:
-                    break
-            if best is none:
-                break
-            path, s = [], best
-            while s is not none:
-                p = came["s", s]
-                path.append((p, s, came[p]))
-                s = came[p]
-            first = path[-1][0]
-            room = (int((used[first] + 1e-6) // patterns[first]) + 1) * patterns[first] - used[first]
-            push = min([left[best], room, *(flow[p, back] for p, _, back in path if back is not none)])
-            for p, s, back in path:
-                flow[p, s] += push
-                if back is not none:
-                    flow[p, back] -= push
-            used[first] += push
-            left[best] -= push
-        for p in part:
-            out[p] = used[p]
+        # Only the passes over a pattern cost, the same for all patterns, so all paths of one pass come before those of the next.
+        for level in range(1, most + 1):
+            closed: set = set()  # patterns and sources from which no open source is reached any more in this pass
+            for first in part:
+                while first not in closed and (room := level * patterns[first] - used[first]) > 1e-6:
+                    path = _path(first, left, flow, at, closed)
+                    if path is None:
+                        break
+                    push = min([left[path[0][1]], room, *(flow[p, back] for p, _, back in path if back is not NONE)])
+                    for p, s, back in path:
+                        flow[p, s] += push
+                        if back is not NONE:
+                            flow[p, back] -= push
+                    used[first] += push
+                    left[path[0][1]] -= push
+        out |= used
     return out
 
 
-def mix(docs: DataFrame, seed: int = 11, members: str | None = None, quotas: dict | None = None, most: int = 2) -> DataFrame:
-    """Each row of ``docs`` with the words that the mix takes of it.
+NONE = object()  # a source may be None
 
-    Documents are aggregated by membership pattern (``members``: an array
-    column; else the one source), ``route`` gives each pattern its words, and
-    documents are chosen in the order of a seeded hash: whole passes first, then
-    hash bands, and in the band where the quota ends the rows that still fit.
-    Only sums by pattern and by band reach the driver. Returns doc_id, size,
-    source_size, target, taken and ``pattern``.
 
-    Cases: a null source is a source of its own, last in order; null texts have
-    size 0 and nothing is taken of them; rows of one doc_id are chosen alone;
-    an empty table gives no rows; other columns are not read.
+def _path(first: tuple, left: dict, flow: dict, at: dict, closed: set) -> list | None:
+    """A path from a pattern to a source with room, as (pattern, source it gives more to, source it gives less to) from its end; else closes all it saw."""
+    came_p, came_s, queue = {first: NONE}, {}, [first]
+    for p in queue:
+        for s in p:
+            if s in came_s or ("s", s) in closed:
+                continue
+            came_s[s] = p
+            if left[s] > 1e-6:
+                path = []
+                while s is not NONE:
+                    p = came_s[s]
+                    path.append((p, s, came_p[p]))
+                    s = came_p[p]
+                return path
+            for q in at[s]:
+                if q not in came_p and q not in closed and flow[q, s] > 1e-6:
+                    came_p[q] = s
+                    queue.append(q)
+    closed |= set(queue) | {("s", s) for s in came_s}
+    return None
+
+
+def _rows(docs: DataFrame, seed: int, members: str | None) -> tuple[Column, Column, Column]:
+    """Columns of a document: its size, its pattern and its place in the seeded order.
+
+    The pattern is JSON of an array in an array, as to_json drops null fields, not null items.
     """
-    spark = docs.sparkSession
     member = F.sort_array(F.array_distinct(F.coalesce(F.col(members), F.array().cast("array<string>")))) if members else F.array(F.col("source"))
-    rows = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("size"), F.to_json(F.array(member)).alias("pattern"), F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit(""))).alias("key"))
-    #: The pattern is kept as JSON of an array in an array, as to_json drops null fields, not null items.
-    sums = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(sums) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    return F.size(words(F.col("text"))).cast("long"), F.to_json(F.array(member)), F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit("")))
+
+
+def _decide(rows: DataFrame, quotas: dict | None, most: int) -> tuple[DataFrame, DataFrame]:
+    """What is taken of ``rows`` (doc_id, size, pattern, key, n: so many equal rows).
+
+    Returns a row per pattern (pattern, passes, n_bands, source_size, target,
+    end_band, rest): rows of bands before ``end_band`` get one pass more. And
+    the rows of the end bands with ``more``, of how many of the n rows one pass
+    more is taken.
+    """
+    spark = rows.sparkSession
+    sums = rows.groupBy("pattern").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")).collect()  # a row per pattern
     by_text = {r["pattern"]: tuple(json.loads(r["pattern"])[0]) for r in sums}
     sizes = {by_text[r["pattern"]]: r["size"] for r in sums}
     source_size: dict = {}
@@ -142,44 +142,94 @@ def mix(docs: DataFrame, seed: int = 11, members: str | None = None, quotas: dic
     flow = route({p: n for p, n in sizes.items() if n}, goal, most)
     plan = []
     for r in sums:
-        p = by_text[r["pattern"]]
+        p, size = by_text[r["pattern"]], r["size"]
         words_ = flow.get(p, 0.0)
-        passes = min(most, int((words_ + 1e-6) // r["size"])) if r["size"] else 0
-        need = round(words_ - passes * r["size"]) if passes < most else 0
-        plan.append((r["pattern"], passes, max(0, need), max(1, r["n"] // BAND_ROWS), r["size"] if len(p) == 1 else sum(source_size[s] for s in p), float(sum(goal.get(s, 0.0) for s in p))))
-    schema = "pattern string, passes long, need long, n_bands long, source_size long, target double"
-    plan_df = F.broadcast(spark.createDataFrame(plan, schema))  # MAX_PATTERNS rows at most
-    rows = rows.join(plan_df, "pattern").withColumn("band", F.pmod("key", F.col("n_bands")))
-    sums_ = rows.groupBy("pattern", "band").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
-    sums_ = sums_.withColumn("until", F.sum("words").over(Window.partitionBy("pattern").orderBy("band")))
-    ends = sums_.where((F.col("until") > F.col("need")) & (F.col("until") - F.col("words") <= F.col("need"))).groupBy("pattern").agg(F.min(F.struct("band", (F.col("need") - F.col("until") + F.col("words")).alias("rest"))).alias("e"))
-    ends = F.broadcast(ends.select("pattern", F.col("e.band").alias("end_band"), F.col("e.rest").alias("rest")))  # one row a pattern
-    rows = rows.join(ends, "pattern", "left").withColumn("at_end", F.coalesce((F.col("band") == F.col("end_band")) & (F.col("rest") > 0), F.lit(False)))
-    whole = rows.where(~F.col("at_end")).withColumn("reps", F.col("passes") + F.coalesce((F.col("band") < F.col("end_band")) & (F.col("need") > 0), F.lit(False)).cast("long"))
+        passes = min(most, int((words_ + 1e-6) // size)) if size else 0
+        need = words_ - passes * size if passes < most else 0.0
+        if size and need > size - 0.5:  # nearer to the whole pass than to any part of it
+            passes, need = passes + 1, 0.0
+        plan.append((r["pattern"], passes, need if need >= 0.5 else 0.0, min(MAX_BANDS, max(1, r["n"] // BAND_ROWS)), size if len(p) == 1 else sum(source_size[s] for s in p), float(sum(goal.get(s, 0.0) for s in p))))
+    plan_df = spark.createDataFrame(plan, "pattern string, passes long, need double, n_bands long, source_size long, target double")
+    hint = F.broadcast if len(plan) <= FEW_PATTERNS else lambda df: df
+    banded = rows.join(hint(plan_df), "pattern").withColumn("band", F.pmod("key", F.col("n_bands")))
+    bands = banded.where("need > 0").groupBy("pattern", "band").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.first("need").alias("need"))
+    bands = bands.withColumn("until", F.sum("words").over(Window.partitionBy("pattern").orderBy("band")))  # MAX_BANDS rows at most
+    ends = bands.where((F.col("until") > F.col("need")) & (F.col("until") - F.col("words") <= F.col("need"))).select("pattern", F.col("band").alias("end_band"), (F.col("need") - F.col("until") + F.col("words")).alias("rest"))
+    ends = staged(plan_df.join(hint(ends), "pattern", "left"), "ends")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "doc_id"])
-        left, reps = int(pdf["rest"].iloc[0]), []
-        for n in pdf["size"]:
-            take = 0 < n <= left
-            left -= n if take else 0
-            reps.append(int(take))
-        if left and not all(reps):  # a document over the rest if that comes nearer
-            over = [(n - left, i) for i, (n, t) in enumerate(zip(pdf["size"], reps)) if not t and n]
-            if over and min(over)[0] < left:
-                reps[min(over)[1]] = 1
-        return pdf.assign(reps=pdf["passes"] + reps)
-
-    cols = "pattern string, doc_id long, size long, key long, passes long, need long, n_bands long, source_size long, target double, band long, end_band long, rest long"
-    part = rows.where("at_end").drop("at_end").groupBy("pattern", "band").applyInPandas(fill, cols + ", reps long")
-    return whole.drop("at_end").select("doc_id", "size", "source_size", "target", "reps", "pattern").union(part.select("doc_id", "size", "source_size", "target", "reps", "pattern")).withColumn("taken", F.col("size") * F.col("reps"))
-
-
-def apply_mix(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it takes them."""
-    reps = mix(docs, seed).groupBy("doc_id").agg(F.max("reps").cast("int").alias("reps")).where("reps > 0")
-    reps = reps.select(F.col("doc_id").alias("mix_id"), "reps")
-    return docs.join(reps, docs["doc_id"].eqNullSafe(reps["mix_id"])).withColumn("mix_id", F.explode(F.sequence(F.lit(1), "reps"))).select(*[docs[c] for c in docs.columns])
+        pdf = pdf.sort_values(["key", "doc_id", "size"])
+        rest, more = float(pdf["rest"].iloc[0]), []
+        for size, n in zip(pdf["size"], pdf["n"], strict=True):
+            take = min(n, int(rest // size)) if size else 0
+            rest -= take * size
+            more.append(take)
+        # The least document not taken, if with it the sum comes nearer.
+        over = [(size, i) for i, (size, n, k) in enumerate(zip(pdf["size"], pdf["n"], more, strict=True)) if size and k < n]
+        if over and min(over)[0] - rest < rest:
+            more[min(over)[1]] += 1
+        return pdf.assign(more=more)[["pattern", "doc_id", "size", "key", "n", "passes", "source_size", "target", "more"]]
+
+    at_end = rows.join(hint(ends.where("end_band is not null")), "pattern").where(F.pmod("key", F.col("n_bands")) == F.col("end_band"))
+    schema = "pattern string, doc_id long, size long, key long, n long, passes long, source_size long, target double, more long"
+    part = at_end.select("pattern", "doc_id", "size", "key", "n", "passes", "source_size", "target", "rest").groupBy("pattern").applyInPandas(fill, schema)
+    return ends, staged(part, "end_rows")
+
+
+def mix(docs: DataFrame, seed: int = 11, members: str | None = None, quotas: dict | None = None, most: int = 2) -> DataFrame:
+    """Each row of ``docs`` with the words that the mix takes of it.
+
+    Documents are aggregated by membership pattern (``members``: an array
+    column; else the one source), ``route`` gives each pattern its words, and
+    documents are chosen in the order of a seeded hash: whole passes first, then
+    hash bands, and in the band where the quota ends the rows that still fit.
+    Only sums by pattern reach the driver. Returns doc_id, size, source_size,
+    target, taken and ``pattern``.
+
+    Cases: a null source is a source of its own, last in order; null texts have
+    size 0 and nothing is taken of them; equal rows of one doc_id are counted
+    first and each taken by itself; ties in the order of the hash go by doc_id,
+    then size; a text of any length is one size; an empty table gives no rows;
+    other columns are not read.
+    """
+    size, pattern, key = _rows(docs, seed, members)
+    rows = docs.select(F.col("doc_id").cast("long"), size.alias("size"), pattern.alias("pattern"), key.alias("key")).groupBy("doc_id", "size", "pattern", "key").agg(F.count("*").alias("n"))
+    rows = staged(rows, "sizes")
+    ends, part = _decide(rows, quotas, most)
+    hint = F.broadcast if ends.count() <= FEW_PATTERNS else lambda df: df
+    band = F.pmod("key", F.col("n_bands"))
+    whole = rows.join(hint(ends), "pattern").where(F.col("end_band").isNull() | (band != F.col("end_band")))
+    whole = whole.withColumn("times", F.struct("n", (F.col("passes") + F.coalesce((band < F.col("end_band")).cast("long"), F.lit(0))).alias("reps")))
+    split = F.explode(F.array(F.struct(F.col("more").alias("n"), (F.col("passes") + 1).alias("reps")), F.struct((F.col("n") - F.col("more")).alias("n"), F.col("passes").alias("reps"))))
+    cols = ["doc_id", "size", "source_size", "target", "times", "pattern"]
+    out = whole.select(cols).union(part.withColumn("times", split).select(cols)).where("times.n > 0")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times.n"))))
+    return out.select("doc_id", "size", "source_size", "target", F.col("times.reps").alias("reps"), "pattern", (F.col("size") * F.col("times.reps")).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, seed: int = 11, members: str | None = None, quotas: dict | None = None, most: int = 2) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it takes them.
+
+    Only the rows of the bands in which quotas end are joined; of the others the
+    band decides where they are read. Equal rows of one doc_id in an end band
+    are taken from the least of them.
+    """
+    of = {c: fresh(c, docs) for c in ("pattern", "key", "n", "passes", "n_bands", "end_band", "more", "reps", "size", "of_key", "of_id")}
+    size, pattern, key = _rows(docs, seed, members)
+    rows = docs.select(F.col("doc_id").cast("long"), size.alias("size"), pattern.alias("pattern"), key.alias("key")).groupBy("doc_id", "size", "pattern", "key").agg(F.count("*").alias("n"))
+    ends, part = _decide(staged(rows, "sizes"), quotas, most)
+    hint = F.broadcast if ends.count() <= FEW_PATTERNS else lambda df: df
+    plan = ends.select(*(F.col(c).alias(of[c]) for c in ("pattern", "passes", "n_bands", "end_band")))
+    keyed = docs.withColumn(of["pattern"], pattern).withColumn(of["key"], key).join(hint(plan), of["pattern"])
+    band = F.pmod(of["key"], F.col(of["n_bands"]))
+    here = F.col(of["end_band"]).isNotNull() & (band == F.col(of["end_band"]))
+    whole = keyed.where(~here).withColumn(of["reps"], F.col(of["passes"]) + F.coalesce((band < F.col(of["end_band"])).cast("long"), F.lit(0)))
+    chosen = part.select(F.col("key").alias(of["of_key"]), F.col("doc_id").alias(of["of_id"]), F.col("pattern").alias(of["size"]), (F.col("n") * F.col("passes") + F.col("more")).alias(of["reps"]))
+    once = keyed.where(here).groupBy(of["pattern"], of["key"], F.col("doc_id").cast("long").alias(of["n"])).agg(F.min(F.struct(*docs.columns)).alias(of["more"]))
+    once = once.join(chosen, (once[of["key"]] == chosen[of["of_key"]]) & (once[of["pattern"]] == chosen[of["size"]]) & once[of["n"]].eqNullSafe(chosen[of["of_id"]]))
+    some = once.select(*(F.col(of["more"])[c].alias(c) for c in docs.columns), of["reps"])
+    out = whole.select(*docs.columns, of["reps"]).union(some).where(F.col(of["reps"]) > 0)
+    return out.withColumn(of["reps"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(of["reps"])))).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
