@@ -26,27 +26,31 @@ FAMILY = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl
 #: Elements whose content is text up to their end tag; none of it is main text.
 RAW = set("script style title textarea iframe noembed noframes xmp".split())
 #: Elements that never hold main text.
-DROP = RAW | set("head noscript template nav footer aside form button select datalist menu dialog object svg canvas audio video map math".split())
+DROP = RAW | set("head noscript template nav footer aside form button select datalist menu dialog object svg canvas audio video map".split())
 #: Words in class or id, and roles, of what surrounds an article.
 AROUND = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments respond reply replies disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar widget".split())
+#: Of these, words that articles use of their own parts as well: inside one they count with many links only.
+WEAK = set("alert banner footer header login masthead menu modal notice notices overlay popup promotion signup toolbar widget".split())
+#: Whole class names that make even a paragraph of an article an advert.
+ADVERT = set("ad ads advert adverts advertisement sponsored".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 TITLES = set("article post entry content story title".split())
 CONTENT = set("article main".split())
 
 #: A sibling of the best container stays with this share of its score.
 SIBLING = 0.2
-#: Levels of ancestors that a paragraph passes points to.
-LEVELS = 5
+#: Share of text in links from which a part of an article is a list of links.
+LINKED = 0.5
 
 
 class Node:
-    __slots__ = ("attrs", "children", "links", "parent", "score", "size", "tag")
+    __slots__ = ("attrs", "chars", "children", "linked", "links", "parent", "score", "size", "tag")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
         self.score = 0.0
-        self.size = self.links = 0
+        self.size = self.links = self.chars = self.linked = 0
 
 
 def parse(html: str) -> Node:
@@ -99,8 +103,22 @@ def _close(node: Node, names: set[str], within: set[str]) -> Node:
     return out
 
 
+def page_order(root: Node) -> list[Node]:
+    out, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        out.append(n)
+        todo.extend(c for c in reversed(n.children) if not isinstance(c, str))
+    return out
+
+
 def surrounding(node: Node, in_article: bool, holds: set[int]) -> bool:
-    """Whether the element is a menu, header, footer, sidebar, notice, advert, form or the like."""
+    """Whether the element is a menu, header, footer, sidebar, notice, advert, form or the like.
+
+    Inside an article, paragraphs stay whatever they are called (but for
+    adverts), and words that articles use themselves count only for parts that
+    are mostly links.
+    """
     tag = node.tag
     if tag in DROP or tag == "header" and not in_article:
         return True
@@ -109,25 +127,35 @@ def surrounding(node: Node, in_article: bool, holds: set[int]) -> bool:
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(node.attrs)}
     if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower():
         return True
-    if values.get("role", "").lower() in ROLES:
+    names = {w.lower() for k in ("class", "id") for w in values.get(k, "").split()}
+    if in_article and (tag in PARAGRAPH or tag == "figure"):
+        return bool(names & ADVERT)
+    links = node.linked >= LINKED * max(1, node.chars)
+    if values.get("role", "").lower() in ROLES and (links or not in_article):
         return True
-    parts = {p.lower() for k in ("class", "id") for p in PART.findall(values.get(k, ""))}
-    found = parts & AROUND
-    return bool(found) and not (found == {"header"} and (in_article or parts & TITLES))
+    found = {p.lower() for k in ("class", "id") for p in PART.findall(values.get(k, ""))} & AROUND
+    if in_article:
+        return bool(found - WEAK) or bool(found) and links
+    return bool(found) and not (found == {"header"} and {p.lower() for k in ("class", "id") for p in PART.findall(values.get(k, ""))} & TITLES)
 
 
 def blocks(root: Node) -> list[tuple[Node, str, int]]:
     """(owner, text, characters in links) of each block of text, in page order, without the surroundings."""
     holds: set[int] = set()
-    todo: list = [root]
-    while todo:
-        n = todo.pop()
+    order = page_order(root)
+    for n in order:
         if n.tag in CONTENT:
             up = n.parent
             while up and id(up) not in holds:
                 holds.add(id(up))
                 up = up.parent
-        todo.extend(c for c in n.children if not isinstance(c, str))
+    for n in reversed(order):
+        n.chars += sum(len(c.strip()) for c in n.children if isinstance(c, str))
+        if n.tag == "a":
+            n.linked = n.chars
+        if n.parent:
+            n.parent.chars += n.chars
+            n.parent.linked += n.linked
     out: list[tuple[Node, str, int]] = []
     parts: list[str] = []
     links = 0
@@ -179,32 +207,31 @@ def main_text(html: str) -> str:
     density. The article around the best container is kept (an article or main
     element, if there is one), else the container with those siblings that are
     headings, paragraphs, or score a fifth of it. All blocks therein are kept.
+    Of equally good containers the first in the page is taken.
     """
-    found = blocks(parse(html))
-    scored: dict[int, Node] = {}
+    root = parse(html)
+    found = blocks(root)
+    scored: set[int] = set()
     for owner, text, links in found:
-        up = owner
-        while up:
-            up.size += len(text)
-            up.links += links
-            up = up.parent
-        if owner.tag in HEADING:
-            continue
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
-        up, share = owner.parent if owner.tag in PARAGRAPH and owner.parent else owner, 1.0
-        for _ in range(LEVELS):
-            if not up:
-                break
-            up.score += points * share
-            scored[id(up)] = up
-            up, share = up.parent, share / 2
+        owner.size += len(text)
+        owner.links += links
+        if owner.tag not in HEADING:
+            to = owner.parent if owner.tag in PARAGRAPH and owner.parent else owner
+            to.score += 1 + text.count(",") + min(len(text) / 100, 3)
+            scored.add(id(to))
+    order = page_order(root)
+    for n in reversed(order):
+        if n.parent:
+            n.parent.size += n.size
+            n.parent.links += n.links
+            n.parent.score += n.score / 2
     if not found:
         return ""
     density = lambda n: n.links / max(1, n.size)
     worth = lambda n: n.score * (1 - density(n))
     inside = lambda n: {id(n)}
-    best = max(scored.values(), key=worth, default=None)
-    if best is None or worth(best) <= 0:
+    best = max(order, key=worth)
+    if worth(best) <= 0:
         best = found[0][0]
     up = best
     while up and up.tag not in CONTENT:
@@ -245,8 +272,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of ``pages``, from the whole html.
 
     Cases: null or empty html, and pages without text, give an empty text; cut
-    off pages are read as far as they go; repeated rows and null ids or urls
-    stay; an empty table gives no rows; other columns are not read.
+    off pages are read as far as they go; a page of any length and depth is read
+    whole, in time that grows with its length; of equal containers the first is
+    taken; repeated rows and null ids or urls stay; an empty table gives no
+    rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
