@@ -7,17 +7,20 @@ from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import documents
+from pixelloom.llm.common import documents, fresh
 
 #: Edits allowed, as a share of an item's characters.
 RATE = 0.08
-#: Items with fewer characters (lower-cased, white space squeezed) are not searched.
-MIN_CHARS = 20
+#: Items with fewer characters (lower-cased, white space squeezed) must stand whole between words: no edits, no parts of words.
+SHORT = 20
 #: Characters of items that one broadcast block holds, about.
 BLOCK_CHARS = 2_000_000
+#: Blocks that one pass over the documents searches.
+PASS_BLOCKS = 8
 
 
 def squeeze(text: str | None) -> str:
@@ -63,7 +66,7 @@ class Matcher:
         self.items, self.masks = [], []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item, text in items:
-            m, k, masks = len(text), int(len(text) * rate), {}
+            m, k, masks = len(text), int(len(text) * rate) if len(text) >= SHORT else 0, {}
             for i, c in enumerate(text):
                 masks[c] = masks.get(c, 0) | 1 << i
             n = len(self.items)
@@ -89,6 +92,10 @@ class Matcher:
         for n, where in starts.items():
             item, pattern, k = self.items[n]
             m = len(pattern)
+            if m < SHORT:
+                if any((a == 0 or text[a - 1] == " ") and text[a + m : a + m + 1] in ("", " ") for a in where):
+                    yield item, 0
+                continue
             if pattern in text:
                 yield item, 0
                 continue
@@ -112,35 +119,41 @@ class Matcher:
         yield lo, hi
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, bench: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance) for each row of ``docs`` and item whose text it holds.
 
     Each item is cut into one piece more than it may have edits, so some piece of
     a match is unchanged: exact pieces are found by one automaton, and the text
-    around them is verified. Items are broadcast in blocks of bounded size.
-    Cases: null, empty and short items match nothing; null texts hold nothing;
-    repeated rows give repeated results; a null doc_id or item_id stays null; an
-    empty table on either side gives no rows; other columns are not read.
+    around them is verified. Items are broadcast in blocks of bounded size, of
+    which one pass searches several. Items of under SHORT characters must stand
+    unchanged between white space or the ends of the text.
+    Cases: null and empty items match nothing; null texts hold nothing; repeated
+    rows give repeated results, repeated items one; of several places the least
+    distance counts; a text of any length is read whole; a null doc_id or
+    item_id stays null; an empty table on either side gives no rows; other
+    columns are not read.
     """
-    items = bench.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where(F.length("text") >= min_chars)
+    items = bench.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where(F.length("text") > 0)
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_chars))
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = []
+    parts, blocks = [], []
     for k in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).distinct().collect()  # about block_chars
-        block = sorted(((r[0], squeeze(r[1])) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        parts.append(_search(docs, [r for r in block if len(r[1]) >= min_chars], rate))
+        block = sorted({(r[0], squeeze(r[1])) for r in rows}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        blocks.append(docs.sparkSession.sparkContext.broadcast([r for r in block if r[1]]))
+        if len(blocks) == PASS_BLOCKS or k == n_blocks - 1:
+            parts.append(_search(docs, blocks, rate))
+            blocks = []
     return reduce(DataFrame.union, parts)
 
 
-def _search(docs: DataFrame, block: list[tuple[int, str]], rate: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-
+def _search(docs: DataFrame, blocks: list[Broadcast], rate: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, rate)
+        matchers = [Matcher(b.value, rate) for b in blocks]
         for b in batches:
-            out = [(d, item, n) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for item, n in matcher.hits(squeeze(t))]
+            texts = map(squeeze, b.column(1).to_pylist())
+            out = [(d, item, n) for d, t in zip(b.column(0).to_pylist(), texts, strict=True) for m in matchers for item, n in m.hits(t)]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "item_id", "distance"])
 
     return docs.mapInArrow(run, "doc_id long, item_id long, distance int")
@@ -149,8 +162,9 @@ def _search(docs: DataFrame, block: list[tuple[int, str]], rate: float) -> DataF
 def drop_contaminated(docs: DataFrame, bench: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of ``docs`` that hold no item; rows without an id are matched by text."""
     texts = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
-    bad = contaminated(texts, bench, rate).select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == bad["bad"], "left_anti")
+    bad = fresh("bad", docs)
+    found = contaminated(texts, bench, rate).select(F.col("doc_id").alias(bad)).distinct()
+    return docs.join(found, F.xxhash64(docs["doc_id"], docs["text"]) == found[bad], "left_anti")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
