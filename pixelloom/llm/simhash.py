@@ -12,15 +12,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import components, documents, staged
+from pixelloom.llm.common import components, documents, drop_table, fresh, hot_join, maybe_among, staged
 
 RADIUS = 3
 #: Fingerprints in one chunk of a tile; two chunks are compared at a time.
 CHUNK = 2048
 SHINGLE = 3
-#: Radius in which pairs of a wanted similarity are looked for, to be verified: measured on
-#: check_s, 2860 of 2904 sampled pairs of five-word Jaccard similarity 0.8 or more within 18 bits.
-WIDE = 14
+#: Least shingle hashes by which documents that may be similar share a tile: of pairs of Jaccard
+#: similarity 0.8, one in 3,000 shares none of five.
+KEYS = 5
+#: Radius of pairs to be verified: at similarity 0.8 about 9.7 of 64 bits differ, standard deviation 2.9.
+WIDE = 18
+#: Fingerprints of one such tile that are compared with those of another at a time.
+TILE = 16_384
+#: Nearest neighbours of a fingerprint in a tile whose similarity is verified, besides the spanning forest.
+NEAREST = 4
 
 
 def hashes(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> np.ndarray:
@@ -30,39 +36,69 @@ def hashes(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, rows, repeat(seed)), np.uint64)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
-    """SimHash of the lower-cased word shingles, repeats included; 0 without words."""
-    h = hashes(text, shingle, seed)
-    if not len(h):
-        return 0
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for part in np.array_split(h, len(h) // 65536 + 1):
         ones += np.unpackbits(part.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]) if len(h) else 0
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
+    """SimHash of the lower-cased word shingles, repeats included; 0 without words."""
+    return majority(hashes(text, shingle, seed))
+
+
+def least(h: np.ndarray, keys: int = KEYS) -> list[int]:
+    """For each of ``keys`` orders of the hashes, the least one's place in it."""
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    out = []
+    for k in range(keys if len(h) else 0):
+        x = (h ^ (h >> np.uint64(31))) * (odd + np.uint64(2 * k * 0x51ED2701))
+        x ^= x >> np.uint64(29)
+        out.append(int((x * np.uint64(0xBF58476D1CE4E5B9)).min().view(np.int64)))
+    return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Rows (doc_id, fp long) of all whole texts; a null text counts as empty."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keys: int = 0) -> DataFrame:
+    """Rows (doc_id, fp, text_hash: long, keys: array of long) of all whole texts; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t or b"", shingle) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps, mins = [], []
+            for t in b.column(2).to_pylist():
+                h = hashes(t, shingle)
+                fps.append(majority(h))
+                mins.append(least(h, keys))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), b.column(1), pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "fp", "text_hash", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text.cast("binary")).mapInArrow(run, "doc_id long, fp long, text_hash long, keys array<long>")
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of all pairs within ``radius``: exclusive or and bit counts, in slices that stay in cache."""
-    found_i, found_j = [], []
+def slices(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, bits) of all pairs of a and b within ``radius``: exclusive or and bit counts, in slices that stay in cache.
+
+    Both are taken in order of their population counts: what differs in them by
+    more than the radius is skipped.
+    """
+    pa_, pb = np.bitwise_count(a).astype(np.int16), np.bitwise_count(b).astype(np.int16)
+    oa, ob = np.argsort(pa_, kind="stable"), np.argsort(pb, kind="stable")
+    pa_, pb, b = pa_[oa], pb[ob], b[ob]
     for lo in range(0, len(a), 128):
-        i, j = np.nonzero(np.bitwise_count(a[lo : lo + 128, None] ^ b[None, :]) <= radius)
+        own = oa[lo : lo + 128]
+        from_, to = np.searchsorted(pb, pa_[lo] - radius), np.searchsorted(pb, pa_[lo + len(own) - 1] + radius, side="right")
+        bits = np.bitwise_count(a[own, None] ^ b[None, from_:to])
+        i, j = np.nonzero(bits <= radius)
         if len(i):
-            found_i.append(i + lo)
-            found_j.append(j)
-    if not found_i:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(found_i), np.concatenate(found_j)
+            yield own[i], ob[from_ + j], bits[i, j]
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all pairs within ``radius``."""
+    found = [(i, j) for i, j, _ in slices(a, b, radius)]
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none)
 
 
 def spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,73 +116,120 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
         label = new
 
 
-def candidates(fps: DataFrame, radius: int = WIDE) -> DataFrame:
-    """All pairs (a, b, bits) of distinct values of ``fps`` (fp) within a wide ``radius``.
-
-    So wide a radius lets nearly all tiles meet, so a tile is one population
-    count, and chunks grow with the number of fingerprints: what is shuffled
-    grows in proportion, the comparisons with its square.
+def forest(i: np.ndarray, j: np.ndarray, bits: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links, in order of ``bits``, form a minimum spanning forest of n nodes."""
+    label, chosen = np.arange(n), np.zeros(len(i), bool)
+    while True:
+        li, lj = label[i], label[j]
+        at = np.nonzero(li != lj)[0]
+        if not len(at):
+            return chosen
+        first = np.full(n, len(i))
+        np.minimum.at(first, li[at], at)
+        np.minimum.at(first, lj[at], at)
+        pick = np.unique(first[first < len(i)])
+        chosen[pick] = True
+        while True:  # the labels of joined nodes sink to the least
+            low = np.minimum(label[i[pick]], label[j[pick]])
+            new = label.copy()
+            np.minimum.at(new, label[i[pick]], low)
+            np.minimum.at(new, label[j[pick]], low)
+            new = new[new]
+            if np.array_equal(new, label):
+                break
+            label = new
+
+
+def fewer(i: np.ndarray, j: np.ndarray, bits: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of more than NEAREST links a node, a minimum spanning forest and those to each node's NEAREST neighbours.
+
+    Links cut at any similarity have the components that the forest has, cut
+    there; the neighbours make up for what fingerprints misjudge.
     """
-    n = fps.count()
-    pairs = chunk_pairs(fps, radius, 1, max(CHUNK, n // 128)).repartition(max(fps.sparkSession.sparkContext.defaultParallelism * 4, n // 20_000))
+    if len(i) <= NEAREST * n:
+        return i, j, bits
+    order = np.argsort(bits, kind="stable")
+    i, j, bits = i[order], j[order], bits[order]
+    keep = forest(i, j, bits, n)
+    for node in (i, j):
+        by = np.argsort(node, kind="stable")
+        new = np.concatenate([[True], node[by][1:] != node[by][:-1]])
+        place = np.arange(len(by)) - np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+        keep[by[place < NEAREST]] = True
+    return i[keep], j[keep], bits[keep]
+
+
+def near_links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values (x, y) of the links between a and b that ``fewer`` leaves, none to itself."""
+    both = np.concatenate([a, b])
+    values, node = np.unique(both, return_inverse=True)
+    none = np.empty(0, np.int64)
+    held, size = [(none, none, none)], 0
+    for i, j, bits in slices(a, b, radius):
+        i, j = node[i], node[len(a) + j]
+        own = i != j
+        held.append(fewer(i[own], j[own], bits[own].astype(np.int64), len(values)))
+        size += len(held[-1][0])
+        if size > 64 * len(values):
+            held = [fewer(*(np.concatenate(x) for x in zip(*held, strict=True)), len(values))]
+            size = len(held[0][0])
+    i, j, _ = fewer(*(np.concatenate(x) for x in zip(*held, strict=True)), len(values))
+    return values[np.minimum(i, j)], values[np.maximum(i, j)]
+
+
+def candidates(firsts: DataFrame, radius: int = WIDE, tile: int = TILE) -> DataFrame:
+    """Links (a, b) of distinct values of ``firsts`` (fp, keys) within ``radius`` that share a key.
+
+    The fingerprints of a key are a tile; a tile of more than ``tile`` is cut
+    into chunks, all pairs of which are compared.
+    """
+    keyed = firsts.select("fp", F.posexplode("keys").alias("k", "key")).select("fp", F.xxhash64("k", "key").alias("key"))
+    sizes = staged(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    cut = hot_join(keyed, sizes, "key").withColumn("n_chunks", F.ceil(F.col("n") / tile).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("n_chunks")).cast("int"))
+    chunks = staged(cut.repartition("key", "chunk").groupBy("key", "chunk", "n_chunks").agg(F.collect_list("fp").alias("fps")), "tiles")  # tile fingerprints, about
+    side = lambda name: chunks.where("n_chunks > 1").select("key", F.col("chunk").alias(f"chunk_{name}"), F.col("fps").alias(f"fps_{name}"))
+    keys = chunks.where("n_chunks > 1").select("key", F.col("chunk").alias("chunk_a"), F.explode(F.sequence("chunk", F.col("n_chunks") - 1)).alias("chunk_b"))
+    large = keys.join(side("a"), ["key", "chunk_a"]).join(side("b"), ["key", "chunk_b"]).select("fps_a", "fps_b")
+    pairs = chunks.where("n_chunks = 1").select(F.col("fps").alias("fps_a"), F.lit(None).cast("array<long>").alias("fps_b")).union(large.repartition(firsts.sparkSession.sparkContext.defaultParallelism * 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                a, b = (v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in (x, y))
-                i, j = close_pairs(a, b, radius)
-                a, b = a[i], b[j]
-                bits = np.bitwise_count(a ^ b).astype(np.int32)
-                a, b = a.view(np.int64), b.view(np.int64)
-                keep = a != b
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep]), pa.array(bits[keep])], ["a", "b", "bits"])
-
-    return pairs.mapInArrow(run, "a long, b long, bits int").distinct()  # a chunk meets itself in both orders
+                a = x.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                out.append(near_links(a, y.values.to_numpy(zero_copy_only=False).view(np.uint64) if y.is_valid else a, radius))
+            a, b = (np.concatenate(v).view(np.int64) for v in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-
-def shingle_sets(docs: DataFrame, firsts: DataFrame, shingle: int) -> DataFrame:
-    """(fp, n, hs): the set of shingle hashes of one document of each fingerprint in ``firsts`` (fp, first)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t or b"" for t in b.column(1).to_pylist()]
-            # Rows of one id may differ in text: only those with the fingerprint asked for count.
-            ok = [fingerprint(t, shingle) == fp % 2**64 for t, fp in zip(texts, b.column(0).to_pylist(), strict=True)]
-            hs = [np.unique(hashes(t, shingle)).view(np.int64) for t, k in zip(texts, ok, strict=True) if k]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), pa.array([len(h) for h in hs], pa.int64()), pa.array(hs, pa.list_(pa.int64()))], ["fp", "n", "hs"])
-
-    rows = docs.join(firsts, docs["doc_id"] == firsts["first"]).select("fp", F.col("text").cast("binary"))
-    return rows.mapInArrow(run, "fp long, n long, hs array<long>").dropDuplicates(["fp"])
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose shingle sets have at least that Jaccard similarity; sizes alone refuse most others."""
-    of = lambda name, *more: sets.select(F.col("fp").alias(name), F.col("n").alias(f"n_{name}"), *(F.col(c).alias(f"{c}_{name}") for c in more))
-    sized = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("n_a", "n_b") + 1e-9 >= similarity * F.greatest("n_a", "n_b"))
-    both = sized.select("a", "b").join(of("a", "hs"), "a").join(of("b", "hs"), "b").withColumn("same", F.size(F.array_intersect("hs_a", "hs_b")))
-    return both.where(F.col("same") + 1e-9 >= similarity * (F.col("n_a") + F.col("n_b") - F.col("same"))).select("a", "b")
+    return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_links(docs: DataFrame, firsts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Links (a, b) with the components of all candidates that are within RADIUS or verified.
+    """Links (a, b) of the candidates whose shingle sets have at least that Jaccard similarity.
 
-    The nearest candidate of each fingerprint is verified first; then every
-    candidate between two components that this has left apart. So all are
-    verified whose verdict can matter, and a large group of near copies costs
-    few comparisons of sets.
+    ``firsts`` names a text of each fingerprint (doc_id, text_hash). Only texts
+    with a candidate are shuffled.
     """
-    found = staged(candidates(firsts.select("fp")), "candidates")
-    near, wide = found.where(F.col("bits") <= RADIUS).select("a", "b"), found.where(F.col("bits") > RADIUS)
-    ends = wide.select("a", "b", "bits").union(wide.select("b", "a", "bits"))
-    best = ends.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    best = staged(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nearest")
-    nodes = ends.select(F.col("a").alias("fp")).distinct()
-    sets = staged(shingle_sets(docs, firsts.join(nodes, "fp", "left_semi"), shingle), "shingles")
-    linked = staged(near.union(verified(best, sets, similarity)), "links")
-    of = staged(components(linked), "components")
-    a, b = (of.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
-    apart = wide.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    return linked.union(verified(apart, sets, similarity))
+    pairs = staged(candidates(firsts), "candidates")
+    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    wanted = staged(firsts.join(nodes, "fp").select("fp", F.col("first").alias("w_id"), F.col("text_hash").alias("w_hash")), "wanted")
+    texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    texts = maybe_among(texts, ["doc_id", "h"], wanted, ["w_id", "w_hash"]).where("maybe")
+    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["w_id"]) & (texts["h"] == wanted["w_hash"])).select("fp", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    texts = staged(texts.dropDuplicates(["fp"]), "texts")
+    of = lambda c: texts.select(F.col("fp").alias(c), F.col("text").alias(f"text_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = (np.unique(hashes(t, shingle)) for t in (x, y))
+                same = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(same + 1e-9 >= similarity * (len(x) + len(y) - same))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -195,9 +278,11 @@ def chunk_pairs(fps: DataFrame, radius: int, blocks: int, chunk: int) -> DataFra
     chunks = staged(chunks, "tiles")
     steps = [v for v in product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, v)) <= radius and v >= (0,) * blocks] if blocks <= 4 else _steps(blocks, radius)
     offsets = [sum(x * base ** (blocks - 1 - k) for k, x in enumerate(v)) for v in steps]
-    left = chunks.select("tile", F.col("chunk").alias("chunk_a"), F.col("fps").alias("fps_a"), F.explode(F.array(*[F.lit(o).cast("long") for o in offsets])).alias("off")).withColumn("other", F.col("tile") + F.col("off"))
-    right = chunks.select(F.col("tile").alias("other"), F.col("chunk").alias("chunk_b"), F.col("fps").alias("fps_b"))
-    return left.join(right, "other").where((F.col("off") != 0) | (F.col("chunk_a") <= F.col("chunk_b"))).select("fps_a", "fps_b")
+    keys = chunks.select("tile", "chunk")
+    left = keys.select("tile", F.col("chunk").alias("chunk_a"), F.explode(F.array(*[F.lit(o).cast("long") for o in offsets])).alias("off")).withColumn("other", F.col("tile") + F.col("off"))
+    met = left.join(keys.select(F.col("tile").alias("other"), F.col("chunk").alias("chunk_b")), "other").where((F.col("off") != 0) | (F.col("chunk_a") <= F.col("chunk_b")))
+    met = met.join(chunks.select("tile", F.col("chunk").alias("chunk_a"), F.col("fps").alias("fps_a")), ["tile", "chunk_a"])
+    return met.join(chunks.select(F.col("tile").alias("other"), F.col("chunk").alias("chunk_b"), F.col("fps").alias("fps_b")), ["other", "chunk_b"]).select("fps_a", "fps_b")
 
 
 def _steps(blocks: int, radius: int) -> list[tuple[int, ...]]:
@@ -217,33 +302,41 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """(doc_id, fingerprint, component_id) for each row of ``docs``.
 
     Exact copies meet in their fingerprint before anything is compared, so a
-    group of copies costs one fingerprint. With ``similarity``, pairs within
-    WIDE bits whose shingle sets are so similar are linked too. Cases: null and wordless texts have
-    fingerprint zero and are linked like others; repeated rows stay; rows
-    without an id have the component of their fingerprint (null if no row of it
-    has an id); an empty table gives no rows; other columns are not read.
+    group of copies costs one fingerprint. With ``similarity``, not pairs within
+    ``radius`` but pairs whose shingle sets are so similar are linked: tiles are
+    then those of ``candidates``, and the texts of pairs within WIDE bits are
+    compared. Cases: null and wordless texts have fingerprint zero and are
+    linked like others; a bit set in exactly half of the hashes (a tie) is 0; a
+    text of any length is hashed whole; repeated rows stay; rows without an id
+    have the component of their fingerprint (null if no row of it has an id);
+    an empty table gives no rows; other columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    rows = staged(fingerprints(docs, shingle), "fingerprints")
-    firsts = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
+    rows = staged(fingerprints(docs, shingle, KEYS if similarity is not None else 0), "fingerprints")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "keys"))
+    firsts = staged(rows.groupBy("fp").agg(best.alias("m"), F.count("*").alias("n")).select("fp", F.col("m.doc_id").alias("first"), "m.text_hash", "m.keys", "n"), "firsts")
     linked = components(links(firsts.select("fp"), radius) if similarity is None else similar_links(docs, firsts, similarity, shingle))
     linked = linked.join(firsts, linked["node"] == firsts["fp"]).select("node", "component", "first")
-    least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    linked = staged(linked.join(least, "component").select(F.col("node").alias("fp"), "least"), "components")
-    of = firsts.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    smallest = linked.groupBy("component").agg(F.min("first").alias("least")).withColumn("n", F.lit(0))
+    linked = staged(linked.join(smallest, "component").select(F.col("node").alias("fp"), "least"), "components")
+    of = staged(firsts.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), "n"), "of")
+    return hot_join(rows.select("doc_id", "fp"), of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` with one document of each component: that of the smallest id.
 
-    Rows of one id are one document; rows without an id stay.
+    Rows of one id are one document, of which the first row found stays; rows
+    without an id stay. Only documents that may go are shuffled.
     """
-    kept = near_duplicates(docs, radius, shingle, similarity).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = staged(kept, "kept").withColumnRenamed("doc_id", "kept_id")
-    once = docs.join(kept.where("rows = 1"), docs["doc_id"] == F.col("kept_id"), "left_semi")
-    more = docs.join(kept.where("rows > 1"), docs["doc_id"] == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(more).unionByName(docs.where("doc_id is null"))
+    id_, kept, rows, maybe = (fresh(c, docs) for c in ("of_id", "kept", "rows", "maybe"))
+    near = near_duplicates(docs, radius, shingle, similarity).where("doc_id is not null")
+    near = near.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1")
+    doubtful = staged(near, "doubtful").toDF(id_, kept, rows)
+    marked = maybe_among(docs, ["doc_id"], doubtful, [id_], maybe)
+    met = marked.where(maybe).join(doubtful, docs["doc_id"].cast("long") == doubtful[id_], "left")
+    more = met.where(F.col(kept)).select(*docs.columns).dropDuplicates(["doc_id"])
+    return marked.where(~F.col(maybe)).select(*docs.columns).union(met.where(F.col(id_).isNull()).select(*docs.columns)).union(more)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
