@@ -72,6 +72,19 @@ def test_keep_good_takes_frequent_lines_out(spark):
     assert {(r["n_removed_words"], r["n"]) for r in quality.quality(df).groupBy("n_removed_words").agg({"*": "count"}).toDF("n_removed_words", "n").collect()} == {(10, 81), (0, 1)}
 
 
+def test_quality_counts_documents_not_their_other_lines(spark):
+    """Pages that share a header and a footer, and pages that are nothing but one shared line."""
+    rows = [(i, f"The Header\nown line {i} of this page with enough different words to stand alone {' '.join(f'w{i}x{k}' for k in range(12))}\nThe footer", "h") for i in range(500)]
+    rows += [(1000 + i, "only this" if i % 2 else f"only this\nmore {i}", "g") for i in range(120)]
+    lines = quality.line_rows(df := spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r["n"] for r in lines.join(quality.frequent_lines(lines, df), ["host", "h"]).groupBy("host", "h").count().withColumnRenamed("count", "n").collect()} == {500, 120}
+    got = by_id(quality.keep_good(df))
+    assert got[7]["text"].startswith("own line 7") and "\n" not in got[7]["text"]
+    # Copies of one text are one document.
+    same = spark.createDataFrame([(i, rows[0][1], "h") for i in range(200)], df.schema)
+    assert quality.keep_good(same).count() == 200
+
+
 def test_sharding(docs, odd, empty):
     for df in (docs, odd):
         rows = sharding.shard(df).collect()
@@ -84,6 +97,22 @@ def test_sharding(docs, odd, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_sharding_unites_small_groups_beside_a_large_one(spark):
+    pairs = [(i, f"pair {i // 2}") for i in range(600)]
+    singles = [(1000 + i, f"single {i}") for i in range(400)]
+    hot = [(5000 + i, "the same") for i in range(500)]
+    split = {}
+    for name, rows in (("without", pairs + singles), ("with", pairs + singles + hot)):
+        at = {r["doc_id"]: r["shard"] for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        split[name] = sum(at[2 * k] != at[2 * k + 1] for k in range(300))
+        if name == "with":
+            sizes = sorted(Counter(at[i] for i, _ in hot).values())
+            assert len(sizes) <= 5 and max(Counter(at.values()).values()) == 188
+    assert split["without"] <= 15 and split["with"] <= 30
+    null = spark.createDataFrame([(None, "x")] * 100, "doc_id long, text string")
+    assert sorted(Counter(r["shard"] for r in sharding.shard(null).collect()).values()) == [12] * 4 + [13] * 4
+
+
 def test_mixing(docs, odd, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count() and all(r["taken"] <= 2 * r["size"] for r in rows)
@@ -93,6 +122,65 @@ def test_mixing(docs, odd, empty):
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(empty).count() == 0
 
 
+def test_mixing_takes_full_passes(spark):
+    """Random small sources against the best sum that whole documents allow."""
+    rng = random.Random(12)
+    two = spark.createDataFrame([(s, "a b", f"s{s}") for s in range(3)], "doc_id long, text string, source string")
+    assert {r["source_size"]: r["taken"] for r in mixing.mix(two).collect()} == {2: 2} or all(abs(r["taken"] - r["target"]) <= 1 for r in mixing.mix(two).collect())
+    for _ in range(4):
+        rows = [(i, " ".join("w" * rng.randint(1, 3)), f"s{rng.randint(0, 3)}") for i in range(rng.randint(3, 14))]
+        got = mixing.mix(spark.createDataFrame(rows, two.schema)).collect()
+        assert len(got) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in got)
+        for pattern in {r["pattern"] for r in got}:
+            own = [r for r in got if r["pattern"] == pattern]
+            reach = {0}
+            for r in own:
+                reach |= {x + k * r["size"] for x in reach for k in (1, 2)}
+            best = min(abs(x - own[0]["target"]) for x in reach)
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= best + 1
+
+
+def test_mixing_by_membership(spark):
+    rows = [(i, "a b c d", ["x"] if i % 3 == 0 else ["y"] if i % 3 == 1 else ["x", "y"]) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, of array<string>")
+    got = mixing.mix(df, members="of", quotas={"x": 200.0, "y": 100.0}).collect()
+    assert sum(r["taken"] for r in got) == 300 and max(r["reps"] for r in got) == 1
+    sizes = Counter()
+    for r in got:
+        sizes[r["pattern"]] += r["taken"]
+    assert sizes['[["x"]]'] <= 120 and sizes['[["y"]]'] <= 100
+
+
+def test_apply_mix_repeats_and_names(spark):
+    rows = [(7, "a b", "s", 1)] * 3 + [(None, "c d e", "s", 2)] * 4 + [(i, "f g h i", "t", 3) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_id int").withColumn("reps", mixing.F.lit(1)).withColumn("pattern", mixing.F.lit("p")).withColumn("key", mixing.F.lit(5))
+    want, got = Counter(), Counter()
+    for r in mixing.mix(df).collect():
+        want[r["doc_id"], r["size"]] += r["reps"]
+    taken = mixing.apply_mix(df)
+    for r in taken.collect():
+        got[r["doc_id"], len(r["text"].split())] += 1
+    assert got == Counter({k: v for k, v in want.items() if v}) and taken.columns == df.columns
+
+
+def test_route_is_optimal():
+    """Words and repetitions against all ways to fill small quotas."""
+    rng = random.Random(8)
+    for _ in range(40):
+        names = "ab"
+        patterns = {p: rng.randint(1, 4) for p in [("a",), ("b",), ("a", "b")] if rng.random() < 0.9}
+        quotas = {s: float(rng.randint(0, 7)) for s in names}
+        got = mixing.route(patterns, quotas)
+        best = (0, 0)
+        for take in np.ndindex(*(2 * n + 1 for n in patterns.values())):
+            t = dict(zip(patterns, take, strict=True))
+            a, b, ab = (t.get(p, 0) for p in [("a",), ("b",), ("a", "b")])
+            if a <= quotas["a"] and b <= quotas["b"] and a + b + ab <= quotas["a"] + quotas["b"]:
+                best = max(best, (a + b + ab, -sum(max(0, t[p] - n) for p, n in patterns.items())))
+        words = sum(got.values())
+        assert (round(words), -round(sum(max(0, got[p] - n) for p, n in patterns.items()))) == best
+
+
 def test_flow_prefers_first_passes():
     got = mixing.route({("a",): 100, ("a", "b"): 100, ("b",): 10}, {"a": 150.0, "b": 60.0})
     assert got == {("a",): 100.0, ("a", "b"): 100.0, ("b",): 10.0}
@@ -132,6 +220,40 @@ def test_near_dedup_stage_finds_similar_texts(spark):
     assert all({i, i + 1} <= kept for i in apart)
 
 
+def test_keep_one_with_clashing_names(spark):
+    rows = [(1, "a b c", 0), (2, "a b c", 1), (None, "a b c", 2), (3, "x y z w", 3), (3, "x y z w", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_id int").withColumn("of_id", simhash.F.lit(1)).withColumn("maybe", simhash.F.lit(1))
+    for similarity in (None, 0.8):
+        got = simhash.keep_one(df, similarity=similarity)
+        assert got.columns == df.columns and sorted(str(r["doc_id"]) for r in got.collect()) == ["1", "3", "None"]
+
+
+def test_candidates_in_chunks(spark):
+    """A tile that is cut finds the components of the whole one, from far fewer links than pairs."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 3, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base[:, None] ^ (np.uint64(1) << rng.integers(0, 60, (3, 60), dtype=np.uint64))]).ravel())
+    df = spark.createDataFrame([(int(v), [5]) for v in fps.view(np.int64)], "fp long, keys array<long>")
+    left = {int(v): int(v) for v in fps}
+    for r in simhash.candidates(df, tile=40).collect():
+        a, b = left[r["a"] % 2**64], left[r["b"] % 2**64]
+        left = {k: min(a, b) if v in (a, b) else v for k, v in left.items()}
+    assert len(set(left.values())) == 3
+
+
+def test_forest():
+    rng = np.random.default_rng(9)
+    for n in (2, 5, 30):
+        i, j = (rng.integers(0, n, 4 * n) for _ in range(2))
+        bits = np.sort(rng.integers(0, 6, 4 * n))
+        got, left, want = simhash.forest(i, j, bits, n), list(range(n)), 0
+        for a, b, w in zip(i, j, bits, strict=True):
+            if left[a] != left[b]:
+                left = [left[a] if v == left[b] else v for v in left]
+                want += w
+        assert bits[got].sum() == want
+
+
 @pytest.mark.parametrize("blocks", [2, 4, 8])
 def test_links_are_exact(spark, blocks):
     rng = np.random.default_rng(2)
@@ -153,6 +275,32 @@ def test_warc(spark):
     assert warc.archive_digest(df.limit(0)).count() == 0
 
 
+def test_warc_ids_with_several_payloads(spark):
+    rows = [(2, "u", "a" * 1200), (2, "u", "b" * 1500), (1, "u", "b" * 1500), (0, "u", "a" * 1200), (None, "u", "b" * 1500), (2, "u", "b" * 1500)]
+    got = warc.archive_digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = [(i, len(h), hashlib.sha1(h.encode()).hexdigest(), "response" if i == 2 else "revisit", None if i == 2 else 2) for i, _, h in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_warc_fake_record_that_ends_with_its_page(spark):
+    fake = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello"
+    rows = [(i, "u", f"page {i} " + (fake if i % 3 == 0 else "")) for i in range(30)]
+    got = by_page(warc.archive_digest(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)))
+    assert {i: r["payload_bytes"] for i, r in got.items()} == {i: len(h) for i, _, h in rows}
+
+
+def by_page(df):
+    return {r["page_id"]: r for r in df.collect()}
+
+
+def test_html_keeps_parts_of_an_article():
+    page = '<body><div class="menu">Go</div><article><p class="alert-level">Red, for now.</p><figure class="story-widget"><figcaption>A caption</figcaption></figure><p>x <math><mi>y</mi></math></p><div class="ad">Buy this</div><div class="comments"><p>First!</p></div><p class="related">Said, they say.</p></article></body>'
+    assert html.main_text(page) == "Red, for now.\nA caption\nx y\nSaid, they say."
+    deep = "<body>" + "<div>" * 400 + "<p>Deep, down, here, a, b.</p>" + "</div>" * 400 + "</body>"
+    assert html.main_text(deep) == "Deep, down, here, a, b."
+    assert html.main_text("<body><div><p>One, a</p></div><div><p>Two, b</p></div></body>") == "One, a\nTwo, b"
+
+
 def test_html():
     page = '<body><div class="nav-menu"><a href=#>x</a></div><div class="content"><h1>T &amp; U</h1><p>One, two, three.<p>Four <b>five</b><br>six</div><div id="comments"><p>Nice, post, a, b, c, d</div><footer>f</footer>'
     assert html.main_text(page) == "T & U\nOne, two, three.\nFour five six"
@@ -168,12 +316,41 @@ def test_decontaminate(spark, docs, empty):
     item = "the quick brown fox jumps over the lazy dog while seven wizards watch from the hill"
     near = item.replace("quick", "quik").replace("seven", "sevven")
     d = spark.createDataFrame([(1, "intro " + item.upper() + " end"), (2, near), (3, item[:40]), (4, None), (5, "")], "doc_id long, text string")
-    b = spark.createDataFrame([(7, item), (8, None), (9, ""), (10, "short")], "item_id long, text string")
-    assert sorted(tuple(r) for r in decontaminate.contaminated(d, b).collect()) == [(1, 7, 0), (2, 7, 2)]
-    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(d, b).collect()) == [3, 4, 5]
+    b = spark.createDataFrame([(7, item), (8, None), (9, ""), (10, "short"), (11, "uick"), (12, "QUICK\tBrown")], "item_id long, text string")
+    assert sorted(tuple(r) for r in decontaminate.contaminated(d, b).collect()) == [(1, 7, 0), (1, 12, 0), (2, 7, 2), (3, 12, 0)]
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(d, b).collect()) == [4, 5]
     assert decontaminate.contaminated(empty, b).count() == 0 and decontaminate.contaminated(docs, b.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block_chars", [40, 2_000_000])
+def test_decontaminate_equals_full_distances(spark, block_chars):
+    """Random texts with planted, changed items against the distance to every part of the text."""
+    rng = random.Random(17)
+    items = [(k, " ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(6, 12)))) for k in range(8)]
+    texts_ = []
+    for d in range(60):
+        t = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(t))
+            t[at : at + rng.randint(0, 1)] = rng.choice("abcx")
+        texts_.append((d, "ab " * rng.randint(0, 9) + "".join(t) + " cab" * rng.randint(0, 900 if d == 9 else 9)))
+    texts_ += [(None, items[0][1]), (1, texts_[1][1]), (70, None), (71, "")]
+    want = []
+    for d, t in texts_:
+        for k, p in items:
+            row = [0] * (len(decontaminate.squeeze(t)) + 1)
+            for i, c in enumerate(p):
+                new = [i + 1]
+                for j, e in enumerate(decontaminate.squeeze(t)):
+                    new.append(min(row[j] + (c != e), row[j + 1] + 1, new[j] + 1))
+                row = new
+            if min(row) <= (int(len(p) * decontaminate.RATE) if len(p) >= decontaminate.SHORT else -1):
+                want.append((d, k, min(row)))
+    long_ = spark.createDataFrame([i for i in items if len(i[1]) >= decontaminate.SHORT] + items[:1], "item_id long, text string")
+    got = [tuple(r) for r in decontaminate.contaminated(spark.createDataFrame(texts_, "doc_id long, text string"), long_, block_chars=block_chars).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_distance():
     rng = random.Random(3)
     for _ in range(50):
