@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,19 +15,23 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm.common import documents, staged
 
-#: Classes: single words, groups of WIDTH words, and groups of the rest by form.
-SINGLES, GROUPS, WIDTH, TAILS = 12, 14, 64, 6
-CLASSES = SINGLES + GROUPS + TAILS
-#: Rows of each hashed feature table.
-ROWS = 1 << 13
-#: Most frequent words whose counts are broadcast; the counts of the others are joined.
+#: Branches of a node of the tree of classes.
+WIDTH = 16
+#: Groups, by form, of the words that are not in the tree.
+TAILS = 6
+#: Most frequent words whose counts are broadcast and that are leaves of the tree; the counts of the others are joined.
 KNOWN = 200_000
-#: Passes in which parts of the corpus are trained on before parameters are averaged.
+#: Rows of the hashed table: so many times the root of the number of tokens, within these powers of two (4 to 256 MB).
+ROWS_BY, LEAST_BITS, MOST_BITS = 8, 16, 22
+#: Training passes, each over another part of the corpus; parameters are averaged after each.
 ROUNDS = 2
-RATE = 0.3
+#: Step of updates, and what their sum of squares begins with.
+RATE, SQUARES = 1.0, 4.0
 BATCH = 4096
 #: Table rows in one record of parameters.
 BLOCK = 256
+#: Training tasks: as many as the input has parts, but at most so many for each core and in all.
+TASKS_A_CORE, TASKS = 4, 64
 
 
 def tail_class(word: bytes) -> int:
@@ -48,110 +52,89 @@ class Ids(dict):
         return len(self) + tail_class(word)
 
 
-@dataclass
+def tree(weights: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of classes of leaves, frequent leaves near the root (Huffman's order).
+
+    Returns, for the path of each leaf, ``starts`` (n + 1), ``nodes`` and
+    ``branches``; and ``bias``, the log share of each branch of each node.
+    """
+    n = len(weights)
+    spare = -(n - 1) % (width - 1)
+    heap = [(0.0, -1 - k, -1) for k in range(spare)] + [(float(w), k, k) for k, w in enumerate(weights)]
+    heapq.heapify(heap)
+    parent, branch, shares = {}, {}, []
+    while len(heap) > 1:
+        low = [heapq.heappop(heap) for _ in range(width)]
+        node = len(shares)
+        for b, (_, _, child) in enumerate(low):
+            parent[child], branch[child] = node, b
+        shares.append([w for w, _, _ in low])
+        heapq.heappush(heap, (sum(w for w, _, _ in low), n + node, n + node))
+    starts, nodes, branches = np.zeros(n + 1, np.int64), [], []
+    for leaf in range(n):
+        path, at = [], leaf
+        while at in parent:
+            path.append((parent[at], branch[at]))
+            at = n + parent[at]
+        nodes += [p for p, _ in reversed(path)]
+        branches += [b for _, b in reversed(path)]
+        starts[leaf + 1] = len(nodes)
+    shares = np.array(shares)
+    with np.errstate(divide="ignore"):
+        bias = np.log(shares / shares.sum(1, keepdims=True))
+    return starts, np.array(nodes, np.int32), np.array(branches, np.uint8), np.maximum(bias, -60).astype(np.float32)
+
+
 class Vocabulary:
-    """The KNOWN most frequent words with counts, and totals; word 0 is the end of a text."""
-
-    words: list[bytes]
-    counts: np.ndarray
-    total: int
-    distinct: int
-    tail_total: np.ndarray
-    tail_distinct: np.ndarray
-
-    def prepare(self) -> Vocabulary:
-        n = len(self.words)
-        self.ids = Ids({w: i for i, w in enumerate(self.words) if i})
+    """The KNOWN most frequent words with counts, totals, and the tree; word 0 is the end of a text.
+
+    Leaves of the tree are these words and the groups of all others.
+    """
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int, tail_total: np.ndarray, tail_distinct: np.ndarray, paths: tuple | None = None):
+        self.words, self.counts, self.total, self.distinct, self.tail_total, self.tail_distinct = words, counts, total, distinct, tail_total, tail_distinct
+        self.n = n = len(words)
+        self.bos = n + TAILS
+        self.paths = paths or tree(np.concatenate([counts + 0.5, tail_total + 0.5 * (tail_distinct + 1)]))
+        self.starts, self.nodes, self.branches, self.bias = self.paths
+        self.ids = Ids({w: i for i, w in enumerate(words) if i})
         # Number 0 stands for the end, a key that no text has.
         self.ids[b" "] = 0
-        head = min(n, SINGLES + GROUPS * WIDTH)
-        self.cls = np.empty(n + TAILS, np.int16)
-        self.pos = np.full(n + TAILS, -1, np.int16)
-        k = np.arange(head)
-        self.cls[:head] = np.where(k < SINGLES, k, SINGLES + (k - SINGLES) // WIDTH)
-        self.pos[:head] = np.where(k < SINGLES, -1, (k - SINGLES) % WIDTH)
-        self.cls[head:n] = [SINGLES + GROUPS + tail_class(w) for w in self.words[head:]]
-        self.cls[n:] = SINGLES + GROUPS + np.arange(TAILS)
-        log = np.log10((self.counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
+        log = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
         self.base = np.concatenate([log, np.zeros(TAILS)])
-        t = self.cls - (SINGLES + GROUPS)
-        norm = np.log10(self.tail_total + 0.5 * (self.tail_distinct + 1))
-        within = np.zeros(n + TAILS)
-        within[head:n] = np.log10(self.counts[head:] + 0.5) - norm[t[head:n]]
-        self.within = within
-        self.n = n
-        self.bos = n + TAILS
-        return self
 
-    def first_weights(self) -> tuple[np.ndarray, np.ndarray]:
-        """Class and word tables: hashed rows at 0, bias rows at log counts."""
-        by_class = np.bincount(self.cls[: self.n], self.counts, CLASSES)
-        by_class[SINGLES + GROUPS :] = self.tail_total + 0.5 * (self.tail_distinct + 1)
-        wc, wi = np.zeros((3 * ROWS + 1, CLASSES), np.float32), np.zeros((3 * ROWS + GROUPS, WIDTH), np.float32)
-        wc[-1] = np.log(np.maximum(by_class, 1e-9) / max(1.0, by_class.sum()))
-        bias = np.full((GROUPS, WIDTH), -30.0)
-        inner = np.nonzero(self.pos[: self.n] >= 0)[0]
-        bias[self.cls[inner] - SINGLES, self.pos[inner]] = np.log(self.counts[inner] + 0.5)
-        wi[3 * ROWS :] = bias - np.log(np.exp(bias).sum(1, keepdims=True))
-        return wc, wi
+    def plain(self) -> tuple:
+        """What makes it again, without classes of this package: to be broadcast."""
+        return self.words, self.counts, self.total, self.distinct, self.tail_total, self.tail_distinct, self.paths
+
+    def table_bits(self) -> int:
+        return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(ROWS_BY * math.sqrt(max(1, self.total))))))
 
 
 def _hash(x: np.ndarray, salt: int) -> np.ndarray:
     h = (x.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
-    return (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
-def features(ids: np.ndarray, starts: np.ndarray, vocab: Vocabulary) -> np.ndarray:
-    """Rows of the class table for each token: last word, the word before it (skip), both (n-gram)."""
+def features(ids: np.ndarray, starts: np.ndarray, bos: int) -> list[np.ndarray]:
+    """Hashed features of each token: last word, the word before it (skip), both (n-gram)."""
     one, two = np.empty_like(ids), np.empty_like(ids)
     one[1:], two[2:] = ids[:-1], ids[:-2]
-    one[starts] = vocab.bos
-    two[starts] = vocab.bos
+    one[starts] = bos
+    two[starts] = bos
     later = starts[starts + 1 < len(ids)] + 1
-    two[later] = vocab.bos
-    out = np.empty((3, len(ids)), np.int64)
-    out[0] = _hash(one, 1) % ROWS
-    out[1] = _hash(two, 2) % ROWS + ROWS
-    out[2] = _hash(one.astype(np.uint64) * np.uint64(1_000_003) + two.astype(np.uint64), 3) % ROWS + 2 * ROWS
-    return out
-
-
-def inner_rows(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Rows of the word table: each feature hashed with the class, and the bias of the class."""
-    out = np.empty((4, len(group)), np.int64)
-    for k in range(3):
-        out[k] = _hash(rows[k] * GROUPS + group, 5) % ROWS + k * ROWS
-    out[3] = 3 * ROWS + group
-    return out
-
-
-def _softmax_log(table: np.ndarray, rows: np.ndarray, bias: np.ndarray | None) -> np.ndarray:
-    z = np.take(table, rows[0], axis=0, mode="clip")
-    for r in rows[1:]:
-        z += np.take(table, r, axis=0, mode="clip")
-    if bias is not None:
-        z += bias
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
-
-
-def _step(table: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-    for r in rows:
-        order = np.argsort(r.astype(np.uint16), kind="stable")
-        key = r[order]
-        first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
-        g = np.add.reduceat(np.take(grad, order, axis=0, mode="clip"), first, axis=0)
-        u = key[first]
-        squares[u] += g * g
-        table[u] += RATE * g / np.sqrt(squares[u] + 1e-6)
-        seen[u] += np.diff(np.concatenate([first, [len(key)]]))
+    two[later] = bos
+    return [_hash(one, 1), _hash(two, 2), _hash(one.astype(np.uint64) * np.uint64(1_000_003) + two.astype(np.uint64), 3)]
 
 
 class Model:
-    def __init__(self, vocab: Vocabulary, wc: np.ndarray, wi: np.ndarray):
-        self.vocab, self.wc, self.wi = vocab, wc, wi
+    """The tree's decisions, each a softmax over the branches of a node by the hashed features."""
+
+    def __init__(self, vocab: Vocabulary, table: np.ndarray):
+        self.vocab, self.table = vocab, table
+        self.shift = np.uint64(64 - int(math.log2(len(table))))
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
         look, flat, sizes, all_words = self.vocab.ids.__getitem__, [], [], []
@@ -164,49 +147,61 @@ class Model:
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         return np.array(flat, np.int64), starts, all_words
 
-    def train(self, texts: list[bytes], state: dict) -> None:
+    def decisions(self, ids: np.ndarray, hashed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """For each decision on the paths of words: node, branch, table rows; and each word's first."""
+        v = self.vocab
+        size = v.starts[ids + 1] - v.starts[ids]
+        ends = np.cumsum(size)
+        word = np.repeat(np.arange(len(ids)), size)
+        at = np.arange(ends[-1] if len(ends) else 0) + (v.starts[ids] - ends + size)[word]
+        node = v.nodes[at]
+        salt = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        rows = [(((h[word] ^ salt) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int32) for h in hashed]
+        return node, v.branches[at], rows, ends - size
+
+    def logs(self, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        z = np.take(self.vocab.bias, node, axis=0)
+        for r in rows:
+            z += np.take(self.table, r, axis=0)
+        z -= z.max(1, keepdims=True)
+        z -= np.log(np.exp(z).sum(1, keepdims=True))
+        return z
+
+    def train(self, texts: list[bytes], squares: np.ndarray, seen: np.ndarray) -> None:
         ids, starts, _ = self.ids(texts)
-        rows = features(ids, starts, self.vocab)
-        cls, pos = self.vocab.cls[ids], self.vocab.pos[ids]
+        hashed = features(ids, starts, self.vocab.bos)
         for lo in range(0, len(ids), BATCH):
             s = slice(lo, lo + BATCH)
-            p = _softmax_log(self.wc, rows[:, s], self.wc[-1])
-            np.exp(p, out=p)
-            np.negative(p, out=p)
-            p[np.arange(len(p)), cls[s]] += 1
-            _step(self.wc, state["sc"], state["nc"], rows[:, s], p)
-            g = p.sum(0)
-            state["sc"][-1] += g * g
-            self.wc[-1] += RATE * g / np.sqrt(state["sc"][-1] + 1e-6)
-            state["nc"][-1] += len(p)
-            inner = np.nonzero(pos[s] >= 0)[0] + lo
-            if len(inner):
-                at = inner_rows(rows[:, inner], cls[inner] - SINGLES)
-                p = _softmax_log(self.wi, at, None)
-                np.exp(p, out=p)
-                np.negative(p, out=p)
-                p[np.arange(len(p)), pos[inner]] += 1
-                _step(self.wi, state["si"], state["ni"], at, p)
+            node, branch, rows, _ = self.decisions(ids[s], [h[s] for h in hashed])
+            g = self.logs(node, rows)
+            np.exp(g, out=g)
+            np.negative(g, out=g)
+            g[np.arange(len(g)), branch] += 1
+            for r in rows:
+                order = np.argsort(r.astype(np.uint16) if len(self.table) <= 1 << 16 else r, kind="stable")
+                key = r[order]
+                first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+                sums = np.add.reduceat(np.take(g, order, axis=0), first, axis=0)
+                u = key[first]
+                squares[u] += np.einsum("ij,ij->i", sums, sums)
+                self.table[u] += sums * (RATE / np.sqrt(squares[u]))[:, None]
+                seen[u] += np.diff(np.concatenate([first, [len(key)]]))
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
         """For each text: tokens, known tokens, base and model score without absent words, and these."""
         v = self.vocab
         ids, starts, all_words = self.ids(texts)
-        rows = features(ids, starts, v)
-        cls, pos = v.cls[ids], v.pos[ids]
-        logs = v.within[ids].copy()
+        hashed = features(ids, starts, v.bos)
+        logs = np.empty(len(ids))
         for lo in range(0, len(ids), BATCH):
             s = slice(lo, lo + BATCH)
-            p = _softmax_log(self.wc, rows[:, s], self.wc[-1])
-            logs[s] += p[np.arange(len(p)), cls[s]] / math.log(10)
-            inner = np.nonzero(pos[s] >= 0)[0] + lo
-            if len(inner):
-                p = _softmax_log(self.wi, inner_rows(rows[:, inner], cls[inner] - SINGLES), None)
-                logs[inner] += p[np.arange(len(p)), pos[inner]] / math.log(10)
+            node, branch, rows, first = self.decisions(ids[s], [h[s] for h in hashed])
+            p = self.logs(node, rows)
+            logs[s] = np.add.reduceat(p[np.arange(len(p)), branch], first)
         known = ids < v.n
         sums = lambda x: np.add.reduceat(x, starts)
         absent = [[ws[k] for k in np.nonzero(~known[a : a + len(ws)])[0]] for a, ws in zip(starts, all_words, strict=True)]
-        return sums(np.ones(len(ids), np.int64)), sums((v.counts[np.minimum(ids, v.n - 1)] > 0) & known), sums(v.base[ids]), sums(logs), absent
+        return sums(np.ones(len(ids), np.int64)), sums(((v.counts[np.minimum(ids, v.n - 1)] > 0) & known).astype(np.int64)), sums(v.base[ids]), sums(logs) / math.log(10), absent
 
 
 def _texts(b: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -246,11 +241,11 @@ def build_vocabulary(counts: DataFrame, n_docs: int, known: int = KNOWN) -> Voca
     top = counts.orderBy(F.desc("n"), "word").limit(known - 1).collect()
     words_, ns = [b" ", *(r["word"].encode() for r in top)], [n_docs, *(r["n"] for r in top)]
     tails = {r["t"]: r for r in counts.groupBy(tail_column(F.col("word")).alias("t")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    total, distinct = n_docs + sum(r["n"] for r in tails.values()), 1 + sum(r["v"] for r in tails.values())
+    total, distinct = n_docs + sum(r["n"] for r in tails.values()), (n_docs > 0) + sum(r["v"] for r in tails.values())
     tail_total, tail_distinct = np.zeros(TAILS), np.zeros(TAILS)
     for t, r in tails.items():
         tail_total[t], tail_distinct[t] = r["n"], r["v"]
-    for w, n in list(zip(words_, ns, strict=True))[1 : SINGLES + GROUPS * WIDTH]:
+    for w, n in list(zip(words_, ns, strict=True))[1:]:
         tail_total[tail_class(w)] -= n
         tail_distinct[tail_class(w)] -= 1
     return Vocabulary(words_, np.array(ns, np.float64), total, distinct, tail_total, tail_distinct)
@@ -259,52 +254,49 @@ def build_vocabulary(counts: DataFrame, n_docs: int, known: int = KNOWN) -> Voca
 def train_model(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
     """Trains on all of ``texts`` (text binary, part int) by distributed gradient updates.
 
-    In each round every task starts from the same parameters, makes updates over
-    its texts, and returns the table rows it touched with how often; Spark
-    averages each row over the tasks by that number. The tables have a fixed size.
+    Each of the ``rounds`` takes another part of the texts, so more rounds mean
+    less data in each. In a round every task starts from the same parameters,
+    makes updates over its texts, and returns the table rows it touched with how
+    often; Spark averages each row over the tasks by that number. The table
+    grows with the root of the number of tokens, up to a bound of memory.
     """
     spark = texts.sparkSession
-    wc, wi = vocab.prepare().first_weights()
+    table = np.zeros((1 << vocab.table_bits(), WIDTH), np.float32)
+    cores = spark.sparkContext.defaultParallelism
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast((vocab, wc, wi))
+        shared = spark.sparkContext.broadcast((vocab.plain(), table))
 
         def fit(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            vocab, wc, wi = shared.value
-            model = Model(vocab.prepare(), wc.copy(), wi.copy())
-            state = {"sc": np.full_like(wc, 1.0), "si": np.full_like(wi, 1.0), "nc": np.zeros(len(wc)), "ni": np.zeros(len(wi))}
+            plain, table = shared.value
+            model = Model(Vocabulary(*plain), table.copy())
+            squares, seen = np.full(len(table), SQUARES, np.float32), np.zeros(len(table), np.int64)
             for b in batches:
                 for part in _slices(b):
-                    model.train(_texts(part), state)
-            keys, ns, ws = [], [], []
-            for t, (w, n) in enumerate(((model.wc, state["nc"]), (model.wi, state["ni"]))):
-                for k in range(0, len(w), BLOCK):
-                    m = n[k : k + BLOCK]
-                    if m.any():
-                        keys.append(t << 20 | k)
-                        ns.append(m.tobytes())
-                        ws.append((w[k : k + BLOCK] * m[:, None]).astype(np.float32)[m > 0].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(ns, pa.binary()), pa.array(ws, pa.binary())], ["key", "n", "w"])
+                    model.train(_texts(part), squares, seen)
+            for k in range(0, len(table), BLOCK):
+                m = np.minimum(seen[k : k + BLOCK], 2**31 - 1).astype(np.int32)
+                if m.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([m.tobytes()], pa.binary()), pa.array([model.table[k : k + BLOCK][m > 0].astype(np.float16).tobytes()], pa.binary())], ["key", "n", "w"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
             for b in batches:
                 for key, n, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    m = np.frombuffer(n)
-                    width = WIDTH if key >> 20 else CLASSES
-                    s = sums.setdefault(key, [np.zeros(len(m)), np.zeros((len(m), width))])
+                    m = np.frombuffer(n, np.int32)
+                    s = sums.setdefault(key, [np.zeros(len(m)), np.zeros((len(m), WIDTH), np.float32)])
                     s[0] += m
-                    s[1][m > 0] += np.frombuffer(w, np.float32).reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s[0].tobytes() for s in sums.values()], pa.binary()), pa.array([(s[1] / np.maximum(s[0], 1)[:, None]).astype(np.float32).tobytes() for s in sums.values()], pa.binary())], ["key", "n", "w"])
+                    s[1][m > 0] += np.frombuffer(w, np.float16).reshape(-1, WIDTH).astype(np.float32) * m[m > 0, None]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(s[0] > 0).tobytes() for s in sums.values()], pa.binary()), pa.array([(s[1] / np.maximum(s[0], 1)[:, None]).astype(np.float16).tobytes() for s in sums.values()], pa.binary())], ["key", "n", "w"])
 
         schema = "key int, n binary, w binary"
-        done = texts.where(F.col("part") % rounds == r).select("text").mapInArrow(fit, schema).repartition(min(24, 2 * spark.sparkContext.defaultParallelism), "key").mapInArrow(add, schema).collect()  # the tables
-        wc, wi = wc.copy(), wi.copy()
+        parts = texts.where(F.col("part") % rounds == r).select("text").coalesce(max(TASKS, TASKS_A_CORE * cores))
+        done = parts.mapInArrow(fit, schema).repartition(2 * cores, "key").mapInArrow(add, schema).toLocalIterator()  # the table
+        table = table.copy()
         for key, n, w in done:
-            table, at = (wi if key >> 20 else wc), key & (1 << 20) - 1
-            m = np.frombuffer(n) > 0
-            table[at : at + len(m)][m] = np.frombuffer(w, np.float32).reshape(len(m), -1)[m]
+            m = np.frombuffer(n, bool)
+            table[key : key + len(m)][m] = np.frombuffer(w, np.float16).reshape(len(m), WIDTH)[m]
         shared.unpersist()
-    return Model(vocab, wc, wi)
+    return Model(vocab, table)
 
 
 def lm_scores(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:
@@ -312,10 +304,14 @@ def lm_scores(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:
 
     Training rows are those whose crc32 of the id as text, modulo ``folds``, is
     not ``fold``. Words outside the broadcast ones are scored by a join with
-    all counts. Cases: null and empty texts are one end token; a null id counts
-    as the empty text, so it is trained on; repeated rows are trained on and
-    scored as often; an empty table, or one without training rows, has N of 0
-    (every token is then unknown); other columns are not read.
+    all counts. The model's score depends a little on how Spark splits the
+    table, as tasks train side by side.
+    Cases: null and empty texts are one end token; a null id counts as the empty
+    text, so it is trained on; repeated rows are trained on and scored as often;
+    of equally frequent words at the edge of the broadcast ones the first by
+    code point is taken; a text of any length is read whole; an empty table, or
+    one without training rows, has N and V of 0 (every token is then unknown);
+    other columns are not read.
     """
     spark = docs.sparkSession
     fold_of = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds
@@ -324,11 +320,11 @@ def lm_scores(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:
     counts = staged(word_counts(train.select("text")), "counts")
     vocab = build_vocabulary(counts, train.count())
     model = train_model(train, vocab)
-    shared = spark.sparkContext.broadcast((vocab, model.wc, model.wi))
+    shared = spark.sparkContext.broadcast((vocab.plain(), model.table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, wc, wi = shared.value
-        model, row = Model(vocab.prepare(), wc, wi), TaskContext.get().partitionId() << 40
+        plain, table = shared.value
+        model, row = Model(Vocabulary(*plain), table), TaskContext.get().partitionId() << 40
         for whole in batches:
             for b in _slices(whole):
                 n, known, base, score, absent = model.score(_texts(b))
