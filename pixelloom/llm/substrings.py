@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +17,11 @@ from pixelloom.llm.common import documents, staged
 LENGTH, GRAM = 50, 16
 #: Starts of grams within one string.
 SPAN = LENGTH - GRAM + 1
-#: Bits of the filter of anchors seen twice; fixed, so the broadcast is FILTER_BITS / 8 bytes.
-FILTER_BITS = 1 << 29
+#: Bits of the filter of anchors seen twice: so many for a byte of text, within these powers of two (8 to 256 MB). A full
+#: filter lets more segments pass, which changes no result.
+BITS_A_BYTE, LEAST_BITS, MOST_BITS = 0.5, 26, 31
 RANGES = 64
-#: Distinct segments of one anchor that a suffix order is made of; anchors with more are split by string.
+#: Distinct segments of one anchor that a suffix order is made of, and texts that have it; anchors with more are split by string.
 BUCKET = 20_000
 #: Bytes that are scanned at a time.
 SLICE = 1 << 17
@@ -110,10 +111,9 @@ def _scan(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     return np.array([p[0] for p in pieces])[piece], first - begin[piece] + np.array([p[1] for p in pieces])[piece], count, anchor, content
 
 
-def slots(h: np.ndarray) -> np.ndarray:
-    """Filter slots of hashes, which are mixed anew: anchors are small hashes."""
-    h = _mix(h * np.uint64(0x9E3779B97F4A7C15))
-    return (h >> np.uint64(64 - FILTER_BITS.bit_length() + 1)).astype(np.int64)
+def slots(h: np.ndarray, bits: int) -> np.ndarray:
+    """Filter slots (below 2 ** bits) of hashes, which are mixed anew: anchors are small hashes."""
+    return (_mix(h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def pack(sorted_slots: np.ndarray) -> bytes:
@@ -129,39 +129,48 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.int64)[gaps != 65535]
 
 
-def seen_filter(hashed: DataFrame, times: int) -> Broadcast:
-    """Bits (FILTER_BITS, compressed) of slots that ``hashed`` (range int, slots binary) names at least ``times`` (1 or 2) times."""
-    width = FILTER_BITS // RANGES
+def seen_filter(hashed: DataFrame, times: int, bits: int) -> tuple[Broadcast, Broadcast]:
+    """Of the slots that ``hashed`` (range int, slots binary) names: bits (compressed) of those named ``times`` times, and the sorted ones named BUCKET times."""
+    width = (1 << bits) // RANGES
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, list[np.ndarray]] = {}
+        def out(r: int, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(n >= times, bitorder="little").tobytes()], pa.binary()), pa.array([np.nonzero(n >= BUCKET)[0] + r * width], pa.list_(pa.int64()))], ["range", "bits", "hot"])
+
+        now, n = -1, None
         for b in batches:
             for r, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                once, twice = bits.setdefault(r, [np.zeros(width, bool), np.zeros(width, bool)])
+                if r != now:
+                    if n is not None:
+                        yield out(now, n)
+                    now, n = r, np.zeros(width, np.uint16)
                 s = unpack(data)
-                again = s[1:][s[1:] == s[:-1]]
-                twice[s[once[s]]] = True
-                twice[again] = True
-                once[s] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array([np.packbits(v[times - 1], bitorder="little").tobytes() for v in bits.values()], pa.binary())], ["range", "bits"])
+                if len(s):
+                    first = np.nonzero(np.concatenate([[True], s[1:] != s[:-1]]))[0]
+                    more = np.diff(np.concatenate([first, [len(s)]]))
+                    n[s[first]] = np.minimum(n[s[first]] + more, 65535)
+        if n is not None:
+            yield out(now, n)
 
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r, bits in hashed.repartition(RANGES, "range").mapInArrow(merge, "range int, bits binary").collect():
-        out[r * width // 8 : (r + 1) * width // 8] = np.frombuffer(bits, np.uint8)
-    return hashed.sparkSession.sparkContext.broadcast(pa.compress(out, codec="zstd", asbytes=True))
+    all_, hot = np.zeros((1 << bits) // 8, np.uint8), [np.zeros(0, np.int64)]
+    for r, part, many in hashed.repartition(RANGES, "range").sortWithinPartitions("range").mapInArrow(merge, "range int, bits binary, hot array<long>").toLocalIterator():
+        all_[r * width // 8 : (r + 1) * width // 8] = np.frombuffer(part, np.uint8)
+        hot.append(np.array(many, np.int64))
+    spark = hashed.sparkSession.sparkContext
+    return spark.broadcast(pa.compress(all_, codec="zstd", asbytes=True)), spark.broadcast(np.sort(np.concatenate(hot)))
 
 
-def _bits(shared: Broadcast) -> np.ndarray:
-    return np.frombuffer(pa.decompress(shared.value, FILTER_BITS // 8, codec="zstd"), np.uint8)
+def _bits(shared: Broadcast, bits: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(shared.value, (1 << bits) // 8, codec="zstd"), np.uint8)
 
 
 def _has(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
     return (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0
 
 
-def _emit(all_slots: list[np.ndarray]) -> pa.RecordBatch:
+def _emit(all_slots: list[np.ndarray], bits: int) -> pa.RecordBatch:
     s = np.sort(np.concatenate(all_slots)) if all_slots else np.zeros(0, np.int64)
-    width = FILTER_BITS // RANGES
+    width = (1 << bits) // RANGES
     cut = np.searchsorted(s, np.arange(RANGES + 1) * width)
     part = [r for r in range(RANGES) if cut[r + 1] > cut[r]]
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([pack(s[cut[r] : cut[r + 1]] - r * width) for r in part], pa.binary())], ["range", "slots"])
@@ -180,17 +189,17 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _rows(ah: np.ndarray, sh: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+def _rows(ah: np.ndarray, sh: np.ndarray, doc: np.ndarray, at: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
     """Segments of a task's texts. ``known``: a smaller document here has the same, so the row goes.
 
     This pre-aggregates before the shuffle: however many copies there are, the
     bucket of an anchor gets each content from a batch once.
     """
     order = np.lexsort((doc, sh, ah))
-    ah, sh, doc, at = ah[order], sh[order], doc[order], at[order]
+    ah, sh, doc, at, many = ah[order], sh[order], doc[order], at[order], many[order]
     g = _groups(ah, sh)
     known = doc > doc[np.searchsorted(g, np.arange(g[-1] + 1))][g] if len(g) else np.zeros(0, bool)
-    return pa.RecordBatch.from_arrays([pa.array(ah), pa.array(sh), pa.array(doc), pa.array(at), pa.array(known)], ["ah", "sh", "doc", "at", "known"])
+    return pa.RecordBatch.from_arrays([pa.array(ah), pa.array(sh), pa.array(doc), pa.array(at), pa.array(known), pa.array(many)], ["ah", "sh", "doc", "at", "known", "many"])
 
 
 def _whole_buckets(batches: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Iterator[pa.Table]:
@@ -213,21 +222,22 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch], size: int = 1 << 22) -> It
         yield pa.Table.from_batches(held)
 
 
-def _judged(ah: np.ndarray, sh: np.ndarray, doc: np.ndarray, at: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+def _judged(ah: np.ndarray, sh: np.ndarray, doc: np.ndarray, at: np.ndarray, known: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
     """Which segments a smaller document has as a whole, and which must be compared string by string.
 
-    Known rows stand in any partition, so they are set aside first.
+    Known rows stand in any partition, so they are set aside first. Of an anchor
+    that very ``many`` texts have, only segments of one content stand together.
     """
     open_ = ~known
     out = [(doc[known], at[known], np.ones(int(known.sum()), bool), np.zeros(int(known.sum()), bool), ah[known])]
-    ah, sh, doc, at = ah[open_], sh[open_], doc[open_], at[open_]
+    ah, sh, doc, at, many = ah[open_], sh[open_], doc[open_], at[open_], many[open_]
     if len(ah):
         seg, buck = _groups(ah, sh), _groups(ah)
         whole = doc > doc[np.searchsorted(seg, np.arange(seg[-1] + 1))][seg]
         first = np.searchsorted(buck, np.arange(buck[-1] + 2))
         n_segs = seg[first[1:] - 1] - seg[first[:-1]] + 1
-        keep = whole | (n_segs[buck] > 1)
-        out.append((doc[keep], at[keep], whole[keep], n_segs[buck][keep] > BUCKET, ah[keep]))
+        keep = whole | many | (n_segs[buck] > 1)
+        out.append((doc[keep], at[keep], whole[keep], many[keep] | (n_segs[buck][keep] > BUCKET), ah[keep]))
     doc, at, whole, hot, ah = (np.concatenate(c) for c in zip(*out, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(whole), pa.array(ah, mask=~hot)], ["doc", "at", "whole", "hot"])
 
@@ -308,67 +318,73 @@ def removals(docs: DataFrame) -> DataFrame:
     ``hash`` (HASH_BITS) tells texts of one id apart. A segment's place is one
     number, ``at``: the hash, its first start (32 bits), its count (8 bits).
 
-    1. A filter of fixed size learns which anchors occur twice; tasks send it
-       packed slot numbers, about two bytes for 18 bytes of text.
+    1. A filter of bounded size learns which anchors occur twice, and which very
+       often; tasks send it packed slot numbers, about two bytes for 18 bytes of
+       text.
     2. Segments of such anchors are compared as a whole: those of equal content
-       belong to the smallest document that has them.
+       belong to the smallest document that has them. Segments of an anchor that
+       very many texts have are dealt by their content.
     3. Strings of distinct segments that share an anchor are put into suffix
        order, and their longest previous factors say which occur earlier.
     """
     spark = docs.sparkSession
     docs = docs.where("doc is not null")
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, BITS_A_BYTE * n_bytes)))))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
             for k, _, _, ah, _ in scan(b.column("text").to_pylist()):
-                s = slots(ah)
-                both = np.unique(s + k * FILTER_BITS)  # a text counts once
-                held.append(both % FILTER_BITS)
+                s = slots(ah, n_bits)
+                both = np.unique(s | k << n_bits)  # a text counts once
+                held.append(both & (1 << n_bits) - 1)
                 size += len(both)
                 if size > 4_000_000:
-                    yield _emit(held)
+                    yield _emit(held, n_bits)
                     held, size = [], 0
-        yield _emit(held)
+        yield _emit(held, n_bits)
 
-    twice = seen_filter(docs.select("text").mapInArrow(anchors, "range int, slots binary"), 2)
+    twice, often = seen_filter(docs.select("text").mapInArrow(anchors, "range int, slots binary"), 2, n_bits)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _bits(twice)
+        bits, hot = _bits(twice, n_bits), often.value
         for b in batches:
             doc, high = b.column("doc").to_numpy(), b.column("hash").to_numpy() << 40
             found = []
             for k, first, count, ah, sh in scan(b.column("text").to_pylist()):
-                hit = _has(bits, slots(ah))
-                k = k[hit]
-                found.append((bucket(ah[hit]), sh[hit].view(np.int64), doc[k], high[k] | first[hit] << 8 | count[hit]))
+                s = slots(ah, n_bits)
+                hit = _has(bits, s)
+                k, s = k[hit], s[hit]
+                found.append((bucket(ah[hit]), sh[hit].view(np.int64), doc[k], high[k] | first[hit] << 8 | count[hit], np.isin(s, hot)))
             if found:
                 yield _rows(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_buckets(batches):
-            yield _judged(*(t.column(c).to_numpy() for c in ("ah", "sh", "doc", "at", "known")))
+            yield _judged(*(t.column(c).to_numpy() for c in ("ah", "sh", "doc", "at", "known", "many")))
 
-    rows = docs.select("doc", "hash", "text").mapInArrow(shared, "ah int, sh long, doc long, at long, known boolean")
-    rows = rows.repartition(F.when(F.col("known"), F.hash("doc", "at")).otherwise(F.col("ah"))).sortWithinPartitions("ah", "sh", "doc")
+    rows = docs.select("doc", "hash", "text").mapInArrow(shared, "ah int, sh long, doc long, at long, known boolean, many boolean")
+    rows = rows.repartition(F.when(F.col("known"), F.hash("doc", "at")).when(F.col("many"), F.hash("sh")).otherwise(F.col("ah"))).sortWithinPartitions("ah", "sh", "doc")
     judged = staged(rows.mapInArrow(judge, "doc long, at long, whole boolean, hot int"), "judged")
     hot = staged(judged.where("hot is not null").select(F.col("hot").alias("ah"), F.lit(True).alias("hot")).distinct(), "hot")
     twice.destroy()
+    often.destroy()
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _emit([slots(_key(b.column("doc").to_numpy(), b.column("at").to_numpy()))])
+            yield _emit([slots(_key(b.column("doc").to_numpy(), b.column("at").to_numpy()), n_bits)], n_bits)
 
-    unsure = seen_filter(judged.where("not whole").select("doc", "at").mapInArrow(named, "range int, slots binary"), 1)
+    unsure, _ = seen_filter(judged.where("not whole").select("doc", "at").mapInArrow(named, "range int, slots binary"), 1, n_bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _bits(unsure)
+        bits = _bits(unsure, n_bits)
         for b in batches:
             texts = b.column("text").to_pylist()
             doc, high = b.column("doc").to_numpy(), b.column("hash").to_numpy() << 40
             for k, first, count, ah, _ in scan(texts):
                 at = high[k] | first << 8 | count
-                hit = np.nonzero(_has(bits, slots(_key(doc[k], at))))[0]
+                hit = np.nonzero(_has(bits, slots(_key(doc[k], at), n_bits)))[0]
                 parts = [texts[j][f : f + c + LENGTH - 1] for j, f, c in zip(k[hit], first[hit], count[hit], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket(ah[hit])), pa.array(parts, pa.binary()), pa.array(doc[k[hit]]), pa.array(at[hit])], ["ah", "part", "doc", "at"])
 
@@ -411,9 +427,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Texts are UTF-8 bytes; every byte goes that lies in a string of LENGTH bytes
     that a document of smaller doc_id has too, as they were given. Cases: null
-    texts are empty; shorter texts stay whole; rows without an id stay whole and
-    come before none; rows of one id do not shorten each other; an empty table
-    gives no rows; other columns are not read.
+    texts are empty; shorter texts stay whole; longer ones are scanned in pieces of
+    4 MB that overlap; rows without an id stay whole and come before none; rows
+    of one id do not shorten each other (a tie); an empty table gives no rows;
+    other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).bitwiseAND((1 << HASH_BITS) - 1).alias("hash"), text.cast("binary").alias("text"))
@@ -433,16 +450,3 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(texts: dict[int, bytes], length: int = LENGTH) -> dict[int, tuple[int, int, str]]:
-    """The same by a set of all strings; for tests."""
-    seen: set[bytes] = set()
-    out = {}
-    for d in sorted(texts):
-        t = texts[d]
-        starts = [i for i in range(len(t) - length + 1) if t[i : i + length] in seen]
-        seen |= {t[i : i + length] for i in range(len(t) - length + 1)}
-        kept, n = strip_repeats(t, [(i, length) for i in starts])
-        out[d] = (len(t) - len(kept), n, hashlib.sha256(kept).hexdigest())
-    return out
