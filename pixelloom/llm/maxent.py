@@ -26,8 +26,8 @@ ROWS_BY, LEAST_BITS, MOST_BITS = 8, 16, 22
 #: Training passes, each over another part of the corpus; parameters are averaged after each.
 ROUNDS = 2
 #: Step of updates, and what their sum of squares begins with.
-RATE, SQUARES = 1.0, 4.0
-BATCH = 4096
+RATE, SQUARES = 1.5, 4.0
+BATCH = 8192
 #: Table rows in one record of parameters.
 BLOCK = 256
 #: Training tasks: as many as the input has parts, but at most so many for each core and in all.
@@ -119,14 +119,25 @@ def _hash(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def features(ids: np.ndarray, starts: np.ndarray, bos: int) -> list[np.ndarray]:
-    """Hashed features of each token: last word, the word before it (skip), both (n-gram)."""
+    """Hashed features of each token: the last word (with the token an n-gram) and the word before it (a skip)."""
     one, two = np.empty_like(ids), np.empty_like(ids)
     one[1:], two[2:] = ids[:-1], ids[:-2]
     one[starts] = bos
     two[starts] = bos
     later = starts[starts + 1 < len(ids)] + 1
     two[later] = bos
-    return [_hash(one, 1), _hash(two, 2), _hash(one.astype(np.uint64) * np.uint64(1_000_003) + two.astype(np.uint64), 3)]
+    return [_hash(one, 1), _hash(two, 2)]
+
+
+def _order(x: np.ndarray) -> np.ndarray:
+    """Stable order of numbers below 2 ** 32, by 16 bits at a time, which numpy sorts by digits."""
+    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    high = (x >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
+#: Sums of rows by a product are faster than along a short axis.
+ONES = np.ones(WIDTH, np.float32)
 
 
 class Model:
@@ -159,13 +170,18 @@ class Model:
         rows = [(((h[word] ^ salt) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int32) for h in hashed]
         return node, v.branches[at], rows, ends - size
 
-    def logs(self, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    def weights(self, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        """Sums of the parameters of each branch, to be exponentiated."""
         z = np.take(self.vocab.bias, node, axis=0)
         for r in rows:
             z += np.take(self.table, r, axis=0)
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return z
+        return np.minimum(z, 60, out=z)  # within what float32 can exponentiate
+
+    def logs(self, node: np.ndarray, branch: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        """Log probability of the branch taken at each decision."""
+        z = self.weights(node, rows)
+        taken = z[np.arange(len(z)), branch]
+        return taken - np.log(np.exp(z, out=z) @ ONES)
 
     def train(self, texts: list[bytes], squares: np.ndarray, seen: np.ndarray) -> None:
         ids, starts, _ = self.ids(texts)
@@ -173,19 +189,27 @@ class Model:
         for lo in range(0, len(ids), BATCH):
             s = slice(lo, lo + BATCH)
             node, branch, rows, _ = self.decisions(ids[s], [h[s] for h in hashed])
-            g = self.logs(node, rows)
+            g = self.weights(node, rows)
             np.exp(g, out=g)
-            np.negative(g, out=g)
+            g *= (-1 / (g @ ONES))[:, None]
             g[np.arange(len(g)), branch] += 1
-            for r in rows:
-                order = np.argsort(r.astype(np.uint16) if len(self.table) <= 1 << 16 else r, kind="stable")
-                key = r[order]
-                first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
-                sums = np.add.reduceat(np.take(g, order, axis=0), first, axis=0)
-                u = key[first]
-                squares[u] += np.einsum("ij,ij->i", sums, sums)
-                self.table[u] += sums * (RATE / np.sqrt(squares[u]))[:, None]
-                seen[u] += np.diff(np.concatenate([first, [len(key)]]))
+            all_ = np.concatenate(rows)
+            order = _order(all_)
+            key = all_[order]
+            first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+            size = np.diff(np.concatenate([first, [len(key)]]))
+            order %= len(g)
+            u, one = key[first], size == 1
+            sums = np.take(g, order[first], axis=0)  # most rows occur once in a batch
+            many = np.nonzero(~one)[0]
+            if len(many):
+                rest = np.repeat(~one, size)
+                begin = np.concatenate([[0], np.cumsum(size[many])[:-1]])
+                sums[many] = np.add.reduceat(np.take(g, order[rest], axis=0), begin, axis=0)
+            squares[u] += np.einsum("ij,ij->i", sums, sums)
+            sums *= (RATE / np.sqrt(squares[u]))[:, None]
+            self.table[u] += sums
+            seen[u] += size
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
         """For each text: tokens, known tokens, base and model score without absent words, and these."""
@@ -196,8 +220,7 @@ class Model:
         for lo in range(0, len(ids), BATCH):
             s = slice(lo, lo + BATCH)
             node, branch, rows, first = self.decisions(ids[s], [h[s] for h in hashed])
-            p = self.logs(node, rows)
-            logs[s] = np.add.reduceat(p[np.arange(len(p)), branch], first)
+            logs[s] = np.add.reduceat(self.logs(node, branch, rows), first)
         known = ids < v.n
         sums = lambda x: np.add.reduceat(x, starts)
         absent = [[ws[k] for k in np.nonzero(~known[a : a + len(ws)])[0]] for a, ws in zip(starts, all_words, strict=True)]
