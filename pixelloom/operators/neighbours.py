@@ -73,20 +73,6 @@ def find_edges(px: DataFrame) -> DataFrame:
     return at.select("x", "y", *(F.when(F.col("a") == 0, F.lit(0)).otherwise(one(c)).alias(c) for c in RGB), "a")
 
 
-def _median(c: str) -> Column:
-    return F.get(F.sort_array(f"n_{c}"), F.lit(4))
-
-
-def median(px: DataFrame) -> DataFrame:
-    """Median of the 3 x 3 values of each channel."""
-    return nine(px).select("x", "y", *(_median(c).alias(c) for c in RGBA))
-
-
-def dust_and_scratches(px: DataFrame, threshold: int = 20) -> DataFrame:
-    """The median where a channel differs from it by more than the threshold."""
-    return nine(px).select("x", "y", *(F.when(F.abs(F.col(c) - _median(c)) > threshold, _median(c)).otherwise(F.col(c)).alias(c) for c in RGBA))
-
-
 def kernel(sigma: float) -> list[float]:
     """Gaussian weights from the centre outwards; both sides sum to one."""
     half = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(math.ceil(3 * sigma) + 1)]

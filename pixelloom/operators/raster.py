@@ -99,18 +99,10 @@ def downsample(px: DataFrame) -> DataFrame:
     return g.select("x", "y", *(F.when(F.col("a") == 0, F.lit(0)).otherwise(F.floor(F.col(c) / F.col("a") + 0.5)).cast("long").alias(c) for c in RGB), half_up(F.col("a") / 4).alias("a"))
 
 
-def mosaic(px: DataFrame, cell: int = 8) -> DataFrame:
-    """Mean colour of each cell, painted on its pixels: one aggregation and a join on the cell."""
-    keyed = px.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    mean = keyed.groupBy("cx", "cy").agg(*(F.sum(F.col(c) * F.col("a")).alias(c) for c in RGB), F.sum("a").alias("sa"))
-    mean = mean.select("cx", "cy", *(F.when(F.col("sa") == 0, F.lit(0)).otherwise(F.floor(F.col(c) / F.col("sa") + 0.5)).cast("long").alias(c) for c in RGB))
-    return keyed.select("x", "y", "a", "cx", "cy").join(mean, ["cx", "cy"]).select("x", "y", *RGB, "a")
-
-
 # Selections: (x, y, cov 0...255); absent pixels have coverage 0.
 
 
-def ellipse(px: DataFrame, cx: int = 50, cy: int = 50, radius: int = 30) -> DataFrame:
+def circle(px: DataFrame, cx: int = 50, cy: int = 50, radius: int = 30) -> DataFrame:
     inside = (F.col("x") - cx) * (F.col("x") - cx) + (F.col("y") - cy) * (F.col("y") - cy) <= radius * radius
     return px.select("x", "y", F.when(inside, 255).otherwise(0).cast("long").alias("cov"))
 
@@ -137,13 +129,6 @@ def through(px: DataFrame, adjusted: DataFrame, selection: DataFrame) -> DataFra
     return both.select("x", "y", *(half_up(F.col(c) + (F.col(f"new_{c}") - F.col(c)) * cov / 255).alias(c) for c in RGB), "a")
 
 
-def similar(px: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Pixels whose 32-level colour cell occurs under a selection (coverage of 128 or more)."""
-    cell = [F.shiftright(c, 3).alias(f"c{c}") for c in RGB]
-    cells = px.join(seeds.where("cov >= 128"), ["x", "y"]).select(*cell).distinct()
-    return px.select("x", "y", *cell).join(cells, [f"c{c}" for c in RGB], "left_semi").select("x", "y", F.lit(255).cast("long").alias("cov"))
-
-
 # Windows along rows and columns; edges repeat the border pixel.
 
 
@@ -151,35 +136,6 @@ def _axis(axis: str) -> Window:
     return Window.partitionBy("y" if axis == "x" else "x").orderBy(axis)
 
 
-def box_blur(px: DataFrame, radius: int = 2, axis: str = "x") -> DataFrame:
-    """Running means with replicated edges, as one window for all channels."""
-    w = _axis(axis)
-    frame, whole = w.rowsBetween(-radius, radius), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    k, n = F.row_number().over(w) - 1, F.count("*").over(whole)
-    before, after = F.greatest(F.lit(0), radius - k), F.greatest(F.lit(0), k + radius - n + 1)
-    mean = lambda c: F.floor((F.sum(c).over(frame) + before * F.first(c).over(whole) + after * F.last(c).over(whole)) / (2 * radius + 1) + 0.5)
-    return px.select("x", "y", *(mean(c).cast("long").alias(c) for c in (*RGB, "a")))
-
-
-def extreme(px: DataFrame, radius: int = 1, largest: bool = True) -> DataFrame:
-    """Square maximum or minimum: separable, so two windows."""
-    f = F.max if largest else F.min
-    for axis in ("x", "y"):
-        w = _axis(axis).rowsBetween(-radius, radius)
-        px = px.select("x", "y", *(f(c).over(w).alias(c) for c in (*RGB, "a")))
-    return px
-
-
-def binomial(px: DataFrame) -> DataFrame:
-    """3 x 3 binomial blur of straight channels, from neighbours in two windows."""
-    sums = px
-    for axis in ("x", "y"):
-        w = _axis(axis)
-        near = lambda c: F.coalesce(F.lag(c).over(w), F.col(c)) + 2 * F.col(c) + F.coalesce(F.lead(c).over(w), F.col(c))  # noqa: B023, E731
-        sums = sums.select("x", "y", *(near(c).alias(c) for c in (*RGB, "a")))
-    return sums.select("x", "y", *(F.floor(F.col(c) / 16 + 0.5).cast("long").alias(c) for c in (*RGB, "a")))
-
-
 def edges(px: DataFrame) -> DataFrame:
     """Absolute differences of luminance to the next pixel in x and y."""
     lum = half_up(luminance())
@@ -191,16 +147,26 @@ def edges(px: DataFrame) -> DataFrame:
 # Geometry.
 
 
-def offset(px: DataFrame, dx: int, dy: int, width: int, height: int) -> DataFrame:
-    return px.select(F.pmod(F.col("x") + dx, F.lit(width)).alias("x"), F.pmod(F.col("y") + dy, F.lit(height)).alias("y"), *RGB, "a")
+def _sized(px: DataFrame) -> DataFrame:
+    """Adds w and h, the size of the raster: one aggregated row, broadcast."""
+    return px.join(F.broadcast(px.agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))))
+
+
+def offset(px: DataFrame, dx: int, dy: int) -> DataFrame:
+    """Moves a raster; what leaves it comes in at the other side."""
+    return _sized(px).select(F.pmod(F.col("x") + dx, F.col("w")).alias("x"), F.pmod(F.col("y") + dy, F.col("h")).alias("y"), *RGB, "a")
 
 
-def flip(px: DataFrame, width: int) -> DataFrame:
-    return px.select((width - 1 - F.col("x")).alias("x"), "y", *RGB, "a")
+def flip(px: DataFrame, vertical: bool = False) -> DataFrame:
+    at = _sized(px)
+    return at.select("x", (F.col("h") - 1 - F.col("y")).alias("y"), *RGB, "a") if vertical else at.select((F.col("w") - 1 - F.col("x")).alias("x"), "y", *RGB, "a")
 
 
-def rotate90(px: DataFrame, height: int) -> DataFrame:
-    return px.select((height - 1 - F.col("y")).alias("x"), F.col("x").alias("y"), *RGB, "a")
+def rotate(px: DataFrame, degrees: int) -> DataFrame:
+    """A quarter, half or three-quarter turn clockwise."""
+    x, y, right, low = F.col("x"), F.col("y"), F.col("w") - 1, F.col("h") - 1
+    to = {90: (low - y, x), 180: (right - x, low - y), 270: (y, right - x)}[degrees]
+    return _sized(px).select(to[0].alias("x"), to[1].alias("y"), *RGB, "a")
 
 
 def crop(px: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFrame:

@@ -101,8 +101,6 @@ _SOBEL = f"case when a = 0 then 0 else cast(round_even(255 - least(255::double,
 _one("filter_find_edges", N.find_edges, PX + ", st as (select x, y, " + ", ".join(f"case when a = 0 then 0 else {c} end as {c}" for c in "rgb") + ", a from pe)" + _near("rgb", "st") + " select x, y, " + ", ".join(_SOBEL.format(c=c) for c in "rgb") + ", a from nb")
 _MED = "list_sort([{0}])[5]"
 _MEDS = {c: _MED.format(", ".join(f"{c}{i}" for i in range(9))) for c in "rgba"}
-_one("filter_median", N.median, PX + _near("rgba", "pe") + " select x, y, " + ", ".join(f"{m} as {c}" for c, m in _MEDS.items()) + " from nb")
-_one("filter_dust_scratches", N.dust_and_scratches, PX + _near("rgba", "pe") + " select x, y, " + ", ".join(f"case when abs({c} - {m}) > 20 then {m} else {c} end as {c}" for c, m in _MEDS.items()) + " from nb")
 
 
 def _gauss(sigma: float) -> str:
@@ -127,9 +125,9 @@ def _far(name: str, mark: str, reach: int) -> str:
     return f", {name} as (select p.x, p.y, min((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) as d from s p join s q on q.cov {mark} and abs(p.x - q.x) <= {reach} and abs(p.y - q.y) <= {reach} group by 1, 2)"
 
 
-_one("select_expand", lambda px: N.expand(R.ellipse(px)), _SEL + _far("f", ">= 128", 3) + " select s.x, s.y, case when d <= 9 then 255 else cov end as cov from s left join f on s.x = f.x and s.y = f.y")
-_one("select_contract", lambda px: N.contract(R.ellipse(px)), _SEL + _far("f", "< 128", 3) + " select s.x, s.y, case when d <= 9 then 0 else cov end as cov from s left join f on s.x = f.x and s.y = f.y")
-_one("select_border", lambda px: N.border(R.ellipse(px)), _SEL + _far("o", ">= 128", 2) + _far("i", "< 128", 2) + " select s.x, s.y, case when (case when cov >= 128 then i.d else o.d end) <= 4 then 255 else 0 end::bigint as cov from s left join o on s.x = o.x and s.y = o.y left join i on s.x = i.x and s.y = i.y")
+_one("select_expand", lambda px: N.expand(R.circle(px)), _SEL + _far("f", ">= 128", 3) + " select s.x, s.y, case when d <= 9 then 255 else cov end as cov from s left join f on s.x = f.x and s.y = f.y")
+_one("select_contract", lambda px: N.contract(R.circle(px)), _SEL + _far("f", "< 128", 3) + " select s.x, s.y, case when d <= 9 then 0 else cov end as cov from s left join f on s.x = f.x and s.y = f.y")
+_one("select_border", lambda px: N.border(R.circle(px)), _SEL + _far("o", ">= 128", 2) + _far("i", "< 128", 2) + " select s.x, s.y, case when (case when cov >= 128 then i.d else o.d end) <= 4 then 255 else 0 end::bigint as cov from s left join o on s.x = o.x and s.y = o.y left join i on s.x = i.x and s.y = i.y")
 _one("select_smooth", lambda px: N.smooth(T.color_mask(px, fuzziness=120)), PX + f", s as (select x, y, ({_byte('(1 - sqrt(((r - 120) * (r - 120) + (g - 90) * (g - 90) + (b - 60) * (b - 60))::double) / 180::double)')} >= 128)::bigint as o from pe)" + _near("o", "s") + f" select x, y, case when ({' + '.join(f'o{i}' for i in range(9))}) * 2 >= 9 then 255 else 0 end::bigint as cov from nb")
 
 # Layers.
@@ -149,7 +147,7 @@ def _fill(mode: str, neutral: str, fill: str) -> str:
     return BLEND_SQL[mode].format(b="{b}", s=f"({neutral} + ({{s}} - {neutral}) * {fill}::double)")
 
 
-_two("layer_masked", lambda p, o: L.place(p, o, "multiply", mask=R.ellipse(p), density=0.75), _place("{b} * {s}", "sa * (1 - 0.75::double * (1 - cov / 255::double))", f"case when old then {CIRCLE} else 0 end"))
+_two("layer_masked", lambda p, o: L.place(p, o, "multiply", mask=R.circle(p), density=0.75), _place("{b} * {s}", "sa * (1 - 0.75::double * (1 - cov / 255::double))", f"case when old then {CIRCLE} else 0 end"))
 _two("layer_fill_linear_burn", lambda p, o: L.place(p, o, "linearBurn", fill=0.5), _place(_fill("linearBurn", "1::double", "0.5"), "sa"))
 _two("layer_fill_difference", lambda p, o: L.place(p, o, "difference", opacity=0.9, fill=0.4), _place(_fill("difference", "0::double", "0.4"), "sa * 0.9::double"))
 _two("layer_fill_hard_mix", lambda p, o: L.place(p, o, "hardMix", fill=0.5), _place(_unit("({b} + 0.5::double * {s} - 0.5::double) / 0.5::double"), "sa"))

@@ -73,11 +73,6 @@ def _each(form: str) -> dict[str, str]:
     return {c: form.format(v=c) for c in "rgb"}
 
 
-def _near_sql(axis: str, source: str) -> str:
-    w = f"over (partition by {'y' if axis == 'x' else 'x'} order by {axis})"
-    return "select x, y, " + ", ".join(f"coalesce(lag({c}) {w}, {c}) + 2 * {c} + coalesce(lead({c}) {w}, {c}) as {c}" for c in "rgba") + f" from {source}"
-
-
 LUM = "(0.3::double * r + 0.59::double * g + 0.11::double * b)"
 CIRCLE = "cast(case when (x - 50) * (x - 50) + (y - 50) * (y - 50) <= 900 then 255 else 0 end as bigint)"
 RECT = "cast(floor(255 * greatest(0::double, least(x + 1.0::double, 60.75::double) - greatest(x * 1.0::double, 10.25::double)) * greatest(0::double, least(y + 1.0::double, 40.5::double) - greatest(y * 1.0::double, 5.5::double)) + 0.5) as bigint)"
@@ -111,21 +106,16 @@ _add("stats_equalize", R.equalize, PX + f", h as (select cast(floor({LUM} + 0.5)
 _add("stats_bounds", R.bounds, PX + " select min(x) as x0, min(y) as y0, max(x) + 1 as x1, max(y) + 1 as y1 from pe where a <> 0")
 _add("stats_color_sums", R.color_sums, PX + " select " + ", ".join(f"cast(sum({c} * a) as bigint) as sum_{c}" for c in "rgb") + ", cast(sum(a) as bigint) as sum_a, count(*) as n from pe where a <> 0")
 _add("mip_downsample", R.downsample, PX + f" select cast(floor(x / 2) as bigint) as x, cast(floor(y / 2) as bigint) as y, {MEAN}, cast(floor(sum(a) / 4::double + 0.5) as bigint) as a from pe group by floor(x / 2), floor(y / 2)")
-_add("filter_mosaic", R.mosaic, PX + f", m as (select floor(x / 8) as cx, floor(y / 8) as cy, {MEAN} from pe group by 1, 2) select pe.x, pe.y, m.r, m.g, m.b, pe.a from pe join m on floor(pe.x / 8) = cx and floor(pe.y / 8) = cy")
 for _op, _f in (("add", "greatest({0}, {1})"), ("subtract", "greatest(0, {0} - {1})"), ("intersect", "least({0}, {1})")):
-    _add(f"select_{_op}", lambda px, op=_op: R.combine(R.ellipse(px), R.rectangle(px), op), PX + f" select x, y, cast({_f.format(CIRCLE, RECT)} as bigint) as cov from pe")
-_add("select_similar", lambda px: R.similar(px, R.ellipse(px)), PX + f", c as (select distinct r >> 3 as cr, g >> 3 as cg, b >> 3 as cb from pe where {CIRCLE} >= 128) select x, y, 255::bigint as cov from pe join c on r >> 3 = cr and g >> 3 = cg and b >> 3 = cb")
+    _add(f"select_{_op}", lambda px, op=_op: R.combine(R.circle(px), R.rectangle(px), op), PX + f" select x, y, cast({_f.format(CIRCLE, RECT)} as bigint) as cov from pe")
 _add("adjust_through_selection", lambda px: R.through(px, R.invert(px), R.rectangle(px)), PX + " select x, y, " + ", ".join(f"cast(floor({c} + ((case when a = 0 then {c} else 255 - {c} end) - {c}) * {RECT} / 255::double + 0.5) as bigint) as {c}" for c in "rgb") + ", a from pe")
-_BOX = "cast(floor((" + " + ".join(f"first_value({{c}}) over (partition by y order by x rows between {-k} preceding and unbounded following)" if k == 0 else f"coalesce({'lag' if k < 0 else 'lead'}({{c}}, {abs(k)}) over (partition by y order by x), {'first' if k < 0 else 'last'}_value({{c}}) over (partition by y order by x rows between unbounded preceding and unbounded following))" for k in (-2, -1, 1, 2)) + " + {c}) / 5::double + 0.5) as bigint) as {c}"
-_add("filter_box_blur", R.box_blur, PX + " select x, y, " + ", ".join(_BOX.format(c=c) for c in "rgba") + " from pe")
-for _n, _big in (("maximum", True), ("minimum", False)):
-    _agg = "max" if _big else "min"
-    _add(f"filter_{_n}", lambda px, big=_big: R.extreme(px, 1, big), PX + " select p.x, p.y, " + ", ".join(f"{_agg}(q.{c}) as {c}" for c in "rgba") + " from pe p join pe q on q.x between p.x - 1 and p.x + 1 and q.y between p.y - 1 and p.y + 1 group by 1, 2")
-_add("filter_binomial", R.binomial, PX + f", h as ({_near_sql('x', 'pe')}), v as ({_near_sql('y', 'h')}) select x, y, " + ", ".join(f"cast(floor({c} / 16::double + 0.5) as bigint) as {c}" for c in "rgba") + " from v")
 _add("filter_edges", R.edges, PX + f", l as (select x, y, cast(floor({LUM} + 0.5) as bigint) as l from pe) select x, y, abs(coalesce(lead(l) over (partition by y order by x), l) - l) as dx, abs(coalesce(lead(l) over (partition by x order by y), l) - l) as dy from l")
-_add("geometry_offset", lambda px: R.offset(px, 30, 7, 100, 10), PX + " select (x + 30) % 100 as x, (y + 7) % 10 as y, r, g, b, a from pe")
-_add("geometry_flip", lambda px: R.flip(px, 100), PX + " select 99 - x as x, y, r, g, b, a from pe")
-_add("geometry_rotate90", lambda px: R.rotate90(px, 100), PX + " select 99 - y as x, x as y, r, g, b, a from pe")
+_DM = ", dm as (select max(x) + 1 as w, max(y) + 1 as h from pe)"
+_add("geometry_offset", lambda px: R.offset(px, 30, 7), PX + _DM + " select (x + 30) % w as x, (y + 7) % h as y, r, g, b, a from pe, dm")
+_add("geometry_flip", R.flip, PX + _DM + " select w - 1 - x as x, y, r, g, b, a from pe, dm")
+_add("geometry_flip_vertical", lambda px: R.flip(px, vertical=True), PX + _DM + " select x, h - 1 - y as y, r, g, b, a from pe, dm")
+for _turn, _at in ((90, "h - 1 - y as x, x as y"), (180, "w - 1 - x as x, h - 1 - y as y"), (270, "y as x, w - 1 - x as y")):
+    _add(f"geometry_rotate{_turn}", lambda px, turn=_turn: R.rotate(px, turn), PX + _DM + f" select {_at}, r, g, b, a from pe, dm")
 _add("geometry_crop", lambda px: R.crop(px, 10, 2, 60, 8), PX + " select x - 10 as x, y - 2 as y, r, g, b, a from pe where x >= 10 and x < 60 and y >= 2 and y < 8")
 _add("noise_dissolve", lambda px: px.select("x", "y", F.floor(dissolve_noise(F.col("x"), F.col("y")) * 1000000).cast("long").alias("n")), PX + ", h as (select x, y, (x * 374761393 + y * 668265263) & 4294967295 as h from pe), i as (select x, y, xor(h, h >> 13) as h from h), k as (select x, y, cast((case when h >= 2147483648 then h - 4294967296 else h end)::double * 1274126177::double as bigint) & 4294967295 as h from i) select x, y, cast(floor(xor(h, h >> 16) / 4294967296::double * 1000000) as bigint) as n from k")
 

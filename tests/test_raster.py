@@ -3,9 +3,10 @@ import os
 import duckdb
 import pytest
 
-from pixelloom.plans import colors, more, queries
+from pixelloom.plans import adjustments, colors, filters, more, queries, scalars, selections
 
-QUERIES, ORACLE_SQL = queries.QUERIES | more.QUERIES | colors.QUERIES, queries.ORACLE_SQL | more.ORACLE_SQL | colors.ORACLE_SQL
+PARTS = (queries, more, colors, adjustments, scalars, filters, selections)
+QUERIES, ORACLE_SQL = ({k: v for part in PARTS for k, v in getattr(part, name).items()} for name in ("QUERIES", "ORACLE_SQL"))
 SF = "/root/testdata/sf0.001"
 
 
