@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelloom.functions.blend import clamp
 from pixelloom.operators.raster import RGB
 
 RGBA = (*RGB, "a")
@@ -147,3 +148,14 @@ def smooth(sel: DataFrame) -> DataFrame:
     at = nine(sel.withColumn("on", (F.col("cov") >= 128).cast("long")), ("on",))
     count = sum(F.get("n_on", F.lit(i)) for i in range(9))
     return at.select("x", "y", F.when(count * 2 >= 9, 255).otherwise(0).cast("long").alias("cov"))
+
+
+def high_pass(px: DataFrame, sigma: float = 2) -> DataFrame:
+    """What a blur takes away, about middle grey, in straight colour."""
+    at = _blurred(px, sigma)
+    one = lambda c: F.rint(clamp((F.col(c) - F.col(f"g_{c}") * 255 / F.col("g_a")) / 255 + 0.5) * 255).cast("long")
+    return at.select("x", "y", *(F.when(F.col("a") == 0, F.lit(0).cast("long")).otherwise(one(c)).alias(c) for c in RGB), "a")
+
+
+def sharpen_edges(px: DataFrame) -> DataFrame:
+    return unsharp_mask(px, 1.0, 1.0, 8)

@@ -292,3 +292,84 @@ def offset(px: DataFrame, dx: int, dy: int, edge: str = "wrap") -> DataFrame:
         return moved
     free = straight(px).select("x", "y").join(moved, ["x", "y"], "left")
     return free.select("x", "y", *(F.coalesce(c, F.lit(0)).alias(c) for c in RGBA))
+
+
+def despeckle(px: DataFrame) -> DataFrame:
+    """The median of 3 x 3 where luminance varies little there, fading out towards edges."""
+    base = straight(px).withColumn("l", F.col("r") * 30 + F.col("g") * 59 + F.col("b") * 11)
+    at = around(base, (*RGB, "l"), 1)
+    k = F.greatest(F.lit(0.0), 1 - (F.array_max("n_l") - F.array_min("n_l")) / 25500 / 0.25)
+    return straight(at.select("x", "y", *(F.rint(F.col(c) + (_median(c, 1) - F.col(c)) * k).cast("long").alias(c) for c in RGB), "a"))
+
+
+def surface_blur(px: DataFrame, radius: int = 5, threshold: int = 15) -> DataFrame:
+    """Each channel's mean over a square, weighted by alpha and by how near a value is to the pixel's own."""
+    at = around(straight(px), RGBA, radius)
+
+    def one(c: str) -> Column:
+        near = F.zip_with(f"n_{c}", "n_a", lambda v, a: F.struct(v.alias("v"), (F.greatest(F.lit(0.0), 1 - F.abs(v - F.col(c)) / (2.5 * threshold)) * a).alias("w")))
+        sums = F.aggregate(near, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda t, e: F.struct((t["s"] + e["v"] * e["w"]).alias("s"), (t["w"] + e["w"]).alias("w")))
+        return F.rint(F.when(sums["w"] > 0, sums["s"] / sums["w"]).otherwise(F.col(c))).cast("long")
+
+    return straight(at.select("x", "y", *(one(c).alias(c) for c in RGB), "a"))
+
+
+def wind(px: DataFrame, blast: bool = False, from_right: bool = True, seed: int = 1) -> DataFrame:
+    """Brightness carried along a row and fading: a running maximum of levels weighed by their distance.
+
+    A row is a window partition. Levels are compared by their logarithms, so
+    that long rows do not overflow.
+    """
+    fade = F.lit(math.log(0.985)) if blast else F.log(0.93 + noise(F.lit(1), F.col("y"), seed) * 0.05)
+    w = Window.partitionBy("y").orderBy(F.desc("x") if from_right else F.col("x")).rowsBetween(Window.unboundedPreceding, 0)
+    k = -F.col("x") if from_right else F.col("x")
+    at = straight(px).withColumn("fade", fade).withColumn("k", k)
+    carried = lambda c: F.exp(F.max(F.when(F.col(c) > 0, F.log(F.col(c) * 1.0) - F.col("k") * F.col("fade"))).over(w) + F.col("k") * F.col("fade"))
+    return straight(at.select("x", "y", *(F.rint(F.coalesce(F.greatest(F.col(c) * 1.0, carried(c)), F.lit(0.0))).cast("long").alias(c) for c in RGB), "a"))
+
+
+def stagger(px: DataFrame, from_right: bool = True, seed: int = 1) -> DataFrame:
+    """Rows moved by up to 11 pixels, each by its own noise; the border pixel repeats."""
+    by = F.floor(noise(F.lit(0), F.col("y"), seed) * 12) * (-1 if from_right else 1)
+    at = straight(px).join(F.broadcast(px.agg((F.max("x") + 1).alias("w")))).withColumn("by", by)
+    to = F.when((F.col("x") == 0) & (F.col("by") > 0), F.sequence(F.lit(0).cast("long"), F.col("by"))).when((F.col("x") == F.col("w") - 1) & (F.col("by") < 0), F.sequence(F.col("x") + F.col("by"), F.col("x"))).otherwise(F.array(F.col("x") + F.col("by")))
+    return at.withColumn("x", F.explode(to)).where("x >= 0 and x < w").select("x", "y", *RGBA)
+
+
+def _lattice(x: Column, y: Column, seed: float) -> Column:
+    """Noise between the corners of a lattice that repeats after 256 cells."""
+    x0, y0 = F.floor(x), F.floor(y)
+    ease = lambda t: t * t * (3 - 2 * t)
+    corner = lambda i, j: noise(F.pmod(x0 + i, F.lit(256)), F.pmod(y0 + j, F.lit(256)), int(seed))
+    mix = lambda p, q, t: p + (q - p) * t
+    sx, sy = ease(x - x0), ease(y - y0)
+    return mix(mix(corner(0, 0), corner(1, 0), sx), mix(corner(0, 1), corner(1, 1), sx), sy)
+
+
+def fractal(x: Column, y: Column, scale: int, seed: int, sx: float = 1, sy: float = 1) -> Column:
+    """Octaves of lattice noise, each half as large and half as strong as the last."""
+    steps = [scale >> k for k in range(scale.bit_length())]
+    total = sum(0.5 ** (k + 1) for k in range(len(steps)))
+    return sum((_lattice(x * sx / s, y * sy / s, seed + s) * 0.5 ** (k + 1) for k, s in enumerate(steps)), F.lit(0.0)) / total
+
+
+def _painted(px: DataFrame, t: Column, front: tuple, back: tuple) -> DataFrame:
+    at = px.withColumn("t", t)
+    return at.select("x", "y", *(F.rint((f + (b - f) * F.col("t")) * 255).cast("long").alias(c) for c, f, b in zip(RGB, front, back, strict=True)), F.lit(255).cast("long").alias("a"))
+
+
+def clouds(px: DataFrame, front: tuple = (0, 0, 0), back: tuple = (1, 1, 1), seed: int = 1, contrast: bool = False) -> DataFrame:
+    """Opaque clouds between two colours, whatever was there."""
+    return _painted(px, clamp(0.5 + (fractal(F.col("x"), F.col("y"), 256, seed) - 0.5) * (4 if contrast else 2.2)), front, back)
+
+
+def difference_clouds(px: DataFrame, front: tuple = (0, 0, 0), back: tuple = (1, 1, 1), seed: int = 1) -> DataFrame:
+    """How far each channel is from clouds."""
+    at = px.withColumn("t", clamp(0.5 + (fractal(F.col("x"), F.col("y"), 256, seed) - 0.5) * 2.2))
+    return points(at, lambda c: tuple(F.abs(v - (f + (b - f) * F.col("t"))) for v, f, b in zip(c, front, back, strict=True)))
+
+
+def fibers(px: DataFrame, variance: float = 16, strength: float = 4, front: tuple = (0, 0, 0), back: tuple = (1, 1, 1), seed: int = 1) -> DataFrame:
+    """Noise drawn out along columns."""
+    v = fractal(F.col("x"), F.col("y"), 32, seed, 4, 1 / (strength * (1 + 16 / variance)))
+    return _painted(px, clamp(0.5 + (v - 0.5) * (1.5 + variance / 16)), front, back)

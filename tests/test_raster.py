@@ -3,9 +3,9 @@ import os
 import duckdb
 import pytest
 
-from pixelloom.plans import adjustments, colors, filters, more, queries, scalars, selections
+from pixelloom.plans import adjustments, colors, filters, gathers, more, queries, rendering, scalars, selections
 
-PARTS = (queries, more, colors, adjustments, scalars, filters, selections)
+PARTS = (queries, more, colors, adjustments, scalars, filters, rendering, gathers, selections)
 QUERIES, ORACLE_SQL = ({k: v for part in PARTS for k, v in getattr(part, name).items()} for name in ("QUERIES", "ORACLE_SQL"))
 SF = "/root/testdata/sf0.001"
 
