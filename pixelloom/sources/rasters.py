@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WIDTH = 100
@@ -26,3 +26,18 @@ def orders_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor("o_totalprice") % 256).alias("r"), (F.floor(F.col("o_totalprice") / 256) % 256).alias("g"), (F.col("o_custkey") * 37 % 256).alias("b"),
         F.when(F.col("o_orderstatus") == "P", 128).otherwise(255).cast("long").alias("a"),
     )
+
+
+def layer_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each region: its nations are groups, its customers their layers."""
+    nation, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "customer"))
+    place = lambda by, order: (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).cast("long")
+    groups = nation.select(
+        F.col("n_regionkey").cast("long").alias("doc"), F.col("n_nationkey").cast("long").alias("id"), F.lit(None).cast("long").alias("parent"), place("n_regionkey", "n_nationkey").alias("z"), F.concat(F.lit("Group "), F.col("n_nationkey").cast("string")).alias("name"),
+        F.lit("group").alias("kind"), F.lit(True).alias("visible"), (F.col("n_nationkey") % 4 != 0).alias("expanded"), F.lit(False).alias("clipped"), F.lit(1.0).alias("opacity"), F.lit(None).cast("long").alias("source"),
+    )
+    layers = customer.join(F.broadcast(nation), customer["c_nationkey"] == nation["n_nationkey"]).select(  # nations are few by definition
+        F.col("n_regionkey").cast("long").alias("doc"), (F.col("c_custkey") + 1000).cast("long").alias("id"), F.col("c_nationkey").cast("long").alias("parent"), place("c_nationkey", "c_custkey").alias("z"), F.concat(F.lit("Layer "), F.col("c_custkey").cast("string")).alias("name"),
+        F.lit("pixel").alias("kind"), (F.col("c_acctbal") > 0).alias("visible"), F.lit(False).alias("expanded"), F.lit(False).alias("clipped"), F.lit(0.5).alias("opacity"), (F.col("c_custkey") % 7).cast("long").alias("source"),
+    )
+    return groups.unionByName(layers)

@@ -3,9 +3,9 @@ import os
 import duckdb
 import pytest
 
-from pixelloom.plans import adjustments, colors, filters, gathers, more, queries, rendering, scalars, selections
+from pixelloom.plans import adjustments, colors, filters, gathers, more, queries, rendering, scalars, selections, trees
 
-PARTS = (queries, more, colors, adjustments, scalars, filters, rendering, gathers, selections)
+PARTS = (queries, more, colors, adjustments, scalars, filters, rendering, gathers, selections, trees)
 QUERIES, ORACLE_SQL = ({k: v for part in PARTS for k, v in getattr(part, name).items()} for name in ("QUERIES", "ORACLE_SQL"))
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +19,7 @@ def ordered(df):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("events", "orders"):
+    for t in ("events", "orders", "nation", "customer"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want, got = ordered(c.sql(ORACLE_SQL[name]).df()), ordered(QUERIES[name](spark, SF).toPandas())
     assert list(got.columns) == list(want.columns)
