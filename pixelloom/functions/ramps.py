@@ -176,3 +176,33 @@ def cube_at(size: int, values: list[float], c: tuple[Column, Column, Column]) ->
         return F.aggregate(path, begin, step, lambda acc: acc["v"])
 
     return channel(0), channel(1), channel(2)
+
+
+def levels_points(black: float, gamma: float, white: float, out_black: float = 0, out_white: float = 255) -> Points:
+    """Points of the curve that a levels setting draws: its ends, and the middle where gamma bends it."""
+    ends = [(black / 255, out_black / 255), (white / 255, out_white / 255)]
+    if abs(gamma - 1) <= 0.005:
+        return ends
+    return [ends[0], ((black + (white - black) * 0.5**gamma) / 255, (out_black + out_white) / 510), ends[1]]
+
+
+def table_points(table: list[int], count: int = 16) -> Points:
+    """A drawn table as evenly spaced points."""
+    places = [rounded(i * 255 / (count - 1)) for i in range(count)]
+    return [(x / 255, min(255, max(0, table[x])) / 255) for x in places]
+
+
+def black_point(sample: Column, white: float) -> Column:
+    """The input black that makes a sampled level black, below the white."""
+    return F.least(F.floor(sample + 0.5), F.lit(white - 2)).cast("long")
+
+
+def white_point(sample: Column, black: float) -> Column:
+    return F.greatest(F.floor(sample + 0.5), F.lit(black + 2)).cast("long")
+
+
+def gray_gammas(samples: tuple[Column, ...], blacks: tuple, whites: tuple) -> tuple[Column, ...]:
+    """Gammas that bring the sampled channels to their mean, in hundredths."""
+    t = [F.least(F.lit(0.999), F.greatest(F.lit(0.001), (s - b) / (w - b))) for s, b, w in zip(samples, blacks, whites, strict=True)]
+    target = (t[0] + t[1] + t[2]) / 3
+    return tuple(F.floor(F.least(F.lit(9.99), F.greatest(F.lit(0.1), F.log(v) / F.log(target))) * 100 + 0.5) / 100 for v in t)

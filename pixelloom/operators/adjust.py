@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions import ramps
 from pixelloom.functions.blend import Rgb, clamp
 from pixelloom.functions.color import hsl, hsl_rgb, hue_weight, luma
-from pixelloom.operators.raster import RGB, half_up, point
-from pixelloom.operators.tone import byte
+from pixelloom.operators.raster import RGB, half_up, histogram, point
+from pixelloom.operators.tone import byte, clip_ranges
 
 #: Edges of the six hue ranges, in degrees.
 HUE_BANDS = {
@@ -135,3 +135,23 @@ def gradient_fill(px: DataFrame, style: str, line: tuple, colors: list[tuple], o
     table = ramps.gradient_table(colors, opacities)
     px = px.select("x", "y", at.alias("at"))
     return px.select("x", "y", *(ramps.looked_up([v[k] for v in table], F.col("at")).cast("long").alias(c) for k, c in enumerate((*RGB, "a"))))
+
+
+def auto_color_levels(px: DataFrame, clip: float = 0.001) -> DataFrame:
+    """(channel, lo, hi, gamma): each channel stretched, its mean brought to that of all three; from the histogram's 768 rows."""
+    hist = histogram(px).where("channel <> 'lum'")
+    ranges = clip_ranges(hist, clip)
+    span = clamp((F.col("level") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    means = hist.join(ranges, "channel").groupBy("channel", "lo", "hi").agg((F.sum(span * F.col("n")) / F.sum("n")).alias("m"))
+    means = means.withColumn("target", F.avg("m").over(Window.partitionBy(F.lit(0))))  # three rows
+    usable = (F.col("m") > 0) & (F.col("m") < 1) & (F.col("target") > 0) & (F.col("target") < 1)
+    gamma = F.floor(F.least(F.lit(2.0), F.greatest(F.lit(0.5), F.log("m") / F.log("target"))) * 100 + 0.5) / 100
+    return means.select("channel", "lo", "hi", F.when(usable, gamma).otherwise(1.0).alias("gamma"))
+
+
+def auto_color(px: DataFrame, clip: float = 0.001) -> DataFrame:
+    """The levels that ``auto_color_levels`` finds, broadcast as one row."""
+    of = auto_color_levels(px, clip)
+    row = of.agg(*(F.max(F.when(F.col("channel") == c, F.struct("lo", "hi", "gamma"))).alias(f"of_{c}") for c in RGB))
+    one = lambda c: half_up(255 * F.power(clamp((F.col(c) - F.col(f"of_{c}.lo")) / (F.col(f"of_{c}.hi") - F.col(f"of_{c}.lo"))), 1 / F.col(f"of_{c}.gamma")))
+    return point(px.join(F.broadcast(row)), lambda *_: [one(c) for c in RGB])

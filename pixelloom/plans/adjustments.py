@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pixelloom.functions import geometry, ramps
 from pixelloom.operators import adjust as A
 from pixelloom.plans.colors import _HSL, _N, _U, _out
-from pixelloom.plans.more import _byte, _unit
+from pixelloom.plans.more import _HIST, _RANGE, _byte, _unit
 from pixelloom.plans.queries import PX, _point_sql
 from pixelloom.sources.rasters import events_raster
 
@@ -185,3 +186,27 @@ for _style, _place in _PLACE.items():
         f"fill_gradient_{_style}", lambda px, style=_style: A.gradient_fill(px, style, _LINE if style == "linear" else _CENTRE, _COLORS, _OPACITY),
         PX + f", t as (select x, y, cast(floor({_unit(_place)} * 255 + 0.5) as int) + 1 as nth from pe) select x, y, " + ", ".join(f"cast({_list(_table[:, k].tolist())}[nth] as bigint) as {c}" for k, c in enumerate("rgba")) + " from t",
     )
+
+# Levels as curves, drawn tables as points, eyedroppers, automatic colour.
+_LV = (30, 1.6, 210, 10, 240)
+_lv = [(_LV[0] / 255, _LV[3] / 255), ((_LV[0] + (_LV[2] - _LV[0]) * 0.5 ** _LV[1]) / 255, (_LV[3] + _LV[4]) / 510), (_LV[2] / 255, _LV[4] / 255)]
+_drawn = [(i // 40) * 40 for i in range(256)]
+_pts = [(x / 255, _drawn[x] / 255) for x in _round(np.arange(16) * 17).tolist()]
+_one("adjust_levels_as_curves", lambda px: A.curves(px, ramps.levels_points(*_LV), ramps.table_points(_drawn)), _point_sql(**{c: f"{_list(_spline(_lv))}[({_list(_spline(_pts))}[(r + 1)::int] + 1)::int]" if c == "r" else f"{_list(_spline(_lv))}[({c} + 1)::int]" for c in "rgb"}))
+
+
+def _picked(px):
+    """What the three eyedroppers make of each pixel's colour."""
+    c = tuple(F.col(k) for k in "rgb")
+    grays = ramps.gray_gammas(c, (10, 0, 5), (240, 255, 200))
+    return px.select("x", "y", ramps.black_point(c[0], 200).alias("black"), ramps.white_point(c[1], 60).alias("white"), *(F.floor(v * 100 + 0.5).cast("long").alias(f"gamma_{k}") for k, v in zip("rgb", grays, strict=True)))
+
+
+_u = {c: f"least(0.999::double, greatest(0.001::double, ({c} - {b}) / {w - b}::double))" for c, b, w in zip("rgb", (10, 0, 5), (240, 255, 200), strict=True)}
+_one(
+    "scalar_eyedroppers", _picked,
+    PX + f", t as (select x, y, r, g, {', '.join(f'{v} as t{c}' for c, v in _u.items())} from pe) select x, y, least(r, 198) as black, greatest(g, 62) as white, " + ", ".join(f"cast(floor(floor(least(9.99::double, greatest(0.1::double, ln(t{c}) / ln((tr + tg + tb) / 3))) * 100 + 0.5) / 100 * 100 + 0.5) as bigint) as gamma_{c}" for c in "rgb") + " from t",
+)
+_AUTO = _HIST + _RANGE.format(h="h") + f", mn as (select h.channel, lo, hi, sum({_unit('(level - lo) / (hi - lo)::double')} * n) / sum(n)::double as m from h join c on c.channel = h.channel where h.channel <> 'lum' group by 1, 2, 3), tg as (select *, avg(m) over () as target from mn), ac as (select channel, lo, hi, case when m > 0 and m < 1 and target > 0 and target < 1 then floor(least(2::double, greatest(0.5::double, ln(m) / ln(target))) * 100 + 0.5) / 100 else 1::double end as gamma from tg)"
+_one("stats_auto_color", A.auto_color_levels, _AUTO + " select channel, lo, hi, gamma from ac")
+_one("adjust_auto_color", A.auto_color, _AUTO + " select x, y, " + ", ".join(f"case when a = 0 then {c} else cast(floor(255 * power({_unit(f'({c} - c{c}.lo) / (c{c}.hi - c{c}.lo)::double')}, 1 / c{c}.gamma) + 0.5) as bigint) end as {c}" for c in "rgb") + ", a from pe" + "".join(f" join ac c{c} on c{c}.channel = '{c}'" for c in "rgb"))
