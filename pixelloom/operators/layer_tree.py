@@ -8,16 +8,19 @@ changed by joins on doc; siblings are the largest window partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 COLUMNS = ("doc", "id", "parent", "z", "name", "kind", "visible", "expanded", "clipped", "opacity", "source")
-_SIBLINGS = Window.partitionBy("doc", "parent")
+
+
+def _siblings() -> WindowSpec:
+    return Window.partitionBy("doc", "parent")
 
 
 def _numbered(layers: DataFrame, *order: Column) -> DataFrame:
     """Siblings numbered anew."""
-    return layers.withColumn("z", (F.row_number().over(_SIBLINGS.orderBy(*order)) - 1).cast("long")).select(*COLUMNS)
+    return layers.withColumn("z", (F.row_number().over(_siblings().orderBy(*order)) - 1).cast("long")).select(*COLUMNS)
 
 
 def _marked(layers: DataFrame, targets: DataFrame) -> DataFrame:
@@ -105,7 +108,7 @@ def duplicated(layers: DataFrame, targets: DataFrame, first_id: int) -> DataFram
 def reordered(layers: DataFrame, targets: DataFrame) -> DataFrame:
     """Moves targets (doc, id, delta) among their siblings, as far as there are any; one target for each set of siblings."""
     at = _marked(layers, targets)
-    at = at.withColumns({"from": F.max(F.when(F.col("hit"), F.col("z"))).over(_SIBLINGS), "by": F.max("delta").over(_SIBLINGS), "last": F.max("z").over(_SIBLINGS)})
+    at = at.withColumns({"from": F.max(F.when(F.col("hit"), F.col("z"))).over(_siblings()), "by": F.max("delta").over(_siblings()), "last": F.max("z").over(_siblings())})
     at = at.withColumn("to", F.greatest(F.lit(0), F.least(F.col("last"), F.col("from") + F.col("by"))))
     z = F.when(F.col("to").isNull(), F.col("z")).when(F.col("hit"), F.col("to")).when((F.col("z") > F.col("from")) & (F.col("z") <= F.col("to")), F.col("z") - 1).when((F.col("z") < F.col("from")) & (F.col("z") >= F.col("to")), F.col("z") + 1).otherwise(F.col("z"))
     return at.withColumn("z", z.cast("long")).select(*COLUMNS)
