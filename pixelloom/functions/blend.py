@@ -128,6 +128,7 @@ def composite(mode: str, b: Rgb, ab: Column, s: Rgb, as_: Column) -> tuple[Rgb,
 
 def dissolve_noise(x: Column, y: Column) -> Column:
     """Position hash in 0...1: a product in double precision, wrapped to 32 bits."""
+    # The multipliers and shifts.
     mask = F.lit(0xFFFFFFFF)
     h = (x * 374761393 + y * 668265263).bitwiseAND(mask)
     h = h.bitwiseXOR(F.shiftright(h, 13))

@@ -58,6 +58,7 @@ def _kept(px: DataFrame, new: Rgb, keep: bool) -> DataFrame:
 
 def color_balance(px: DataFrame, shadows: tuple, midtones: tuple, highlights: tuple, preserve: bool = True) -> DataFrame:
     """Sliders (red, green, blue; percent) of three overlapping ranges of tones."""
+    # Where the ranges meet (a third), how steep they are, how much a slider moves.
     dark = lambda v: clamp((v - 0.333) / -0.25 + 0.5)
     light = lambda v: clamp((v - (1 - 0.333)) / 0.25 + 0.5)
     middle = lambda v: clamp((v - 0.333) / 0.25 + 0.5) * clamp((v + 0.333 - 1) / -0.25 + 0.5)
