@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """The rows as a checkpoint in the shared folder, so that loops do not grow their plans and outlive lost executors."""
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pixelloom-"))
-    return df.checkpoint()
+from pixelloom.operators.staging import cut
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,14 +14,14 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label of the neighbours and jumps to the label's
     own label, so rounds grow with the logarithm of the longest path.
     """
-    both = _cut(edges.union(edges.select("v", "u")).where("u <> v").distinct())
+    both = cut(edges.union(edges.select("v", "u")).where("u <> v").distinct())
     now = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
     while True:
         labels = now.select(F.col("node").alias("v"), F.col("label").alias("l"))
         near = both.join(labels, "v").groupBy(F.col("u").alias("node")).agg(F.min("l").alias("m"))
-        low = _cut(now.join(near, "node").select("node", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")))
+        low = cut(now.join(near, "node").select("node", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")))
         to = low.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        now = _cut(low.join(to, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")))
+        now = cut(low.join(to, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")))
         if low.where("moved").isEmpty():
             return now
 
@@ -53,7 +41,7 @@ def regions(px: DataFrame, linked: Column, columns: tuple) -> DataFrame:
 
     rows = before(px, "x")
     start = F.last(F.when(~F.col("joined"), F.col("x")), ignorenulls=True).over(Window.partitionBy("y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    rows = _cut(rows.withColumn("run", F.col("y") * (1 << 31) + start).drop("joined", *(f"p_{c}" for c in ("x", "y", *columns))))
+    rows = cut(rows.withColumn("run", F.col("y") * (1 << 31) + start).drop("joined", *(f"p_{c}" for c in ("x", "y", *columns))))
     edges = before(rows, "y").where("joined").select(F.col("run").alias("u"), F.col("p_run").alias("v")).distinct()
     found = components(edges)
     return rows.join(found, rows["run"] == found["node"], "left").withColumn("region", F.coalesce("label", "run")).drop("run", "node", "label")

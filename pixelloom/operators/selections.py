@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.operators.raster import RGB, half_up
 from pixelloom.operators.regions import regions
-from pixelloom.operators.stencils import _beside, around, haloed
+from pixelloom.operators.stencils import _beside, haloed
+from pixelloom.operators.tiles import TILE, Keys, box, pointwise, to_tiles
 
 #: Levels of a cell of colours that are taken as similar; five bits a channel remain.
 CELL = 8
@@ -39,21 +41,19 @@ def line(px: DataFrame, index: int, vertical: bool) -> DataFrame:
     return px.select("x", "y", F.when(F.col("x" if vertical else "y") == index, 255).otherwise(0).cast("long").alias("cov"))
 
 
-def feather(sel: DataFrame, radius: float) -> DataFrame:
-    """Softens by three box means, each along rows and columns, of a third of the radius."""
-    r = max(1, int(radius / 3 + 0.5))
-    at = haloed(sel.select("x", "y", F.col("cov").cast("double").alias("cov")), 3 * r)
-    for _ in range(3):
-        for axis in ("x", "y"):
-            at = at.withColumn("cov", sum(_beside("cov", k, axis) for k in range(-r, r + 1)) / (2 * r + 1))
-    return at.where("own").select("x", "y", half_up(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col("cov")))).alias("cov"))
+def feather(sel: DataFrame, radius: float, by: Keys = (), tile: int = TILE) -> DataFrame:
+    """Softens by three box means, each along rows and columns, of a third of the radius; any radius costs the same shuffles."""
+    if radius <= 0:
+        return sel.select(*by, "x", "y", "cov")
+    soft = box(to_tiles(sel, ("cov",), by, tile), max(1, int(radius / 3 + 0.5)), 3, 1, by, tile)
+    return pointwise(soft, lambda v, xs, ys: np.floor(np.clip(v, 0, 255) + 0.5), 1, ("cov",), by, tile)
 
 
-def smoothed(sel: DataFrame, radius: int = 1) -> DataFrame:
-    """Selected where at least half of the square around is; edges repeat."""
-    at = around(sel.withColumn("on", (F.col("cov") >= 128).cast("long")), ("on",), radius)
-    count = F.aggregate("n_on", F.lit(0).cast("long"), lambda n, v: n + v)
-    return at.select("x", "y", F.when(count * 2 >= (2 * radius + 1) ** 2, 255).otherwise(0).cast("long").alias("cov"))
+def smoothed(sel: DataFrame, radius: int = 1, by: Keys = (), tile: int = TILE) -> DataFrame:
+    """Selected where at least half of the square around is; edges repeat. Squares have odd sizes: there are no ties."""
+    on = sel.select(*by, "x", "y", (F.col("cov") >= 128).cast("int").alias("cov"))
+    share = box(to_tiles(on, ("cov",), by, tile), radius, 1, 1, by, tile)
+    return pointwise(share, lambda v, xs, ys: np.where(v >= 0.5, 255, 0), 1, ("cov",), by, tile)
 
 
 def coverage(diff: Column, tolerance: int, smooth: bool = True) -> Column:

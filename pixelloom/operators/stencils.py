@@ -19,6 +19,7 @@ from pixelloom.functions.blend import clamp
 from pixelloom.functions.color import hsb, hsb_rgb, hsl, hsl_rgb, luma
 from pixelloom.functions.painting import noise
 from pixelloom.operators.raster import RGB
+from pixelloom.operators.tiled import box_blur, convolve, dust_and_scratches, extreme, median  # noqa: F401
 
 RGBA = (*RGB, "a")
 TILE = 256
@@ -26,7 +27,7 @@ TILE = 256
 
 def haloed(px: DataFrame, reach: int, tile: int = TILE) -> DataFrame:
     """Adds tx, ty and ``own``: each pixel in its tile and, not as its own, in those within ``reach``."""
-    near = lambda c: F.array_distinct(F.array(*(F.floor((F.col(c) + d) / tile) for d in (-reach, 0, reach))))
+    near = lambda c: F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile))
     at = px.withColumn("tx", F.explode(near("x"))).withColumn("ty", F.explode(near("y")))
     return at.repartition("tx", "ty").withColumn("own", (F.col("tx") == F.floor(F.col("x") / tile)) & (F.col("ty") == F.floor(F.col("y") / tile)))
 
@@ -76,13 +77,8 @@ def points(px: DataFrame, fn: Callable[[tuple], tuple]) -> DataFrame:
     return px.select("x", "y", *(F.when(F.col("a") == 0, 0).otherwise(F.rint(clamp(v) * 255)).cast("long").alias(c) for c, v in zip(RGB, new, strict=True)), "a")
 
 
-def convolve(px: DataFrame, kernel: list[int], scale: float = 1, offset: float = 0, alpha: bool = False) -> DataFrame:
-    """A square kernel of odd size (row by row); ``offset`` in levels; alpha is kept or convolved too."""
-    reach = math.isqrt(len(kernel)) // 2
-    at = around(premultiplied(px), RGBA, reach)
-    total = lambda c: sum((F.get(f"n_{c}", F.lit(i)) * k for i, k in enumerate(kernel) if k), F.lit(0)) / scale
-    at = at.withColumn("na", F.least(F.lit(65025.0), F.greatest(F.lit(0.0), total("a") + offset * 255)) if alpha else F.col("a").cast("double"))
-    return to_bytes(at, {c: total(c) + F.col("na") * (offset / 255) for c in RGB} | {"a": F.col("na")})
+def _median(c: str, reach: int) -> Column:
+    return F.get(F.sort_array(f"n_{c}"), F.lit((2 * reach + 1) ** 2 // 2))
 
 
 def blur(px: DataFrame) -> DataFrame:
@@ -94,19 +90,6 @@ def blur_more(px: DataFrame) -> DataFrame:
     return convolve(px, [p * q for p in row for q in row], 256, alpha=True)
 
 
-def box_blur(px: DataFrame, radius: int = 10) -> DataFrame:
-    """The mean of a square, as running sums along rows and then columns: the cost does not grow with the radius."""
-    at = haloed(premultiplied(px), radius)
-    for axis in ("x", "y"):
-        w = _line(axis)
-        frame, whole = w.rowsBetween(-radius, radius), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        before, after = radius - (F.col(axis) - F.first(axis).over(whole)), radius - (F.last(axis).over(whole) - F.col(axis))
-        sums = lambda c: F.sum(c).over(frame) + F.greatest(F.lit(0), before) * F.first(c).over(whole) + F.greatest(F.lit(0), after) * F.last(c).over(whole)  # noqa: B023, E731
-        at = at.select("x", "y", "tx", "ty", "own", *(sums(c).alias(c) for c in RGBA))
-    n = (2 * radius + 1) ** 2
-    return to_bytes(at.where("own"), {c: F.col(c) / n for c in RGBA})
-
-
 def fragment(px: DataFrame, step: int = 4) -> DataFrame:
     """The mean of four copies, moved along the axes."""
     at = haloed(premultiplied(px), step)
@@ -114,36 +97,6 @@ def fragment(px: DataFrame, step: int = 4) -> DataFrame:
     return to_bytes(at.where("own"), {c: F.col(c) / 4 for c in RGBA})
 
 
-def extreme(px: DataFrame, radius: int = 1, largest: bool = True, disc: bool = False) -> DataFrame:
-    """Greatest or least of a square or disc, of each premultiplied channel."""
-    f, g = (F.max, F.greatest) if largest else (F.min, F.least)
-    at = haloed(premultiplied(px), radius)
-    if not disc:
-        for axis in ("x", "y"):
-            at = at.select("x", "y", "tx", "ty", "own", *(f(c).over(_line(axis).rowsBetween(-radius, radius)).alias(c) for c in RGBA))
-        return to_bytes(at.where("own"), {c: F.col(c) for c in RGBA})
-    half = {dy: math.floor(math.sqrt(radius * radius - dy * dy)) for dy in range(-radius, radius + 1)}
-    at = at.select("x", "y", "tx", "ty", "own", *(f(c).over(_line("x").rowsBetween(-h, h)).alias(f"{c}_{h}") for c in RGBA for h in sorted(set(half.values()))))
-    at = at.select("x", "y", "own", *(g(*(_beside(f"{c}_{h}", dy, "y") for dy, h in half.items())).alias(c) for c in RGBA))
-    return to_bytes(at.where("own"), {c: F.col(c) for c in RGBA})
-
-
-def _median(c: str, reach: int) -> Column:
-    return F.get(F.sort_array(f"n_{c}"), F.lit((2 * reach + 1) ** 2 // 2))
-
-
-def median(px: DataFrame, radius: int = 1) -> DataFrame:
-    """The median of each straight channel and of alpha over a square."""
-    at = around(straight(px), RGBA, radius).select("x", "y", *(_median(c, radius).alias(c) for c in RGBA))
-    return straight(at)
-
-
-def dust_and_scratches(px: DataFrame, radius: int = 1, threshold: int = 20) -> DataFrame:
-    """The median of a channel where it is further off than the threshold; alpha stays."""
-    at = around(straight(px), RGB, radius)
-    return straight(at.select("x", "y", *(F.when(F.abs(F.col(c) - _median(c, radius)) > threshold, _median(c, radius)).otherwise(F.col(c)).alias(c) for c in RGB), "a"))
-
-
 def mosaic(px: DataFrame, cell: int = 8) -> DataFrame:
     """The premultiplied mean of all four channels of each cell, by a window over the cell's rows: one shuffle."""
     w = Window.partitionBy(F.floor(F.col("x") / cell), F.floor(F.col("y") / cell))

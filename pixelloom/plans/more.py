@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelloom.operators import layers as L
-from pixelloom.operators import neighbours as N
+from pixelloom.operators import distance as D
+from pixelloom.operators import selections as SL
+from pixelloom.operators import tiled as N
 from pixelloom.operators import raster as R
 from pixelloom.operators import tone as T
 from pixelloom.plans.queries import BLEND_SQL, CIRCLE, LUM, PX, RECT, _each, _point_sql
@@ -105,7 +107,7 @@ _MEDS = {c: _MED.format(", ".join(f"{c}{i}" for i in range(9))) for c in "rgba"}
 
 def _gauss(sigma: float) -> str:
     """CTE g2 with g_<c> by the same weights, rows first."""
-    ws, sql, src = N.kernel(sigma), "", "g0"
+    ws, sql, src = N.gaussian_weights(sigma), "", "g0"
     for axis, out in (("x", "g1"), ("y", "g2")):
         w = f"over (partition by {'y' if axis == 'x' else 'x'} order by {axis}"
         side = lambda c, k: f"(coalesce(lag({c}, {k}) {w}), first_value({c}) {w} rows between unbounded preceding and unbounded following)) + coalesce(lead({c}, {k}) {w}), last_value({c}) {w} rows between unbounded preceding and unbounded following)))"  # noqa: B023, E731
@@ -125,10 +127,10 @@ def _far(name: str, mark: str, reach: int) -> str:
     return f", {name} as (select p.x, p.y, min((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) as d from s p join s q on q.cov {mark} and abs(p.x - q.x) <= {reach} and abs(p.y - q.y) <= {reach} group by 1, 2)"
 
 
-_one("select_expand", lambda px: N.expand(R.circle(px)), _SEL + _far("f", ">= 128", 3) + " select s.x, s.y, case when d <= 9 then 255 else cov end as cov from s left join f on s.x = f.x and s.y = f.y")
-_one("select_contract", lambda px: N.contract(R.circle(px)), _SEL + _far("f", "< 128", 3) + " select s.x, s.y, case when d <= 9 then 0 else cov end as cov from s left join f on s.x = f.x and s.y = f.y")
-_one("select_border", lambda px: N.border(R.circle(px)), _SEL + _far("o", ">= 128", 2) + _far("i", "< 128", 2) + " select s.x, s.y, case when (case when cov >= 128 then i.d else o.d end) <= 4 then 255 else 0 end::bigint as cov from s left join o on s.x = o.x and s.y = o.y left join i on s.x = i.x and s.y = i.y")
-_one("select_smooth", lambda px: N.smooth(T.color_mask(px, fuzziness=120)), PX + f", s as (select x, y, ({_byte('(1 - sqrt(((r - 120) * (r - 120) + (g - 90) * (g - 90) + (b - 60) * (b - 60))::double) / 180::double)')} >= 128)::bigint as o from pe)" + _near("o", "s") + f" select x, y, case when ({' + '.join(f'o{i}' for i in range(9))}) * 2 >= 9 then 255 else 0 end::bigint as cov from nb")
+_one("select_expand", lambda px: D.expand(R.circle(px)), _SEL + _far("f", ">= 128", 3) + " select s.x, s.y, case when d <= 9 then 255 else cov end as cov from s left join f on s.x = f.x and s.y = f.y")
+_one("select_contract", lambda px: D.contract(R.circle(px)), _SEL + _far("f", "< 128", 3) + " select s.x, s.y, case when d <= 9 then 0 else cov end as cov from s left join f on s.x = f.x and s.y = f.y")
+_one("select_border", lambda px: D.border(R.circle(px)), _SEL + _far("o", ">= 128", 2) + _far("i", "< 128", 2) + " select s.x, s.y, case when (case when cov >= 128 then i.d else o.d end) <= 4 then 255 else 0 end::bigint as cov from s left join o on s.x = o.x and s.y = o.y left join i on s.x = i.x and s.y = i.y")
+_one("select_smooth", lambda px: SL.smoothed(T.color_mask(px, fuzziness=120)), PX + f", s as (select x, y, ({_byte('(1 - sqrt(((r - 120) * (r - 120) + (g - 90) * (g - 90) + (b - 60) * (b - 60))::double) / 180::double)')} >= 128)::bigint as o from pe)" + _near("o", "s") + f" select x, y, case when ({' + '.join(f'o{i}' for i in range(9))}) * 2 >= 9 then 255 else 0 end::bigint as cov from nb")
 
 # Layers.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pixelloom.operators import neighbours as N
+from pixelloom.operators import tiled as N
 from pixelloom.operators import stencils as S
 from pixelloom.plans.filters import _BASE, _after, _byte, _even, _hashes, _near
 from pixelloom.plans.filters import _straight as _colored

@@ -28,6 +28,19 @@ def orders_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wide_raster(spark: SparkSession, sf_dir: str, width: int = 600) -> DataFrame:
+    """The orders again, ``width`` pixels a row: wider than two tiles."""
+    at = F.col("y") * WIDTH + F.col("x")
+    return orders_raster(spark, sf_dir).select((at % width).alias("x"), F.floor(at / width).alias("y"), "r", "g", "b", "a")
+
+
+def sparse_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two documents (doc) of the events, in strips of 20 rows; pixels of errors are absent."""
+    px = events_raster(spark, sf_dir).where("a <> 0")
+    strip = F.floor(F.col("y") / 20)
+    return px.select((strip % 2).alias("doc"), "x", (F.floor(strip / 2) * 20 + F.col("y") % 20).alias("y"), "r", "g", "b", "a")
+
+
 def layer_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document for each region: its nations are groups, its customers their layers."""
     nation, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "customer"))
