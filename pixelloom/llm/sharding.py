@@ -67,6 +67,26 @@ def propagate(cells: DataFrame, n_shards: int, quota: int, rounds: int) -> DataF
     return now
 
 
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """Replaces ``nth``, the place in the input, by a number among the rows of equal id and text (0 if there is one).
+
+    Such rows are told apart by nothing else, so it does not matter which gets
+    which number: the result does not depend on how the input is split. Rows of
+    one kind are counted in bands, so that many of them are many tasks' work.
+    """
+    keys = ["doc_id", "g1", "g2"]
+    again = rows.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1").toDF("k_id", "k1", "k2", "copies")
+    same = rows["doc_id"].eqNullSafe(F.col("k_id")) & (F.col("g1") == F.col("k1")) & (F.col("g2") == F.col("k2"))
+    rows = rows.join(again, same, "left").drop("k_id", "k1", "k2")
+    single = rows.where("copies is null").drop("copies").withColumn("nth", F.lit(0).cast("long"))
+    many = rows.where("copies is not null").withColumn("band", F.pmod(F.xxhash64("nth"), F.floor(F.col("copies") / RANK_ROWS) + 1))
+    sizes = many.groupBy(*keys, "band").agg(F.count("*").alias("n"))
+    sizes = sizes.select(*(F.col(c).alias(f"s_{c}") for c in (*keys, "band")), (F.sum("n").over(Window.partitionBy(*keys).orderBy("band")) - F.col("n")).alias("before"))
+    many = many.withColumn("in_band", F.row_number().over(Window.partitionBy(*keys, "band").orderBy("nth")) - 1)
+    many = many.join(sizes, [many[c].eqNullSafe(sizes[f"s_{c}"]) for c in (*keys, "band")])
+    return single.unionByName(many.withColumn("nth", F.col("before") + F.col("in_band")).select(*single.columns))
+
+
 def shard(docs: DataFrame, n_shards: int = 8, rounds: int = 5) -> DataFrame:
     """Puts the rows of ``docs`` into shards whose row counts differ by one at most.
 
@@ -77,26 +97,29 @@ def shard(docs: DataFrame, n_shards: int = 8, rounds: int = 5) -> DataFrame:
     (``rows``), shard, slot (gapless from 0 in the shard), grown_shard (null).
 
     Cases: a null text has no bytes and equals the empty text; rows without an
-    id and repeated rows are rows like others, in the order in which they are
-    read; of shards with equally many members a hash takes one; a group
+    id and repeated rows are rows like others, equal ones in any order; the
+    result does not depend on how the input is split; of shards with equally many members a hash takes one; a group
     larger than a shard fills several; texts of any length are read whole, for
     size and hash alone; an empty table gives no rows; other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("g1"), F.xxhash64(text, F.lit(1)).alias("g2"), F.monotonically_increasing_id().alias("nth"))
+    first = staged(rows, "read")
+    rows = numbered_copies(first)
     rows = staged(rows.withColumn("origin", F.pmod(F.xxhash64("doc_id", "g1", "nth"), F.lit(n_shards)).cast("int")), "rows")
+    drop_table(first)
     total = rows.count()
     quota = total // n_shards
     unit = max(1, quota // PARTS)
     groups = rows.groupBy("g1", "g2").agg(F.count("*").alias("all")).where("all > 1")
     large = groups.where(F.col("all") > max(unit, n_shards)).select("g1", "g2", F.ceil(F.col("all") / (unit * n_shards)).alias("subs"))
-    sub = F.pmod(F.xxhash64("nth", F.lit(3)), F.coalesce("subs", F.lit(1))).cast("int")
+    sub = F.pmod(F.xxhash64("doc_id", "nth", F.lit(3)), F.coalesce("subs", F.lit(1))).cast("int")
     rows = rows.join(F.broadcast(large), ["g1", "g2"], "left").withColumn("sub", sub).drop("subs")  # n_shards * PARTS rows at most
     cells = rows.groupBy("g1", "g2", "sub", "origin").agg(F.count("*").alias("n"))
     cells = propagate(cells.join(groups, ["g1", "g2"], "left_semi"), n_shards, quota, rounds)
     rows = rows.join(cells.select("g1", "g2", "sub", "origin", F.col("shard").alias("label")), ["g1", "g2", "sub", "origin"], "left")
     rows = rows.select("doc_id", "size", "text_crc32", "g1", "g2", "nth", F.coalesce("label", "origin").alias("label"), F.col("label").isNull().cast("int").alias("single"))
-    band = F.pmod(F.xxhash64("nth", F.lit(7)), F.lit(max(1, total // n_shards // RANK_ROWS))).cast("int")
+    band = F.pmod(F.xxhash64("doc_id", "g1", "nth", F.lit(7)), F.lit(max(1, total // n_shards // RANK_ROWS))).cast("int")
     rows = staged(rows.withColumn("band", band), "labels")
     bands = rows.groupBy("label", "single", "band").agg(F.count("*").alias("n"))
     bands = bands.select("label", "single", "band", (F.sum("n").over(Window.partitionBy("label").orderBy("single", "band")) - F.col("n")).alias("before"))
