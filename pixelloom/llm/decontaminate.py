@@ -15,8 +15,8 @@ from pixelloom.llm.common import documents, fresh
 
 #: Edits allowed, as a share of an item's characters.
 RATE = 0.08
-#: Items with fewer characters (lower-cased, white space squeezed) must stand whole between words: no edits, no parts of words.
-SHORT = 20
+#: From this character on, scripts write words without spaces.
+UNSPACED = "\u2e80"
 #: Characters of items that one broadcast block holds, about.
 BLOCK_CHARS = 2_000_000
 #: Blocks that one pass over the documents searches.
@@ -27,6 +27,11 @@ def squeeze(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def joined(left: str, right: str) -> bool:
+    """Whether two neighbours, of which one may lack, belong to one word."""
+    return left.isalnum() and right.isalnum() and max(left, right) < UNSPACED
+
+
 def distance(masks: dict[str, int], m: int, text: str, budget: int) -> int:
     """Least edit distance of a pattern of m characters to any part of ``text``.
 
@@ -66,7 +71,7 @@ class Matcher:
         self.items, self.masks = [], []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item, text in items:
-            m, k, masks = len(text), int(len(text) * rate) if len(text) >= SHORT else 0, {}
+            m, k, masks = len(text), int(len(text) * rate), {}
             for i, c in enumerate(text):
                 masks[c] = masks.get(c, 0) | 1 << i
             n = len(self.items)
@@ -92,8 +97,8 @@ class Matcher:
         for n, where in starts.items():
             item, pattern, k = self.items[n]
             m = len(pattern)
-            if m < SHORT:
-                if any((a == 0 or text[a - 1] == " ") and text[a + m : a + m + 1] in ("", " ") for a in where):
+            if not k:
+                if any(not joined(text[a - 1 : a], pattern[0]) and not joined(pattern[-1], text[a + m : a + m + 1]) for a in where):
                     yield item, 0
                 continue
             if pattern in text:
@@ -125,8 +130,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, rate: float = RATE, block_ch
     Each item is cut into one piece more than it may have edits, so some piece of
     a match is unchanged: exact pieces are found by one automaton, and the text
     around them is verified. Items are broadcast in blocks of bounded size, of
-    which one pass searches several. Items of under SHORT characters must stand
-    unchanged between white space or the ends of the text.
+    which one pass searches several. Items too short for an edit must stand whole:
+    no letter or digit joins them on either side.
     Cases: null and empty items match nothing; null texts hold nothing; repeated
     rows give repeated results, repeated items one; of several places the least
     distance counts; a text of any length is read whole; a null doc_id or
