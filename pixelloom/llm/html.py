@@ -28,9 +28,13 @@ RAW = set("script style title textarea iframe noembed noframes xmp".split())
 #: Elements that never hold main text.
 DROP = RAW | set("head noscript template nav footer aside form button select datalist menu dialog object svg canvas audio video map".split())
 #: Words in class or id, and roles, of what surrounds an article.
-AROUND = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments respond reply replies disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar widget".split())
+AROUND = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead respond reply replies responses discussion discussions reactions cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar widget".split())
 #: Of these, words that articles use of their own parts as well: inside one they count with many links only.
 WEAK = set("alert banner footer header login masthead menu modal notice notices overlay popup promotion signup toolbar widget".split())
+#: Beginnings of words that mark reader comments, and words that only begin alike.
+COMMENTS, NO_COMMENTS = ("comment", "disqus"), set("commentary commentaries commentator commentators".split())
+#: Words that articles have in the names of their own parts: inside one they count for parts without a paragraph, or of links.
+SOFT = set("promo promotion recommendations recommended related share sharing social subscription widget".split())
 #: Whole class names that make even a paragraph of an article an advert.
 ADVERT = set("ad ads advert adverts advertisement sponsored".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -44,13 +48,13 @@ LINKED = 0.5
 
 
 class Node:
-    __slots__ = ("attrs", "chars", "children", "linked", "links", "parent", "score", "size", "tag")
+    __slots__ = ("attrs", "chars", "children", "linked", "links", "parent", "prose", "score", "size", "tag")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
         self.score = 0.0
-        self.size = self.links = self.chars = self.linked = 0
+        self.size = self.links = self.chars = self.linked = self.prose = 0
 
 
 def parse(html: str) -> Node:
@@ -133,10 +137,13 @@ def surrounding(node: Node, in_article: bool, holds: set[int]) -> bool:
     links = node.linked >= LINKED * max(1, node.chars)
     if values.get("role", "").lower() in ROLES and (links or not in_article):
         return True
-    found = {p.lower() for k in ("class", "id") for p in PART.findall(values.get(k, ""))} & AROUND
+    parts = {p.lower() for k in ("class", "id") for p in PART.findall(values.get(k, ""))}
+    if any(p.startswith(COMMENTS) for p in parts - NO_COMMENTS):
+        return True
+    found = parts & AROUND
     if in_article:
-        return bool(found - WEAK) or bool(found) and links
-    return bool(found) and not (found == {"header"} and {p.lower() for k in ("class", "id") for p in PART.findall(values.get(k, ""))} & TITLES)
+        return bool(found - WEAK - SOFT) or bool(found & SOFT) and (links or not node.prose) or bool(found) and links
+    return bool(found) and not (found == {"header"} and parts & TITLES)
 
 
 def blocks(root: Node) -> list[tuple[Node, str, int]]:
@@ -153,9 +160,12 @@ def blocks(root: Node) -> list[tuple[Node, str, int]]:
         n.chars += sum(len(c.strip()) for c in n.children if isinstance(c, str))
         if n.tag == "a":
             n.linked = n.chars
+        if n.tag == "p":
+            n.prose = n.chars
         if n.parent:
             n.parent.chars += n.chars
             n.parent.linked += n.linked
+            n.parent.prose += n.prose
     out: list[tuple[Node, str, int]] = []
     parts: list[str] = []
     links = 0
@@ -206,7 +216,9 @@ def main_text(html: str) -> str:
     as many to each level up; a container's points are discounted by its link
     density. The article around the best container is kept (an article or main
     element, if there is one), else the container with those siblings that are
-    headings, paragraphs, or score a fifth of it. All blocks therein are kept.
+    headings, paragraphs, or score a fifth of it. Articles beside the article are
+    kept too. All blocks therein are kept, but for unmarked menus: lists of
+    nothing but links, in an article those ahead of its first paragraph.
     Of equally good containers the first in the page is taken.
     """
     root = parse(html)
@@ -239,7 +251,8 @@ def main_text(html: str) -> str:
     if up is None and not scored:
         return "\n".join(t for _, t, _ in found)
     if up is not None:
-        kept = inside(up)
+        # Articles beside it are parts of the same text, unless they are mostly links.
+        kept = inside(up) | {id(s) for s in (up.parent.children if up.parent else ()) if not isinstance(s, str) and s.tag == up.tag == "article" and s.size and density(s) < LINKED}
     else:
         kept, limit = inside(best), SIBLING * worth(best)
         for s in best.parent.children if best.parent else ():
@@ -265,7 +278,15 @@ def main_text(html: str) -> str:
             n = n.parent
         return False
 
-    return "\n".join(t for n, t, _ in found if within(n) and not (n.tag in ("li", "ul", "ol") and listed(n)))
+    out, begun = [], False
+    for n, t, _ in found:
+        if within(n):
+            links = n.tag in ("li", "ul", "ol") and listed(n)
+            # In an article, a list of links is a menu only ahead of all text.
+            if not links or up is not None and begun:
+                out.append(t)
+                begun = begun or not links and n.tag not in HEADING
+    return "\n".join(out)
 
 
 def extract(pages: DataFrame) -> DataFrame:
