@@ -25,8 +25,11 @@ KEYS = 5
 WIDE = 18
 #: Fingerprints of one such tile that are compared with those of another at a time.
 TILE = 16_384
-#: Nearest neighbours of a fingerprint in a tile whose similarity is verified, besides the spanning forest.
+#: Nearest neighbours of a fingerprint in a tile whose similarity is verified first, besides the spanning
+#: forest; a second pass verifies what that leaves between different components.
 NEAREST = 4
+#: Pairs that a task hands on at a time.
+PAIR_ROWS = 1 << 18
 
 
 def hashes(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> np.ndarray:
@@ -177,40 +180,79 @@ def near_links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return values[np.minimum(i, j)], values[np.maximum(i, j)]
 
 
-def candidates(firsts: DataFrame, radius: int = WIDE, tile: int = TILE) -> DataFrame:
+def candidates(firsts: DataFrame, radius: int = WIDE, tile: int = TILE, groups: DataFrame | None = None) -> DataFrame:
     """Links (a, b) of distinct values of ``firsts`` (fp, keys) within ``radius`` that share a key.
 
     The fingerprints of a key are a tile; a tile of more than ``tile`` is cut
-    into chunks, all pairs of which are compared.
+    into chunks, all pairs of which are compared. Of a tile's links those that
+    ``fewer`` leaves are returned; with ``groups`` (node, component) all those
+    between different components instead, of tiles in which ``fewer`` may have
+    left any out.
     """
-    keyed = firsts.select("fp", F.posexplode("keys").alias("k", "key")).select("fp", F.xxhash64("k", "key").alias("key"))
-    sizes = staged(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    every = groups is not None
+    firsts = firsts.join(groups, firsts["fp"] == groups["node"], "left").select("fp", "keys", F.coalesce("component", "fp").alias("c")) if every else firsts.withColumn("c", F.lit(None).cast("long"))
+    keyed = firsts.select("fp", "c", F.posexplode("keys").alias("k", "key")).select("fp", "c", F.xxhash64("k", "key").alias("key"))
+    counted = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    sizes = staged(counted.where((F.col("n") > 2 * NEAREST) & (F.col("lo") < F.col("hi")) if every else F.col("n") > 1).select("key", "n"), "keys")
     cut = hot_join(keyed, sizes, "key").withColumn("n_chunks", F.ceil(F.col("n") / tile).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("n_chunks")).cast("int"))
-    chunks = staged(cut.repartition("key", "chunk").groupBy("key", "chunk", "n_chunks").agg(F.collect_list("fp").alias("fps")), "tiles")  # tile fingerprints, about
-    side = lambda name: chunks.where("n_chunks > 1").select("key", F.col("chunk").alias(f"chunk_{name}"), F.col("fps").alias(f"fps_{name}"))
+    of = F.collect_list(F.struct("fp", "c"))  # tile fingerprints, about
+    chunks = staged(cut.repartition("key", "chunk").groupBy("key", "chunk", "n_chunks").agg(of.alias("x")).select("key", "chunk", "n_chunks", F.col("x.fp").alias("fps"), F.col("x.c").alias("cs")), "tiles")
+    side = lambda name: chunks.where("n_chunks > 1").select("key", F.col("chunk").alias(f"chunk_{name}"), F.col("fps").alias(f"fps_{name}"), F.col("cs").alias(f"cs_{name}"))
     keys = chunks.where("n_chunks > 1").select("key", F.col("chunk").alias("chunk_a"), F.explode(F.sequence("chunk", F.col("n_chunks") - 1)).alias("chunk_b"))
-    large = keys.join(side("a"), ["key", "chunk_a"]).join(side("b"), ["key", "chunk_b"]).select("fps_a", "fps_b")
-    pairs = chunks.where("n_chunks = 1").select(F.col("fps").alias("fps_a"), F.lit(None).cast("array<long>").alias("fps_b")).union(large.repartition(firsts.sparkSession.sparkContext.defaultParallelism * 4))
+    large = keys.join(side("a"), ["key", "chunk_a"]).join(side("b"), ["key", "chunk_b"]).select("fps_a", "cs_a", "fps_b", "cs_b")
+    none = F.lit(None).cast("array<long>")
+    pairs = chunks.where("n_chunks = 1").select(F.col("fps").alias("fps_a"), F.col("cs").alias("cs_a"), none.alias("fps_b"), none.alias("cs_b")).union(large.repartition(firsts.sparkSession.sparkContext.defaultParallelism * 4))
+    longs = lambda x: x.values.to_numpy(zero_copy_only=False)
+
+    def some(row: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x, _, y, _ = row
+        a = longs(x).view(np.uint64)
+        yield near_links(a, longs(y).view(np.uint64) if y.is_valid else a, radius)
+
+    def between(row: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x, c, y, d = row
+        a, c = longs(x).view(np.uint64), longs(c)
+        b, d = (longs(y).view(np.uint64), longs(d)) if y.is_valid else (a, c)
+        for i, j, _ in slices(a, b, radius):
+            other = (c[i] != d[j]) & (y.is_valid | (a[i] < b[j]))
+            if other.any():
+                u, v = a[i[other]], b[j[other]]
+                yield np.minimum(u, v), np.maximum(u, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                a = x.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                out.append(near_links(a, y.values.to_numpy(zero_copy_only=False).view(np.uint64) if y.is_valid else a, radius))
-            a, b = (np.concatenate(v).view(np.int64) for v in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for row in zip(*batch.columns, strict=True):
+                for pair in (between if every else some)(row):
+                    held.append(pair)
+                    size += len(pair[0])
+                    if size >= PAIR_ROWS:
+                        yield table(held)
+                        held, size = [], 0
+        yield table(held)
+
+    def table(held: list) -> pa.RecordBatch:
+        a, b = (np.concatenate(v).view(np.int64) for v in zip(*held, strict=True)) if held else (np.empty(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_links(docs: DataFrame, firsts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Links (a, b) of the candidates whose shingle sets have at least that Jaccard similarity.
+    """Links (a, b) whose shingle sets have at least that Jaccard similarity, with the components of all candidates that have.
 
-    ``firsts`` names a text of each fingerprint (doc_id, text_hash). Only texts
-    with a candidate are shuffled.
+    ``firsts`` names a text of each fingerprint (doc_id, text_hash). Nearest
+    candidates are verified first; of the rest those between components that
+    are still apart. What joins nodes of one component cannot change it.
     """
-    pairs = staged(candidates(firsts), "candidates")
+    near = staged(verified(docs, firsts, staged(candidates(firsts), "candidates"), similarity, shingle), "near")
+    groups = staged(components(near), "groups")
+    rest = staged(candidates(firsts, groups=groups), "candidates")
+    return near.union(verified(docs, firsts, rest, similarity, shingle))
+
+
+def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The ``pairs`` (a, b) of fingerprints whose texts are that similar. Only texts with a candidate are shuffled."""
     nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     wanted = staged(firsts.join(nodes, "fp").select("fp", F.col("first").alias("w_id"), F.col("text_hash").alias("w_hash")), "wanted")
     texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
