@@ -119,14 +119,14 @@ def _hash(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def features(ids: np.ndarray, starts: np.ndarray, bos: int) -> list[np.ndarray]:
-    """Hashed features of each token: the last word (with the token an n-gram) and the word before it (a skip)."""
+    """Hashed features of each token: the last word and the last two (with the token n-grams), and the word before the last (a skip)."""
     one, two = np.empty_like(ids), np.empty_like(ids)
     one[1:], two[2:] = ids[:-1], ids[:-2]
     one[starts] = bos
     two[starts] = bos
     later = starts[starts + 1 < len(ids)] + 1
     two[later] = bos
-    return [_hash(one, 1), _hash(two, 2)]
+    return [_hash(one, 1), _hash(two, 2), _hash(one * (bos + 1) + two, 3)]
 
 
 def _order(x: np.ndarray) -> np.ndarray:
