@@ -50,9 +50,8 @@ def grid(boxes: DataFrame, tile: int) -> DataFrame:
     return rows.withColumn("ty", F.explode(F.sequence(at("y0"), F.floor((F.col("y1") - 1) / tile))))
 
 
-def to_tiles(px: DataFrame, channels: tuple = RGBA, by: Keys = (), tile: int = TILE, boxes: DataFrame | None = None, dtype: str = "uint8") -> DataFrame:
-    """The tiles of the rasters in ``px``, within ``boxes`` (else within the pixels' own bounds); the last of repeated pixels stays."""
-    boxes = bounds(px, by) if boxes is None else boxes
+def present(px: DataFrame, channels: tuple = RGBA, by: Keys = (), tile: int = TILE, dtype: str = "uint8") -> DataFrame:
+    """(keys, tx, ty, data) of the tiles that have pixels; the last of repeated pixels stays."""
     cells = (*by, "tx", "ty")
     rows = px.select(*by, F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty"), "x", "y", *channels)
 
@@ -63,10 +62,15 @@ def to_tiles(px: DataFrame, channels: tuple = RGBA, by: Keys = (), tile: int = T
             planes[k, at] = t.column(c).to_numpy()
         return pa.Table.from_batches([_batch(t, cells, 1, data=[planes.tobytes()])])
 
-    made = rows.groupBy(*cells).applyInArrow(gather, _schema(rows, cells, "data binary"))
-    key = [F.col(c) for c in cells]
-    made = made.select(*(c.alias(f"m_{n}") for n, c in zip(cells, key)), "data")
-    every = grid(boxes, tile)
+    return rows.groupBy(*cells).applyInArrow(gather, _schema(rows, cells, "data binary"))
+
+
+def to_tiles(px: DataFrame, channels: tuple = RGBA, by: Keys = (), tile: int = TILE, boxes: DataFrame | None = None, dtype: str = "uint8") -> DataFrame:
+    """All tiles of the rasters in ``px``, within ``boxes`` (else within the pixels' own bounds)."""
+    cells = (*by, "tx", "ty")
+    made = present(px, channels, by, tile, dtype)
+    made = made.select(*(F.col(c).alias(f"m_{c}") for c in cells), "data")
+    every = grid(bounds(px, by) if boxes is None else boxes, tile)
     # Few rows each: one for a tile.
     return every.join(made, [every[c].eqNullSafe(made[f"m_{c}"]) for c in cells], "left").select(*by, "tx", "ty", *BOUNDS, "data")
 
