@@ -32,7 +32,7 @@ def _masks(pixels: DataFrame) -> DataFrame:
     """One mask for every layer that has one: a ramp, absent on the right."""
     px = pixels.select("doc", "x", "y").distinct().where("x < 80")
     cov = ((F.col("x") * 5 + F.col("y") * 3) % 256).alias("cov")
-    return px.select("doc", F.explode(F.array(*(F.lit(k).cast("long") for k in (1, 2, 3, 10, 11)))).alias("layer"), "x", "y", cov)
+    return px.select("doc", F.explode(F.array(*(F.lit(k).cast("long") for k in (1, 2, 3, 10, 11, 12)))).alias("layer"), "x", "y", cov)
 
 
 _LAYER = "id long, parent long, z long, kind string, visible boolean, opacity double, fill double, mode string, clipped boolean, as_group boolean, knockout string, channels string, ranges array<struct<channel:string,this:array<double>,under:array<double>>>, masked boolean, density double, tables array<array<int>>"
