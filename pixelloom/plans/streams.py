@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pixelloom.operators.tiles import bounds
+from pixelloom.plans.queries import BLEND_SQL
+from pixelloom.sources.rasters import events_raster
 from pixelloom.streaming import histograms as H
+from pixelloom.streaming import strokes as S
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -19,3 +23,61 @@ QUERIES["stream_histogram"] = _histogram
 ORACLE_SQL["stream_histogram"] = """with px as (select epoch(ts)::bigint as s, cast(floor(value) as bigint) % 256 as r, (user_id * 37) % 256 as g, (event_id * 11) % 256 as b, event_type from events where event_type <> 'error'),
 e as (select s - s % 2592000 as begins, unnest([{'channel': 'r', 'bin': r // 16}, {'channel': 'g', 'bin': g // 16}, {'channel': 'b', 'bin': b // 16}]) as e from px)
 select begins, e.channel as channel, e.bin as bin, count(*) as n from e group by all"""
+
+_BRUSH = S.Brush(size=12.0, smoothing=0.3, angle=30.0, roundness=0.6, flow=0.7)
+
+
+def _dabs(spark, sf_dir):
+    return S.run_strokes(H.samples_stream(spark, sf_dir), H.shared_path(spark, "strokes"), _BRUSH)
+
+
+_milli = lambda c: f"cast(floor({c} * 1000 + 0.5) as bigint)"
+#: The brush follows sample by sample (way); every step of 3 pixels of its way is a dab (dabs).
+_STROKES = """with recursive s as (select user_id % 8 as stroke, row_number() over (partition by user_id % 8 order by ts, event_id) as k, (event_id * 7 % 100 + 0.5)::double as x,
+    (cast(floor(value) as bigint) % 60 + 0.25)::double as y, ((cast(floor(value) as bigint) % 7 + 2) / 8::double) as p from events where event_id % 25 = 0),
+  way as (select stroke, k, x as fx, y as fy, x, y, 0::double as far, p as p0, p as p1, 0::double as before, 0::double as gone, 1::bigint as dabs from s where k = 1
+    union all select stroke, k, fx, fy, x, y, far, p0, p1, before, case when dabs > 0 then far - (3 - before + (dabs - 1) * 3) else before + far end, dabs from (
+      select *, case when far >= 3 - before then floor((far - (3 - before)) / 3)::bigint + 1 else 0 end as dabs from (
+        select *, sqrt((x - fx) * (x - fx) + (y - fy) * (y - fy)) as far from (
+          select s.stroke, s.k, w.x as fx, w.y as fy, w.x + (s.x - w.x) * 0.7::double as x, w.y + (s.y - w.y) * 0.7::double as y, w.p1 as p0, s.p as p1, w.gone as before from way w join s on s.stroke = w.stroke and s.k = w.k + 1)))),
+  numbered as (select *, sum(dabs) over (partition by stroke order by k) - dabs as first from way),
+  dabs as (select stroke, (first + j)::bigint as n, case when k = 1 then x else fx + (x - fx) * t end as x, case when k = 1 then y else fy + (y - fy) * t end as y, 6 * greatest(0.02::double, p0 + (p1 - p0) * t) as radius
+    from (select *, case when k = 1 then 0::double else (3 - before + j * 3) / far end as t from numbered, unnest(range(0, dabs)) r(j)))"""
+_CANVAS = """, canvas as (select event_id % 100 as x, cast(floor(event_id / 100) as bigint) as y, cast(floor(value) as bigint) % 256 as r, (user_id * 37) % 256 as g, (event_id * 11) % 256 as b,
+    cast(case event_type when 'error' then 0 when 'signup' then 128 else 255 end as bigint) as a from events),
+  turned as (select d.stroke, c.x, c.y, radius * 0.6::double as core, greatest(radius, radius * 0.6::double + 0.5) as rim, (c.x + 0.5 - d.x) * cos(-pi() / 6) - (c.y + 0.5 - d.y) * sin(-pi() / 6) as u, ((c.x + 0.5 - d.x) * sin(-pi() / 6) + (c.y + 0.5 - d.y) * cos(-pi() / 6)) / 0.6::double as v
+    from canvas c join dabs d on c.x between d.x - 12 and d.x + 12 and c.y between d.y - 12 and d.y + 12),
+  alphas as (select stroke, x, y, case when e >= rim then 0::double when e <= core then 0.7::double else 0.7::double * (1 - ((e - core) / (rim - core)) * ((e - core) / (rim - core)) * (3 - 2 * ((e - core) / (rim - core)))) end as alpha from (select *, sqrt(u * u + v * v) as e from turned)),
+  covers as (select stroke, x, y, 1 - product(1 - alpha) as cover from alphas group by all)"""
+
+QUERIES["stream_stroke_dabs"] = lambda spark, d: _dabs(spark, d).select("stroke", "n", *(F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(c) for c in ("x", "y", "radius")))
+ORACLE_SQL["stream_stroke_dabs"] = _STROKES + f" select stroke, n, {', '.join(f'{_milli(c)} as {c}' for c in ('x', 'y', 'radius'))} from dabs"
+QUERIES["stream_stroke_coverage"] = lambda spark, d: S.coverage(_dabs(spark, d), bounds(events_raster(spark, d)), _BRUSH, 32).select("stroke", "x", "y", F.floor(F.col("cover") * 1000 + 0.5).cast("long").alias("cover"))
+ORACLE_SQL["stream_stroke_coverage"] = _STROKES + _CANVAS + f" select stroke, x, y, {_milli('cover')} as cover from covers where cover > 0"
+
+
+def _painted(mode: str, wet: bool = False, preserve: bool = False) -> str:
+    """One step a stroke: its cover in 8 bits, at the opacity, in the colour (200, 40, 90)."""
+    sql, last = "", "canvas"
+    byte = lambda e: f"cast(floor(({e}) * 255 + 0.5) as bigint)"
+    for k in range(8):
+        s0 = "(floor(cover * 255 + 0.5) / 255::double)"
+        s = f"({f'{s0} * (0.5 + 2 * {s0} * (1 - {s0}))' if wet else s0}) * 0.8::double"
+        sql += f", t{k} as (select p.*, coalesce({s}, 0) as s, a / 255::double as ab from {last} p left join (select * from covers where stroke = {k}) c using (x, y)), u{k} as (select *, s + ab * (1 - s) as o from t{k})"
+        if mode == "clear":
+            new = {"r": "r", "g": "g", "b": "b", "a": byte("ab * (1 - s)")}
+        else:
+            ink = {"r": "200 / 255::double", "g": "40 / 255::double", "b": "90 / 255::double"}
+            if mode == "behind":
+                one = lambda c: f"((1 - ab) * s * {ink[c]} + ab * ((1 - s) * ({c} / 255::double) + s * ({c} / 255::double))) / o"  # noqa: B023, E731
+            else:
+                one = lambda c: f"((1 - s) * ab * ({c} / 255::double) + s * ((1 - ab) * {ink[c]} + ab * ({BLEND_SQL[mode].format(b=f'({c} / 255::double)', s=ink[c])}))) / o"  # noqa: B023, E731
+            new = {c: byte(one(c)) for c in "rgb"} | {"a": "a" if preserve else byte("o")}
+        test = "s > 0 and a > 0" if preserve else "s > 0"
+        sql, last = sql + f", p{k} as (select x, y, {', '.join(f'case when {test} then {v} else {c} end as {c}' for c, v in new.items())} from u{k})", f"p{k}"
+    return sql + f" select x, y, r, g, b, a from {last}"
+
+
+for _name, _mode, _options in (("multiply", "multiply", {}), ("behind", "behind", {}), ("clear", "clear", {}), ("wet_edges", "normal", {"wet": True}), ("locked_alpha", "screen", {"preserve": True})):
+    QUERIES[f"stream_paint_{_name}"] = lambda spark, d, m=_mode, o=_options: S.composite_strokes(events_raster(spark, d), _dabs(spark, d), (200, 40, 90), _BRUSH, 0.8, m, tile=32, **o)
+    ORACLE_SQL[f"stream_paint_{_name}"] = _STROKES + _CANVAS + _painted(_mode, **_options)

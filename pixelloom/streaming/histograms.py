@@ -47,3 +47,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(folder or tempfile.mkdtemp(prefix='pixelloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def samples_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as samples of pens: eight strokes, by user; places on a raster of 100 pixels a row, pressures from values."""
+    e = spark.readStream.schema("event_id bigint, ts timestamp, user_id bigint, event_type string, value double").option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return e.where("event_id % 25 = 0").select(
+        (F.col("user_id") % 8).alias("stroke"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
+        (F.col("event_id") * 7 % 100 + 0.5).cast("double").alias("x"), (F.floor("value") % 60 + 0.25).cast("double").alias("y"),
+        ((F.floor("value") % 7 + 2) / 8).cast("double").alias("pressure"),
+    )
