@@ -3,9 +3,9 @@ import os
 import duckdb
 import pytest
 
-from pixelloom.plans import adjustments, colors, compositing, filters, gathers, more, queries, rendering, scalars, selections, streams, tiling, trees
+from pixelloom.plans import adjustments, colors, compositing, filters, gathers, more, paths, queries, rendering, scalars, selections, streams, tiling, trees
 
-PARTS = (queries, more, colors, adjustments, scalars, filters, rendering, gathers, selections, trees, streams, tiling, compositing)
+PARTS = (queries, more, colors, adjustments, scalars, filters, rendering, gathers, selections, trees, streams, tiling, compositing, paths)
 QUERIES, ORACLE_SQL = ({k: v for part in PARTS for k, v in getattr(part, name).items()} for name in ("QUERIES", "ORACLE_SQL"))
 SF = "/root/testdata/sf0.001"
 
