@@ -44,6 +44,7 @@ def straight_bytes(v: np.ndarray, a: np.ndarray | None = None) -> np.ndarray:
 
 
 def _middle(block: np.ndarray, reach: int) -> np.ndarray:
+    """A block without ``reach`` pixels at each side."""
     return block[:, reach : block.shape[1] - reach, reach : block.shape[2] - reach]
 
 

@@ -166,6 +166,25 @@ def filtered(tiles: DataFrame, reach: int, kernel: Kernel, channels: tuple = RGB
     return strips.groupBy(*cells).applyInArrow(run, _schema(tiles, by, "x long", "y long", *(f"{c} long" for c in out)))
 
 
+def at_border(block: np.ndarray, left: int, top: int, row: dict) -> np.ndarray:
+    """A block that begins at (left, top), with the raster's border repeated anew beyond it."""
+    ix = np.clip(np.arange(left, left + block.shape[2]), row["x0"], row["x1"] - 1) - left
+    iy = np.clip(np.arange(top, top + block.shape[1]), row["y0"], row["y1"] - 1) - top
+    return block[:, iy[:, None], ix[None, :]]
+
+
+def stepped(tiles: DataFrame, reach: int, kernel: Callable[[np.ndarray, dict], np.ndarray], channels: int, by: Keys = (), tile: int = TILE, dtype: str = "float64") -> DataFrame:
+    """Tiles of doubles that ``kernel`` makes of each tile with its halo, and its row (place and bounds): a step of an iteration."""
+    cells = (*by, "tx", "ty")
+
+    def run(t: pa.Table) -> pa.Table:
+        block = haloed(t, reach, channels, tile, dtype).astype(np.float64)
+        row = {c: t.column(c)[0].as_py() for c in (*cells, *BOUNDS)}
+        return pa.Table.from_batches([_batch(t, (*cells, *BOUNDS), 1, data=[np.ascontiguousarray(np.stack(kernel(block, row))).tobytes()])])
+
+    return _strips(tiles, reach, channels, by, tile, dtype).groupBy(*cells).applyInArrow(run, tiles.schema)
+
+
 # Box means: running sums along each line of tiles.
 
 
