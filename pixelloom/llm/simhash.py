@@ -63,20 +63,40 @@ def least(h: np.ndarray, keys: int = KEYS) -> list[int]:
     return out
 
 
+def histogram(h: np.ndarray) -> bytes:
+    """How many different hashes have each first byte, up to 255."""
+    return np.minimum(np.bincount((np.unique(h) >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets with those histograms (a row each) can have that Jaccard similarity: what they share is at most the lesser count, byte by byte."""
+    out = np.empty(len(a), bool)
+    for k in range(0, len(a), 1 << 14):
+        x, y = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+        shared, both = np.minimum(x, y).sum(1, dtype=np.int64), x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)
+        full = (x == 255).any(1) | (y == 255).any(1)  # counts beyond are not known
+        out[k : k + len(x)] = full | (shared * (1 + similarity) + 1e-6 >= similarity * both)
+    return out
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keys: int = 0) -> DataFrame:
-    """Rows (doc_id, fp, text_hash: long, keys: array of long) of all whole texts; a null text counts as empty."""
+    """Rows (doc_id, fp, text_hash: long, keys: array of long, hist: binary) of all whole texts; a null text counts as empty.
+
+    Without ``keys`` there are no histograms either.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, mins = [], []
+            fps, mins, hists = [], [], []
             for t in b.column(2).to_pylist():
                 h = hashes(t, shingle)
                 fps.append(majority(h))
                 mins.append(least(h, keys))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), b.column(1), pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "fp", "text_hash", "keys"])
+                hists.append(histogram(h) if keys else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), b.column(1), pa.array(mins, pa.list_(pa.int64())), pa.array(hists, pa.binary())], ["doc_id", "fp", "text_hash", "keys", "hist"])
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text.cast("binary")).mapInArrow(run, "doc_id long, fp long, text_hash long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text.cast("binary")).mapInArrow(run, "doc_id long, fp long, text_hash long, keys array<long>, hist binary")
 
 
 def slices(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -180,43 +200,46 @@ def near_links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return values[np.minimum(i, j)], values[np.maximum(i, j)]
 
 
-def candidates(firsts: DataFrame, radius: int = WIDE, tile: int = TILE, groups: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) of distinct values of ``firsts`` (fp, keys) within ``radius`` that share a key.
+def candidates(firsts: DataFrame, radius: int = WIDE, tile: int = TILE, groups: DataFrame | None = None, similarity: float = 0.0) -> DataFrame:
+    """Links (a, b) of distinct values of ``firsts`` (fp, keys, hist) within ``radius`` that share a key.
 
     The fingerprints of a key are a tile; a tile of more than ``tile`` is cut
     into chunks, all pairs of which are compared. Of a tile's links those that
     ``fewer`` leaves are returned; with ``groups`` (node, component) all those
     between different components instead, of tiles in which ``fewer`` may have
-    left any out.
+    left any out, but for pairs whose histograms rule ``similarity`` out.
     """
     every = groups is not None
-    firsts = firsts.join(groups, firsts["fp"] == groups["node"], "left").select("fp", "keys", F.coalesce("component", "fp").alias("c")) if every else firsts.withColumn("c", F.lit(None).cast("long"))
-    keyed = firsts.select("fp", "c", F.posexplode("keys").alias("k", "key")).select("fp", "c", F.xxhash64("k", "key").alias("key"))
+    firsts = firsts.join(groups, firsts["fp"] == groups["node"], "left").select("fp", "keys", "hist", F.coalesce("component", "fp").alias("c")) if every else firsts.select("fp", "keys", F.lit(None).cast("binary").alias("hist"), F.lit(None).cast("long").alias("c"))
+    keyed = firsts.select("fp", "c", "hist", F.posexplode("keys").alias("k", "key")).select("fp", "c", "hist", F.xxhash64("k", "key").alias("key"))
     counted = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     sizes = staged(counted.where((F.col("n") > 2 * NEAREST) & (F.col("lo") < F.col("hi")) if every else F.col("n") > 1).select("key", "n"), "keys")
     cut = hot_join(keyed, sizes, "key").withColumn("n_chunks", F.ceil(F.col("n") / tile).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("n_chunks")).cast("int"))
-    of = F.collect_list(F.struct("fp", "c"))  # tile fingerprints, about
-    chunks = staged(cut.repartition("key", "chunk").groupBy("key", "chunk", "n_chunks").agg(of.alias("x")).select("key", "chunk", "n_chunks", F.col("x.fp").alias("fps"), F.col("x.c").alias("cs")), "tiles")
-    side = lambda name: chunks.where("n_chunks > 1").select("key", F.col("chunk").alias(f"chunk_{name}"), F.col("fps").alias(f"fps_{name}"), F.col("cs").alias(f"cs_{name}"))
+    of = F.collect_list(F.struct("fp", "c", "hist"))  # tile fingerprints, about
+    chunks = staged(cut.repartition("key", "chunk").groupBy("key", "chunk", "n_chunks").agg(of.alias("x")).select("key", "chunk", "n_chunks", F.col("x.fp").alias("fps"), F.col("x.c").alias("cs"), F.col("x.hist").alias("hs")), "tiles")
+    side = lambda name: chunks.where("n_chunks > 1").select("key", F.col("chunk").alias(f"chunk_{name}"), *(F.col(c).alias(f"{c}_{name}") for c in ("fps", "cs", "hs")))
     keys = chunks.where("n_chunks > 1").select("key", F.col("chunk").alias("chunk_a"), F.explode(F.sequence("chunk", F.col("n_chunks") - 1)).alias("chunk_b"))
-    large = keys.join(side("a"), ["key", "chunk_a"]).join(side("b"), ["key", "chunk_b"]).select("fps_a", "cs_a", "fps_b", "cs_b")
-    none = F.lit(None).cast("array<long>")
-    pairs = chunks.where("n_chunks = 1").select(F.col("fps").alias("fps_a"), F.col("cs").alias("cs_a"), none.alias("fps_b"), none.alias("cs_b")).union(large.repartition(firsts.sparkSession.sparkContext.defaultParallelism * 4))
+    large = keys.join(side("a"), ["key", "chunk_a"]).join(side("b"), ["key", "chunk_b"]).select("fps_a", "cs_a", "hs_a", "fps_b", "cs_b", "hs_b")
+    none = lambda kind: F.lit(None).cast(f"array<{kind}>")
+    pairs = chunks.where("n_chunks = 1").select(F.col("fps").alias("fps_a"), F.col("cs").alias("cs_a"), F.col("hs").alias("hs_a"), none("long").alias("fps_b"), none("long").alias("cs_b"), none("binary").alias("hs_b")).union(large.repartition(firsts.sparkSession.sparkContext.defaultParallelism * 4))
     longs = lambda x: x.values.to_numpy(zero_copy_only=False)
 
     def some(row: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        x, _, y, _ = row
+        x, y = row[0], row[3]
         a = longs(x).view(np.uint64)
         yield near_links(a, longs(y).view(np.uint64) if y.is_valid else a, radius)
 
     def between(row: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        x, c, y, d = row
-        a, c = longs(x).view(np.uint64), longs(c)
-        b, d = (longs(y).view(np.uint64), longs(d)) if y.is_valid else (a, c)
+        x, c, p, y, d, q = row
+        counts = lambda h: np.frombuffer(b"".join(h.as_py()), np.uint8).reshape(-1, 256)
+        a, c, p = longs(x).view(np.uint64), longs(c), counts(p)
+        b, d, q = (longs(y).view(np.uint64), longs(d), counts(q)) if y.is_valid else (a, c, p)
         for i, j, _ in slices(a, b, radius):
             other = (c[i] != d[j]) & (y.is_valid | (a[i] < b[j]))
-            if other.any():
-                u, v = a[i[other]], b[j[other]]
+            i, j = i[other], j[other]
+            can = may_reach(p[i], q[j], similarity) if len(i) else np.empty(0, bool)
+            if can.any():
+                u, v = a[i[can]], b[j[can]]
                 yield np.minimum(u, v), np.maximum(u, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +270,7 @@ def similar_links(docs: DataFrame, firsts: DataFrame, similarity: float, shingle
     """
     near = staged(verified(docs, firsts, staged(candidates(firsts), "candidates"), similarity, shingle), "near")
     groups = staged(components(near), "groups")
-    rest = staged(candidates(firsts, groups=groups), "candidates")
+    rest = staged(candidates(firsts, groups=groups, similarity=similarity), "candidates")
     return near.union(verified(docs, firsts, rest, similarity, shingle))
 
 
@@ -355,8 +378,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """
     docs = docs.select("doc_id", "text")
     rows = staged(fingerprints(docs, shingle, KEYS if similarity is not None else 0), "fingerprints")
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "keys"))
-    firsts = staged(rows.groupBy("fp").agg(best.alias("m"), F.count("*").alias("n")).select("fp", F.col("m.doc_id").alias("first"), "m.text_hash", "m.keys", "n"), "firsts")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "keys", "hist"))
+    firsts = staged(rows.groupBy("fp").agg(best.alias("m"), F.count("*").alias("n")).select("fp", F.col("m.doc_id").alias("first"), "m.text_hash", "m.keys", "m.hist", "n"), "firsts")
     linked = components(links(firsts.select("fp"), radius) if similarity is None else similar_links(docs, firsts, similarity, shingle))
     linked = linked.join(firsts, linked["node"] == firsts["fp"]).select("node", "component", "first")
     smallest = linked.groupBy("component").agg(F.min("first").alias("least")).withColumn("n", F.lit(0))
