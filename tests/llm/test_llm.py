@@ -345,9 +345,9 @@ def test_decontaminate_equals_full_distances(spark, block_chars):
                 for j, e in enumerate(decontaminate.squeeze(t)):
                     new.append(min(row[j] + (c != e), row[j + 1] + 1, new[j] + 1))
                 row = new
-            if min(row) <= (int(len(p) * decontaminate.RATE) if len(p) >= decontaminate.SHORT else -1):
+            if min(row) <= (int(len(p) * decontaminate.RATE) or -1):
                 want.append((d, k, min(row)))
-    long_ = spark.createDataFrame([i for i in items if len(i[1]) >= decontaminate.SHORT] + items[:1], "item_id long, text string")
+    long_ = spark.createDataFrame([i for i in items if int(len(i[1]) * decontaminate.RATE)] + items[:1], "item_id long, text string")
     got = [tuple(r) for r in decontaminate.contaminated(spark.createDataFrame(texts_, "doc_id long, text string"), long_, block_chars=block_chars).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
