@@ -151,33 +151,19 @@ def read_3dl(text: str) -> tuple[int, list[float]]:
     return size, [v / scale for t in red_first for v in t]
 
 
+def read_lut(name: str, text: str) -> tuple[int, list[float]]:
+    """A table by the kind of its file: .cube or .3dl."""
+    kind = name.rsplit(".", 1)[-1].lower()
+    if kind not in ("cube", "3dl"):
+        raise ValueError(f"{name}: neither .cube nor .3dl")
+    return read_cube(text) if kind == "cube" else read_3dl(text)
+
+
 def write_cube(name: str, size: int, values: list[float]) -> str:
     body = ("{:.6f} {:.6f} {:.6f}".format(*values[i : i + 3]) for i in range(0, len(values), 3))
     return "\n".join([f'TITLE "{name}"', f"LUT_3D_SIZE {size}", *body]) + "\n"
 
 
-def cube_at(size: int, values: list[float], c: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
-    """A colour through a table, interpolated in the tetrahedron of its cell.
-
-    From the cell's first corner the path goes along the axis of the largest
-    fraction, then the next, then the least; each step weighs by its fraction.
-    The table is one literal array, so it suits sizes up to about 33.
-    """
-    table = F.array(*map(F.lit, values))
-    at = [F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)) * (size - 1) for v in c]
-    low = [F.least(F.lit(size - 2), F.floor(v)).cast("int") for v in at]
-    steps = [F.struct((v - k).alias("f"), F.lit(-n).alias("first"), F.lit(size**n * 3).alias("by")) for n, (v, k) in enumerate(zip(at, low, strict=True))]
-    path = F.reverse(F.sort_array(F.array(*steps)))
-    corner = (low[2] * size * size + low[1] * size + low[0]) * 3
-
-    def channel(k: int) -> Column:
-        begin = F.struct(F.get(table, corner + k).alias("v"), (corner + k).alias("at"))
-        step = lambda acc, s: F.struct((acc["v"] + s["f"] * (F.get(table, acc["at"] + s["by"]) - F.get(table, acc["at"]))).alias("v"), (acc["at"] + s["by"]).alias("at"))
-        return F.aggregate(path, begin, step, lambda acc: acc["v"])
-
-    return channel(0), channel(1), channel(2)
-
-
 def levels_points(black: float, gamma: float, white: float, out_black: float = 0, out_white: float = 255) -> Points:
     """Points of the curve that a levels setting draws: its ends, and the middle where gamma bends it."""
     ends = [(black / 255, out_black / 255), (white / 255, out_white / 255)]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,8 +122,32 @@ def selective_color(px: DataFrame, ranges: dict[str, tuple], relative: bool = Tr
 
 
 def color_lookup(px: DataFrame, size: int, values: list[float]) -> DataFrame:
-    """Colours through a table of size x size x size (red fastest)."""
-    return point(px, lambda *_: [byte(v) for v in ramps.cube_at(size, values, unit())])
+    """Colours through a table of size x size x size (red fastest), which every task is sent once: 1 MB at 33 entries a side, 7 at 65.
+
+    Interpolated in the tetrahedron of the cell: from its first corner along
+    the axis of the largest fraction, then the next, then the least.
+    """
+    table = px.sparkSession.sparkContext.broadcast(np.array(values).reshape(-1, 3))
+    axes = np.array([size**n for n in range(3)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cube = table.value
+        for b in batches:
+            old = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in RGB])
+            at = np.clip(old / 255, 0, 1) * (size - 1)
+            low = np.minimum(size - 2, np.floor(at)).astype(np.int64)
+            share = at - low
+            corner = axes @ low
+            new = cube[corner]
+            for axis in np.argsort(-share, axis=0, kind="stable"):
+                onward = corner + axes[axis]
+                new = new + share[axis, np.arange(len(axis))][:, None] * (cube[onward] - cube[corner])
+                corner = onward
+            new = np.floor(np.clip(new.T, 0, 1) * 255 + 0.5).astype(np.int64)
+            a = b.column("a").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), *(pa.array(v) for v in np.where(a == 0, old, new)), b.column("a")], names=["x", "y", *RGB, "a"])
+
+    return px.select("x", "y", *RGB, "a").mapInArrow(run, "x long, y long, r long, g long, b long, a long")
 
 
 def gradient_map(px: DataFrame, colors: list[tuple], reverse: bool = False) -> DataFrame:

@@ -20,6 +20,11 @@ def constant(spark: SparkSession, width: int, height: int, cov: int = 0) -> Data
     return spark.range(width * height).select((F.col("id") % width).alias("x"), F.floor(F.col("id") / width).alias("y"), F.lit(cov).cast("long").alias("cov"))
 
 
+def everything(px: DataFrame) -> DataFrame:
+    """Every pixel of a raster, selected."""
+    return px.select("x", "y", F.lit(255).cast("long").alias("cov"))
+
+
 def inverted(sel: DataFrame) -> DataFrame:
     return sel.select("x", "y", (255 - F.col("cov")).alias("cov"))
 

@@ -152,6 +152,18 @@ _one(
     "n as (select *, " + ", ".join(map(_tetra, range(3))) + " from d)" + _out(_N),
 )
 
+#: A table of 33 x 33 x 33 in twelve bits, blue fastest, by a rule.
+_LARGE = lambda r, g, b: [(r * 91 + g * 33 + b * 7) % 4096, (g * 127) % 4096, (4095 - b * 100 - r * 20) % 4096]
+_LARGE_TEXT = "\n".join([" ".join(str(k * 32) for k in range(33)), *(" ".join(map(str, _LARGE(r, g, b))) for r in range(33) for g in range(33) for b in range(33))])
+_rule = lambda k, r, g, b: ("((({r}) * 91 + ({g}) * 33 + ({b}) * 7) % 4096)", "((({g}) * 127) % 4096)", "((4095 - ({b}) * 100 - ({r}) * 20 + 409600) % 4096)")[k].format(r=f"r0 + {r}", g=f"g0 + {g}", b=f"b0 + {b}") + "::double / 4095::double"
+_small, _corner = _corner, lambda r, g, b, k: f"({_rule(k, r, g, b)})"
+_one(
+    "adjust_color_lookup_3dl", lambda px: A.color_lookup(px, *ramps.read_lut("large.3dl", _LARGE_TEXT)),
+    PX + ", c as (select *, least(31, floor(r / 255::double * 32))::bigint as r0, least(31, floor(g / 255::double * 32))::bigint as g0, least(31, floor(b / 255::double * 32))::bigint as b0 from pe), d as (select *, r / 255::double * 32 - r0 as u, g / 255::double * 32 - g0 as v, b / 255::double * 32 - b0 as w from c), "
+    "n as (select *, " + ", ".join(map(_tetra, range(3))) + " from d)" + _out(_N),
+)
+
+
 _COLORS = [(0.0, (0.0, 0.1, 0.3), 0.3), (0.4, (0.9, 0.2, 0.1)), (1.0, (1.0, 0.95, 0.7))]
 _OPACITY = [(0.0, 1.0), (0.6, 0.2, 0.7), (1.0, 0.8)]
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import functions as F
+
 from pixelloom.operators import effects as E
+from pixelloom.operators import healing as H
 from pixelloom.plans.filters import _BASE, _bytes, _hashes, _near
-from pixelloom.sources.rasters import events_raster
+from pixelloom.sources.rasters import events_raster, orders_raster
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -81,3 +84,13 @@ def _lens(passes: int, amount: float) -> str:
 
 for _passes in (1, 3):
     _one(f"effect_smart_sharpen_lens_{_passes}", lambda px, n=_passes: E.smart_sharpen(px, 1.3, 1.0, 0.0, "lens", passes=n, tile=64), _lens(_passes, 1.3) + _bytes("f"))
+
+
+def _healed(spark, d):
+    """The orders healed into a disc of the events; solved by iteration, so there is no SQL: tests compare with a dense solve."""
+    px = events_raster(spark, d)
+    disc = (F.col("x") - 50) * (F.col("x") - 50) + (F.col("y") - 4) * (F.col("y") - 4) * 9 <= 900
+    return H.heal(orders_raster(spark, d), px, px.select("x", "y", F.when(disc, 255).otherwise(0).cast("long").alias("cov")), tile=64)
+
+
+QUERIES["heal_membrane"] = _healed

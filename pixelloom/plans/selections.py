@@ -33,7 +33,7 @@ _one("select_ellipse_hard", lambda px: S.ellipse(px, *_BOX, smooth=False), PX +
 _one("select_inverse", lambda px: S.inverted(_oval_of(px)), PX + f" select x, y, 255 - cov as cov from {_oval(4)}")
 _one("select_column", lambda px: S.line(px, 7, True), PX + " select x, y, case when x = 7 then 255 else 0 end::bigint as cov from pe")
 _one("select_row", lambda px: S.line(px, 4, False), PX + " select x, y, case when y = 4 then 255 else 0 end::bigint as cov from pe")
-_one("select_all", lambda px: S.constant(px.sparkSession, 40, 30, 255), "select i::bigint as x, j::bigint as y, 255::bigint as cov from range(0, 40) s(i), range(0, 30) t(j)")
+_one("select_all", S.everything, PX + " select x, y, 255::bigint as cov from pe")
 
 
 def _means(r: int, passes: int) -> str:

@@ -16,7 +16,7 @@ def ordered(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_equals_sql(spark, name):
     c = duckdb.connect()
     for t in ("events", "orders", "nation", "customer"):
