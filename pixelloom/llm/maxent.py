@@ -28,6 +28,8 @@ ROUNDS = 2
 #: Step of updates, and what their sum of squares begins with.
 RATE, SQUARES = 1.5, 4.0
 BATCH = 8192
+#: Rows that occur so many times in a batch at most are summed one after the other, the rest of others at once.
+FEW = 4
 #: Table rows in one record of parameters.
 BLOCK = 256
 #: Training tasks: as many as the input has parts, but at most so many for each core and in all.
@@ -199,16 +201,21 @@ class Model:
             first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
             size = np.diff(np.concatenate([first, [len(key)]]))
             order %= len(g)
-            u, one = key[first], size == 1
-            sums = np.take(g, order[first], axis=0)  # most rows occur once in a batch
-            many = np.nonzero(~one)[0]
+            u = key[first]
+            sums = np.take(g, order[first], axis=0)  # most rows occur once in a batch, most others a few times
+            for k in range(1, FEW):
+                more = np.nonzero(size > k)[0]
+                sums[more] += np.take(g, order[first[more] + k], axis=0)
+            many = np.nonzero(size > FEW)[0]
             if len(many):
-                rest = np.repeat(~one, size)
-                begin = np.concatenate([[0], np.cumsum(size[many])[:-1]])
-                sums[many] = np.add.reduceat(np.take(g, order[rest], axis=0), begin, axis=0)
+                left = size[many] - FEW
+                begin = np.cumsum(left) - left
+                at = np.arange(left.sum()) + np.repeat(first[many] + FEW - begin, left)
+                sums[many] += np.add.reduceat(np.take(g, order[at], axis=0), begin, axis=0)
             squares[u] += np.einsum("ij,ij->i", sums, sums)
             sums *= (RATE / np.sqrt(squares[u]))[:, None]
-            self.table[u] += sums
+            sums += np.take(self.table, u, axis=0)
+            self.table[u] = sums
             seen[u] += size
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
