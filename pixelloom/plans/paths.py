@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.operators import paths as P
+from pixelloom.operators import tracing as T
+from pixelloom.plans.queries import PX
 from pixelloom.sources.rasters import events_raster
 
 QUERIES = {}
@@ -85,3 +87,30 @@ def _lasso(smooth: bool):
 for _name, _smooth in (("select_polygon", True), ("select_polygon_hard", False)):
     QUERIES[_name] = _lasso(_smooth)
     ORACLE_SQL[_name] = _POINTS.replace("event_id % 20 = 3)", "event_id % 20 = 3 and floor(event_id / 20)::bigint % 3 = 0)") + _covered(4 if _smooth else 1, "a", True).replace("range(0, 90)", "range(0, 100)").replace(", 90) as xb", ", 100) as xb") + ", px as (select event_id % 100 as x, cast(floor(event_id / 400) as bigint) as y, cast(floor(event_id / 100) as bigint) % 4 as doc from events) select px.doc, px.x, px.y, least(255, floor(coalesce(cover, 0) * 255 + 0.5))::bigint as cov from px left join cover using (doc, x, y)"
+
+
+def _selected(spark: SparkSession, d: str) -> DataFrame:
+    """Two documents of partly selected pixels."""
+    px = events_raster(spark, d)
+    return px.select((F.floor(F.col("y") / 5) % 2).alias("doc"), "x", (F.floor(F.col("y") / 10) * 5 + F.col("y") % 5).alias("y"), F.when((F.col("x") - 40) * (F.col("x") - 40) < 300, F.col("g")).when(F.col("r") > 90, 255).otherwise(0).cast("long").alias("cov"))
+
+
+QUERIES["trace_links"] = lambda spark, d: T.links(_selected(spark, d)).select("doc", "node", "next", *(F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(c) for c in ("x", "y")))
+_node = lambda side: f"case {side} when 'T' then (cy * 1073741824 + cx) * 2 when 'B' then ((cy + 1) * 1073741824 + cx) * 2 when 'L' then (cy * 1073741824 + cx) * 2 + 1 else (cy * 1073741824 + cx + 1) * 2 + 1 end::bigint"
+_share = lambda a, b: f"case when {a} = {b} then 0.5::double else (0.5::double - {a}) / ({b} - {a}) end"
+ORACLE_SQL["trace_links"] = PX + f""", sel as (select cast(floor(y / 5) as bigint) % 2 as doc, x, cast(floor(y / 10) as bigint) * 5 + y % 5 as y, case when (x - 40) * (x - 40) < 300 then g when r > 90 then 255 else 0 end / 255::double as v from pe),
+  cells as (select distinct doc, x - i as cx, y - j as cy from sel, range(0, 2) a(i), range(0, 2) b(j)),
+  c as (select cells.*, coalesce(p.v, 0) as tl, coalesce(q.v, 0) as tr, coalesce(r.v, 0) as br, coalesce(s.v, 0) as bl from cells left join sel p on p.doc = cells.doc and p.x = cx and p.y = cy left join sel q on q.doc = cells.doc and q.x = cx + 1 and q.y = cy
+    left join sel r on r.doc = cells.doc and r.x = cx + 1 and r.y = cy + 1 left join sel s on s.doc = cells.doc and s.x = cx and s.y = cy + 1),
+  coded as (select *, (tl > 0.5)::int * 8 + (tr > 0.5)::int * 4 + (br > 0.5)::int * 2 + (bl > 0.5)::int as code from c),
+  ways(code, a, b) as (values {', '.join(f"({k}, '{w[0]}', '{w[1]}')" for k, ws in T.LINKS.items() for w in ws)})
+  select doc, {_node('a')} as node, {_node('b')} as next, {_milli(f"cx + 0.5::double + case a when 'T' then {_share('tl', 'tr')} when 'B' then {_share('bl', 'br')} when 'L' then 0 else 1 end")} as x,
+    {_milli(f"cy + 0.5::double + case a when 'L' then {_share('tl', 'bl')} when 'R' then {_share('tr', 'br')} when 'T' then 0 else 1 end")} as y from coded join ways using (code)"""
+
+
+def _traced(spark: SparkSession, d: str) -> DataFrame:
+    """Outlines as cubics: least squares in arcs, so there is no SQL; tests hold them against their points."""
+    return T.curves(T.rings(T.links(_selected(spark, d))), 1.0)
+
+
+QUERIES["trace_curves"] = _traced

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelloom.operators import compositing, distance, effects, healing, paths, selections, text, tiled
+from pixelloom.operators import compositing, distance, effects, healing, paths, selections, text, tiled, tracing
 from pixelloom.sources import psd
 from pixelloom.streaming import strokes
 
@@ -250,3 +250,44 @@ def test_reversed_runs():
     assert show("אבג abc דה") == "הד abc גבא"
     assert show("") == "" and text.break_places(text.code_points("a-b c")).tolist() == [2, 4, 5]
     assert text.break_places(text.code_points("漢字。漢")).tolist() == [1, 3, 4]
+
+
+def test_contours_become_closed_curves(spark, monkeypatch):
+    """Rings against a walk from point to point; each point within the tolerance of the curves, in one arc and in several."""
+    rng = np.random.default_rng(8)
+    yy, xx = np.mgrid[:40, :60]
+    far = np.hypot(xx - 25, yy - 20)
+    cov = np.clip((16 - far) * 200, 0, 255) * (far > 7)
+    cov[:, 45:] = rng.integers(0, 256, (40, 15))
+    sel = spark.createDataFrame([(d, x, y, int(cov[y, x])) for d in (4, 9) for y in range(40) for x in range(60)], "doc long, x long, y long, cov long")
+    rows = tracing.rings(tracing.links(sel)).cache()
+    got = [r for r in rows.collect() if r["doc"] == 4]
+    after, place = {r["node"]: r["next"] for r in got}, {r["node"]: (r["ring"], r["n"]) for r in got}
+    assert len(after) == len(got) and set(after) == set(after.values())
+    left = set(after)
+    while left:
+        node = ring = min(left)
+        for n in range(len(after)):
+            assert place[node] == (ring, n)
+            left.discard(node)
+            node = after[node]
+            if node == ring:
+                break
+    at = np.linspace(0, 1, 50)
+    for arc in (tracing.ARC, 20):
+        monkeypatch.setattr(tracing, "ARC", arc)
+        cubics = [r for r in tracing.curves(rows, 0.5).collect() if r["doc"] == 4]
+        by_ring = {}
+        for c in sorted(cubics, key=lambda c: (c["shape"], c["n"])):
+            by_ring.setdefault(c["shape"], []).append(np.array([[c[f"x{k}"], c[f"y{k}"]] for k in range(4)]))
+        assert set(by_ring) == {r["ring"] for r in got}
+        for ring, cs in by_ring.items():
+            assert all(np.allclose(a[3], b[0]) for a, b in zip(cs, [*cs[1:], cs[0]]))
+            on = np.concatenate([tracing._at(c, at) for c in cs])
+            points = np.array([(r["x"], r["y"]) for r in got if r["ring"] == ring])
+            assert max(np.hypot(*(on - p).T).min() for p in points) < 0.55
+
+
+def test_no_contour(spark):
+    none = spark.createDataFrame([(1, 0, 0, 0)], "doc long, x long, y long, cov long")
+    assert tracing.rings(tracing.links(none)).count() == 0 and tracing.curves(tracing.rings(tracing.links(none))).count() == 0
