@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.operators import effects as E
 from pixelloom.operators import healing as H
+from pixelloom.operators import inpainting as I
 from pixelloom.plans.filters import _BASE, _bytes, _hashes, _near
 from pixelloom.sources.rasters import events_raster, orders_raster
 
@@ -94,3 +95,13 @@ def _healed(spark, d):
 
 
 QUERIES["heal_membrane"] = _healed
+
+
+def _inpainted(spark, d):
+    """A hole of the events filled by patch matching; seeded and iterative, so there is no SQL: tests take a texture that repeats."""
+    px = events_raster(spark, d)
+    hole = px.where("x between 40 and 52 and y between 2 and 7").select("x", "y", F.lit(255).alias("cov"))
+    return I.inpaint(px, hole, size=5, tile=64)
+
+
+QUERIES["inpaint_hole"] = _inpainted

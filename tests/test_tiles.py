@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelloom.operators import compositing, distance, effects, healing, paths, selections, text, tiled, tracing
+from pixelloom.operators import compositing, distance, effects, healing, inpainting, paths, selections, text, tiled, tracing
 from pixelloom.sources import psd
 from pixelloom.streaming import strokes
 
@@ -291,3 +291,20 @@ def test_contours_become_closed_curves(spark, monkeypatch):
 def test_no_contour(spark):
     none = spark.createDataFrame([(1, 0, 0, 0)], "doc long, x long, y long, cov long")
     assert tracing.rings(tracing.links(none)).count() == 0 and tracing.curves(tracing.rings(tracing.links(none))).count() == 0
+
+
+def test_hole_takes_up_the_texture(spark):
+    """A texture that repeats comes back exactly; distances never rise in a step; reruns agree; nothing known, nothing found."""
+    yy, xx = np.mgrid[:40, :48]
+    img = np.stack([((xx // 4 + yy // 4) % 2) * 200 + 20, (xx % 8) * 30, (yy % 8) * 30])
+    px = spark.createDataFrame([(x, y, *map(int, img[:, y, x]), 255) for y in range(40) for x in range(48)], "x long, y long, r long, g long, b long, a long")
+    hole = spark.createDataFrame([(x, y, 255) for y in range(14, 24) for x in range(18, 30)], "x long, y long, cov long")
+    marked = px.join(hole, ["x", "y"], "left").select("x", "y", *(F.when(F.col("cov").isNull(), F.col(c)).otherwise(0).alias(f"v{k}") for k, c in enumerate("rgb")), F.col("cov").isNotNull().cast("int").alias("hole"))
+    runs = [inpainting.match(marked.repartition(n, "x"), tile=32) for n in (1, 3)]
+    assert runs[0][1] == runs[1][1] == sorted(runs[0][1], reverse=True)
+    assert set(map(tuple, runs[0][0].collect())) == set(map(tuple, runs[1][0].collect()))
+    got = inpainting.inpaint(px, hole, tile=32)
+    assert all((r["r"], r["g"], r["b"], r["a"]) == (*img[:, r["y"], r["x"]], 255) for r in got.collect())
+    small = px.where("x < 9 and y < 9")
+    assert inpainting.inpaint(small, hole.limit(0), tile=16).exceptAll(small).isEmpty()
+    assert inpainting.inpaint(small, small.select("x", "y", F.lit(255).alias("cov")), tile=16).count() == 81
