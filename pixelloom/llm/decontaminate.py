@@ -165,7 +165,13 @@ def _search(docs: DataFrame, blocks: list[Broadcast], rate: float) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of ``docs`` that hold no item; rows without an id are matched by text."""
+    """The rows of ``docs`` that hold no item; rows without an id are matched by text.
+
+    Cases are those of ``contaminated``: rows with a null text stay, as it holds
+    nothing; repeated rows stay or go together; texts of any length are read
+    whole; if either table is empty, all rows stay; columns of any name pass
+    through.
+    """
     texts = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
     bad = fresh("bad", docs)
     found = contaminated(texts, bench, rate).select(F.col("doc_id").alias(bad)).distinct()

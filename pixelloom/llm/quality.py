@@ -126,7 +126,12 @@ def quality(docs: DataFrame, **limits) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, without their frequent lines; other columns are as they were."""
+    """The rows of ``docs`` that ``quality`` keeps, without their frequent lines; other columns are as they were.
+
+    Cases are those of ``quality``: rows with a null text go, as it has no
+    words; repeated rows stay or go together; lines are taken from texts of any
+    length; an empty table stays empty; columns of any name pass through.
+    """
     of = verdicts(docs, host, **limits).where(~F.col("kept") | F.col("gone").isNotNull())
     names = [fresh(f"of_{c}", docs) for c in ("doc_id", "text_hash", "host", "kept", "gone")]
     id_, hash_, host_, kept, gone = names

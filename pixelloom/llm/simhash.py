@@ -392,7 +392,9 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, simi
     """The rows of ``docs`` with one document of each component: that of the smallest id.
 
     Rows of one id are one document, of which the first row found stays; rows
-    without an id stay. Only documents that may go are shuffled.
+    without an id stay. Only documents that may go are shuffled. Null and empty
+    texts are one group; texts of any length are read whole; an empty table
+    stays empty; columns of any name pass through.
     """
     id_, kept, rows, maybe = (fresh(c, docs) for c in ("of_id", "kept", "rows", "maybe"))
     near = near_duplicates(docs, radius, shingle, similarity).where("doc_id is not null")
