@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each result as Parquet in the shared folder and reads it again as the next
 one's ``docs``. Cases: null texts fail the quality rules; rows without an id
-that pass them stay through near-dedup; ties, repeated rows, empty tables and
-other columns are handled as the stages' operators state.
+that pass them stay through near-dedup; texts of any length are read whole by
+every stage; ties, repeated rows, empty tables and other columns are handled as
+the stages' operators state.
 """
 
 from __future__ import annotations
