@@ -8,9 +8,13 @@ changed by joins on doc; siblings are the largest window partitions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from pixelloom.operators.staging import cut
+
 COLUMNS = ("doc", "id", "parent", "z", "name", "kind", "visible", "expanded", "clipped", "opacity", "source")
 
 
@@ -28,16 +32,22 @@ def _marked(layers: DataFrame, targets: DataFrame) -> DataFrame:
     return layers.join(targets.withColumn("hit", F.lit(True)), ["doc", "id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
-def paths(layers: DataFrame) -> DataFrame:
-    """Adds ``path``, the places from the root down, and ``above``, the ids of the groups around: one join a level of nesting."""
-    none = F.array().cast("array<bigint>")
-    level = layers.where("parent is null").withColumns({"path": F.array("z"), "above": none})
-    out = level
-    while not level.isEmpty():
-        up = level.where("kind = 'group'").select("doc", F.col("id").alias("parent"), F.col("path").alias("p"), F.col("above").alias("q"))
-        level = layers.join(up, ["doc", "parent"]).select(*layers.columns, F.concat("p", F.array("z")).alias("path"), F.concat("q", F.array("parent")).alias("above"))
-        out = out.unionByName(level)
-    return out
+def paths(layers: DataFrame, **marks: Column) -> DataFrame:
+    """Adds ``path``, the places from the root down, and for each mark whether a group around a layer has it.
+
+    One join a level of nesting, from the root; each level is written down, so
+    it is made once. Layers that no root leads to are left out.
+    """
+    rows = layers.withColumns({f"own_{m}": c for m, c in marks.items()})
+    level = rows.where("parent is null").withColumns({"path": F.array("z")} | {m: F.lit(False) for m in marks})
+    levels = []
+    while True:
+        level = cut(level)
+        levels.append(level)
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, levels).drop(*(f"own_{m}" for m in marks))
+        up = level.where("kind = 'group'").select("doc", F.col("id").alias("parent"), F.col("path").alias("p"), *((F.col(m) | F.col(f"own_{m}")).alias(f"p_{m}") for m in marks))
+        level = rows.join(up, ["doc", "parent"]).select(*rows.columns, F.concat("p", F.array("z")).alias("path"), *(F.col(f"p_{m}").alias(m) for m in marks))
 
 
 def walk(layers: DataFrame) -> DataFrame:
@@ -48,9 +58,7 @@ def walk(layers: DataFrame) -> DataFrame:
 
 def panel(layers: DataFrame) -> DataFrame:
     """(doc, id, depth, place) from above, without what closed groups hold."""
-    at = paths(layers)
-    shut = layers.where("kind = 'group' and not expanded").groupBy("doc").agg(F.collect_set("id").alias("shut"))  # groups of one document
-    at = at.join(shut, "doc", "left").where(~F.coalesce(F.arrays_overlap("above", "shut"), F.lit(False)))
+    at = paths(layers, shut=~F.col("expanded")).where("not shut")
     order = Window.partitionBy("doc").orderBy(F.transform("path", lambda z: -z))
     return at.select("doc", "id", (F.size("path") - 1).cast("long").alias("depth"), (F.row_number().over(order) - 1).cast("long").alias("place"))
 
@@ -68,10 +76,8 @@ def instances(layers: DataFrame) -> DataFrame:
 
 def deleted(layers: DataFrame, targets: DataFrame) -> DataFrame:
     """Without the targets and what they hold; those left close the gaps."""
-    gone = targets.groupBy("doc").agg(F.collect_set("id").alias("gone"))  # targets of one document
-    at = paths(layers).join(gone, "doc", "left")
-    stays = ~F.coalesce(F.arrays_overlap(F.concat("above", F.array("id")), "gone"), F.lit(False))
-    return _numbered(at.where(stays), F.col("z"))
+    at = paths(_marked(layers, targets), gone=F.col("hit"))
+    return _numbered(at.where("not gone and not hit"), F.col("z"))
 
 
 def updated(layers: DataFrame, targets: DataFrame, **values: Column) -> DataFrame:
@@ -99,8 +105,7 @@ def inserted(layers: DataFrame, new: DataFrame, above: bool = True) -> DataFrame
 
 def duplicated(layers: DataFrame, targets: DataFrame, first_id: int) -> DataFrame:
     """Copies above the targets, with all they hold; ids of copies are the old ones from ``first_id`` on, names get ``copy``."""
-    hits = targets.groupBy("doc").agg(F.collect_set("id").alias("hits"))
-    inside = paths(layers).join(hits, "doc").withColumn("top", F.array_contains("hits", F.col("id"))).where(F.col("top") | F.arrays_overlap("above", "hits"))
+    inside = paths(_marked(layers, targets), within=F.col("hit")).withColumnRenamed("hit", "top").where("top or within")
     copies = inside.select("doc", (F.col("id") + first_id).alias("id"), F.when(F.col("top"), F.col("parent")).otherwise(F.col("parent") + first_id).alias("parent"), (F.col("z") + F.when(F.col("top"), 0.5).otherwise(0.0)).alias("z"), F.when(F.col("top"), F.concat("name", F.lit(" copy"))).otherwise(F.col("name")).alias("name"), *COLUMNS[5:])
     return _numbered(layers.select(*COLUMNS).withColumn("z", F.col("z").cast("double")).unionByName(copies), F.col("z"))
 
