@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.functions.painting import noise
 from pixelloom.operators.raster import RGB, half_up
+from pixelloom.operators.effects import position_hash
 from pixelloom.operators.stencils import RGBA, premultiplied, to_bytes
 
 #: How far the cubic kernels of image resampling, and that of distortions, swing over.
@@ -154,6 +156,33 @@ def shear(px: DataFrame, top: float = 0, middle: float = 25, bottom: float = 0,
     return distort(px, to, edge)
 
 
+#: Waves that are added up at most.
+MOST_WAVES = 64
+
+
+def waves(generators: int, wavelengths: tuple[float, float], amplitudes: tuple[float, float], seed: int) -> list[tuple[float, float, float, float]]:
+    """(length, height, phase across, phase down) of each wave, by position noise."""
+    low, high = wavelengths[0], max(wavelengths[0] + 1, wavelengths[1])
+    least, most = amplitudes[0], max(amplitudes)
+    one = lambda k, n: float(position_hash(np.array(k), np.array(n), seed))
+    return [(low + (high - low) * one(k, 0), least + (most - least) * one(k, 1), one(k, 2), one(k, 3)) for k in range(min(MOST_WAVES, generators))]
+
+
+def wave(px: DataFrame, generators: int = 5, wavelengths: tuple[float, float] = (10, 120), amplitudes: tuple[float, float] = (5, 35), scale: tuple[float, float] = (100, 100), kind: str = "sine", edge: str = "repeat", seed: int = 1) -> DataFrame:
+    """The mean of random waves: rows move sideways, columns up and down; sine, triangle or square."""
+    every = waves(generators, wavelengths, amplitudes, seed)
+
+    def shape(t: Column) -> Column:
+        f = t - F.floor(t)
+        return {"triangle": 4 * F.abs(f - 0.5) - 1, "square": F.when(f < 0.5, 1.0).otherwise(-1.0)}.get(kind, F.sin(2 * math.pi * f))
+
+    def to(x, y, w, h):
+        across, down = (sum((shape(c / n + p[k]) * a for n, a, *p in every), F.lit(0.0)) / len(every) for k, c in enumerate((y, x)))
+        return x + across * (scale[0] / 100), y + down * (scale[1] / 100), F.lit(True)
+
+    return distort(px, to, edge)
+
+
 def _to_straight(px: DataFrame) -> DataFrame:
     """Straight bytes, rounded half up, of premultiplied sums; pixels without alpha are not stored."""
     a = F.least(F.lit(65025.0), F.greatest(F.lit(0.0), F.col("a")))

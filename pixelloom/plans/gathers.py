@@ -77,6 +77,18 @@ _y = "least(1::double, greatest(0::double, gy / h))"
 for _edge in ("wrap", "repeat"):
     _one(f"distort_shear_{_edge}", lambda px, edge=_edge: G.shear(px, 5, 25, -10, edge), _distorted(f"gx - (0.05::double * (1 - {_y}) * (1 - 2 * {_y}) + 4 * 0.25::double * {_y} * (1 - {_y}) + -0.1::double * {_y} * (2 * {_y} - 1)) * w", "gy", edge=_edge))
 
+
+
+def _waved(every: list, kind: str, c: str, k: int) -> str:
+    f = lambda t: f"(({t}) - floor({t}))"
+    shape = {"sine": lambda t: f"sin(2 * {_PI} * {f(t)})", "triangle": lambda t: f"(4 * abs({f(t)} - 0.5) - 1)", "square": lambda t: f"(case when {f(t)} < 0.5 then 1::double else -1::double end)"}[kind]
+    return "(0::double + " + " + ".join(f"{shape(f'{c} / {n!r}::double + {p[k]!r}::double')} * {a!r}::double" for n, a, *p in every) + f") / {len(every)}"
+
+
+for _kind, _edge, _n in (("sine", "repeat", 5), ("triangle", "wrap", 3), ("square", "repeat", 2)):
+    _every = G.waves(_n, (8, 40), (3, 12), 6)
+    _one(f"distort_wave_{_kind}", lambda px, kind=_kind, edge=_edge, n=_n: G.wave(px, n, (8, 40), (3, 12), (90, 60), kind, edge, 6), _distorted(f"gx + {_waved(_every, _kind, 'gy', 0)} * 0.9::double", f"gy + {_waved(_every, _kind, 'gx', 1)} * 0.6::double", edge=_edge))
+
 _STRAIGHT = ", sa as (select *, least(65025::double, greatest(0::double, a)) as k from su) select x, y, " + ", ".join(f"cast(floor(least(1::double, least(k, greatest(0::double, {c})) / k) * 255 + 0.5) as bigint) as {c}" for c in "rgb") + ", cast(floor(k / 255 + 0.5) as bigint) as a from sa where k > 0"
 for _method in ("nearest", "bilinear", "bicubic", "bicubicSmoother", "bicubicSharper"):
     _one(
