@@ -3,9 +3,9 @@ import os
 import duckdb
 import pytest
 
-from pixelloom.plans import adjustments, colors, compositing, documents, effects, filters, gathers, more, paths, queries, rendering, scalars, selections, spatial, streams, texts, tiling, trees
+from pixelloom.plans import adjustments, colors, commands, compositing, documents, effects, filters, gathers, more, paths, queries, rendering, scalars, selections, spatial, streams, texts, tiling, trees
 
-PARTS = (queries, more, colors, adjustments, scalars, filters, rendering, gathers, selections, trees, streams, tiling, compositing, paths, effects, documents, texts, spatial)
+PARTS = (queries, more, colors, adjustments, scalars, filters, rendering, gathers, selections, trees, streams, tiling, compositing, paths, effects, documents, texts, spatial, commands)
 QUERIES, ORACLE_SQL = ({k: v for part in PARTS for k, v in getattr(part, name).items()} for name in ("QUERIES", "ORACLE_SQL"))
 SF = "/root/testdata/sf0.001"
 
