@@ -15,8 +15,8 @@ from pixelloom.sources.rasters import sparse_rasters, wide_raster
 QUERIES = {}
 ORACLE_SQL = {}
 
-#: wide: the orders 600 pixels a row; wpm: premultiplied; sparse: two documents; spm and sst: all pixels of their bounds.
-_WIDE = PX + """, wide as (select (y * 100 + x) % 600 as x, cast(floor((y * 100 + x) / 600) as bigint) as y, r, g, b, a from po),
+#: wide: the orders 750 pixels a row; wpm: premultiplied; sparse: two documents; spm and sst: all pixels of their bounds.
+_WIDE = PX + """, wide as (select (y * 100 + x) % 750 as x, cast(floor((y * 100 + x) / 750) as bigint) as y, r, g, b, a from po),
   wpm as (select 0 as doc, x, y, r * a as r, g * a as g, b * a as b, a * 255 as a from wide)"""
 _SPARSE = PX + """, sparse as (select cast(floor(y / 20) as bigint) % 2 as doc, x, cast(floor(floor(y / 20) / 2) as bigint) * 20 + y % 20 as y, r, g, b, a from pe where a <> 0),
   bx as (select doc, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from sparse group by doc),

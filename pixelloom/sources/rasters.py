@@ -28,7 +28,7 @@ def orders_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def wide_raster(spark: SparkSession, sf_dir: str, width: int = 600) -> DataFrame:
+def wide_raster(spark: SparkSession, sf_dir: str, width: int = 750) -> DataFrame:
     """The orders again, ``width`` pixels a row: wider than two tiles."""
     at = F.col("y") * WIDTH + F.col("x")
     return orders_raster(spark, sf_dir).select((at % width).alias("x"), F.floor(at / width).alias("y"), "r", "g", "b", "a")
