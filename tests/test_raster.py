@@ -19,7 +19,7 @@ def ordered(df):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("events", "orders", "nation", "customer"):
+    for t in ("events", "orders", "nation", "customer", "documents"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want, got = ordered(c.sql(ORACLE_SQL[name]).df()), ordered(QUERIES[name](spark, SF).toPandas())
     assert list(got.columns) == list(want.columns)
