@@ -28,6 +28,8 @@ ROUNDS = 2
 #: Step of updates, and what their sum of squares begins with.
 RATE, SQUARES = 1.5, 4.0
 BATCH = 8192
+#: Words that a task counts before it sends what it has.
+COUNTED = 800_000
 #: Rows that occur so many times in a batch at most are summed one after the other, the rest of others at once.
 FEW = 4
 #: Table rows in one record of parameters.
@@ -200,7 +202,7 @@ class Model:
             key = all_[order]
             first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
             size = np.diff(np.concatenate([first, [len(key)]]))
-            order %= len(g)
+            order = np.take(np.tile(np.arange(len(g)), len(rows)), order)  # the decision, of whichever feature
             u = key[first]
             sums = np.take(g, order[first], axis=0)  # most rows occur once in a batch, most others a few times
             for k in range(1, FEW):
@@ -212,8 +214,9 @@ class Model:
                 begin = np.cumsum(left) - left
                 at = np.arange(left.sum()) + np.repeat(first[many] + FEW - begin, left)
                 sums[many] += np.add.reduceat(np.take(g, order[at], axis=0), begin, axis=0)
-            squares[u] += np.einsum("ij,ij->i", sums, sums)
-            sums *= (RATE / np.sqrt(squares[u]))[:, None]
+            steep = np.take(squares, u) + np.einsum("ij,ij->i", sums, sums)
+            squares[u] = steep
+            sums *= (RATE / np.sqrt(steep))[:, None]
             sums += np.take(self.table, u, axis=0)
             self.table[u] = sums
             seen[u] += size
@@ -255,7 +258,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for b in batches:
             for t in _texts(b):
                 counts.update(t.lower().split())
-                if len(counts) > 300_000:
+                if len(counts) > COUNTED:
                     yield out(counts)
                     counts.clear()
         yield out(counts)
