@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 WIDTH = 100
 
 
-def events_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Background raster: one pixel an event, WIDTH pixels a row; errors are transparent."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select(
-        (F.col("event_id") % WIDTH).alias("x"), F.floor(F.col("event_id") / WIDTH).alias("y"),
+def event_pixels(events: DataFrame, *more: str) -> DataFrame:
+    """One pixel an event, WIDTH pixels a row; errors are transparent."""
+    return events.select(
+        *more, (F.col("event_id") % WIDTH).alias("x"), F.floor(F.col("event_id") / WIDTH).alias("y"),
         (F.floor("value") % 256).alias("r"), (F.col("user_id") * 37 % 256).alias("g"), (F.col("event_id") * 11 % 256).alias("b"),
         F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "signup", 128).otherwise(255).cast("long").alias("a"),
     )
 
 
+def events_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The background raster."""
+    return event_pixels(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
 def orders_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layer raster, taller than the background."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")

@@ -10,17 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.operators.raster import RGB
-from pixelloom.sources.rasters import WIDTH
+from pixelloom.sources.rasters import event_pixels
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.readStream.schema("event_id bigint, ts timestamp, user_id bigint, event_type string, value double").option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pixels of the events table as a stream, each with its time."""
-    e = spark.readStream.schema("event_id bigint, ts timestamp, user_id bigint, event_type string, value double").option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return e.select(
-        "ts", (F.col("event_id") % WIDTH).alias("x"), F.floor(F.col("event_id") / WIDTH).alias("y"),
-        (F.floor("value") % 256).alias("r"), (F.col("user_id") * 37 % 256).alias("g"), (F.col("event_id") * 11 % 256).alias("b"),
-        F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "signup", 128).otherwise(255).cast("long").alias("a"),
-    )
+    return event_pixels(_events(spark, sf_dir), "ts")
 
 
 def windowed_histogram(px: DataFrame, every: str = "30 days", late: str = "7 days", bins: int = 16) -> DataFrame:
@@ -51,8 +50,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def samples_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as samples of pens: eight strokes, by user; places on a raster of 100 pixels a row, pressures from values."""
-    e = spark.readStream.schema("event_id bigint, ts timestamp, user_id bigint, event_type string, value double").option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return e.where("event_id % 25 = 0").select(
+    return _events(spark, sf_dir).where("event_id % 25 = 0").select(
         (F.col("user_id") % 8).alias("stroke"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
         (F.col("event_id") * 7 % 100 + 0.5).cast("double").alias("x"), (F.floor("value") % 60 + 0.25).cast("double").alias("y"),
         ((F.floor("value") % 7 + 2) / 8).cast("double").alias("pressure"),
