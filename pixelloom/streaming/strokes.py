@@ -1,6 +1,8 @@
 """Brush strokes from streams of pen samples: dabs by a state for each stroke, coverage by tiles.
 
-A sample is (stroke, at: timestamp, seq, x, y, pressure). The state of a stroke
+A sample is (stroke, at: timestamp, seq, x, y, pressure), and may have ``lift``:
+whether the pen leaves there, so that a brush that lags runs the rest of the
+way (if it is one that does). The state of a stroke
 is where the brush is (it lags behind the pen when smoothed), how far it has
 gone since the last dab, and the last pressure; it outlives restarts in the
 state store. Samples of a micro-batch are folded in order of (at, seq); a sample
@@ -32,7 +34,10 @@ STATE = "bx double, by double, gone double, pressure double, dabs long"
 
 @dataclass(frozen=True)
 class Brush:
-    """Size in pixels; spacing as a share of it; hardness, roundness, flow and smoothing 0...1; angle in degrees."""
+    """Size in pixels; spacing as a share of it; hardness, roundness, flow and smoothing 0...1; angle in degrees.
+
+    ``leash`` pulls the brush on a string of 60 times the smoothing; ``catch_up`` ends strokes where the pen did.
+    """
 
     size: float = 60.0
     spacing: float = 0.25
@@ -42,6 +47,8 @@ class Brush:
     flow: float = 1.0
     smoothing: float = 0.1
     pressure_size: bool = True
+    leash: bool = False
+    catch_up: bool = False
 
     @property
     def step(self) -> float:
@@ -80,12 +87,23 @@ def travel(brush: Brush, state: State, x: float, y: float, pressure: float) -> t
     return (x, y, gone, pressure, n + len(out)), out
 
 
-def follow(brush: Brush, state: State | None, x: float, y: float, pressure: float) -> tuple[State, list[tuple]]:
-    """One sample: the brush goes a share of the way to it."""
+def towards(brush: Brush, bx: float, by: float, x: float, y: float) -> tuple[float, float]:
+    """Where the brush goes when the pen is at (x, y): a share of the way, or to the end of its leash."""
+    if not brush.leash:
+        return bx + (x - bx) * brush.pull, by + (y - by) * brush.pull
+    far, leash = math.hypot(x - bx, y - by), (1 - brush.pull) * 60
+    return (bx, by) if far <= leash else (x - (x - bx) / far * leash, y - (y - by) / far * leash)
+
+
+def follow(brush: Brush, state: State | None, x: float, y: float, pressure: float, lift: bool = False) -> tuple[State, list[tuple]]:
+    """One sample; at a lift, a brush that catches up goes all the way."""
     if state is None:
         return begin(brush, x, y, pressure)
-    bx, by = state[:2]
-    return travel(brush, state, bx + (x - bx) * brush.pull, by + (y - by) * brush.pull, pressure)
+    state, dabs = travel(brush, state, *towards(brush, *state[:2], x, y), pressure)
+    if lift and brush.catch_up:
+        state, more = travel(brush, state, x, y, pressure)
+        dabs = dabs + more
+    return state, dabs
 
 
 class Strokes(StatefulProcessor):
@@ -102,8 +120,9 @@ class Strokes(StatefulProcessor):
         state = self.state.get()
         state = tuple(state) if state is not None else None
         found = []
-        for x, y, pressure in zip(samples["x"], samples["y"], samples["pressure"]):
-            state, dabs = follow(self.brush, state, float(x), float(y), float(pressure))
+        lifts = samples["lift"] if "lift" in samples else [False] * len(samples)
+        for x, y, pressure, lift in zip(samples["x"], samples["y"], samples["pressure"], lifts):
+            state, dabs = follow(self.brush, state, float(x), float(y), float(pressure), lift is True or bool(lift == 1))
             found += dabs
         self.state.update(state)
         out = pd.DataFrame(found, columns=["n", "x", "y", "radius"]).astype({"n": "int64", "x": "float64", "y": "float64", "radius": "float64"})

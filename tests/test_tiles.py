@@ -220,6 +220,23 @@ def test_strokes_go_on_after_a_restart(spark, tmp_path):
         assert abs(c - (1 - left)) < 1e-9
 
 
+def test_leash_and_catch_up():
+    """A leashed brush stays its leash behind; one that catches up ends where the pen left, with dabs all along."""
+    lag = strokes.Brush(size=8.0, smoothing=0.5)
+    end = strokes.Brush(size=8.0, smoothing=0.5, catch_up=True)
+    leash = strokes.Brush(size=8.0, smoothing=0.5, leash=True)
+    state, _ = strokes.follow(leash, None, 0.0, 0.0, 1.0)
+    state, dabs = strokes.follow(leash, state, 20.0, 0.0, 1.0)
+    assert state[:2] == (0.0, 0.0) and not dabs
+    state, dabs = strokes.follow(leash, state, 40.0, 0.0, 1.0)
+    assert state[:2] == (10.0, 0.0) and [d[1] for d in dabs] == [2, 4, 6, 8, 10]
+    for brush, last in ((lag, 20.0), (end, 40.0)):
+        state, _ = strokes.follow(brush, None, 0.0, 0.0, 1.0)
+        state, dabs = strokes.follow(brush, state, 40.0, 0.0, 1.0, lift=True)
+        assert state[0] == last and [d[1] for d in dabs] == [2.0 * k for k in range(1, int(last / 2) + 1)]
+        assert [d[0] for d in dabs] == list(range(1, len(dabs) + 1))
+
+
 def test_cubics_stay_within_tolerance(spark):
     """A circle of four cubics: its area, its outline's distance to the curve, and its coverage."""
     k = 0.5522847498
