@@ -183,9 +183,16 @@ def deinterlace(px: DataFrame, odd: bool = True, interpolate: bool = True) -> Da
     return to_bytes(at.where("own"), {c: F.col(c) for c in RGBA})
 
 
-def add_noise(px: DataFrame, amount: float = 40, mono: bool = False, seed: int = 1) -> DataFrame:
-    """Uniform noise by position, of up to half the amount (percent) each way."""
-    return points(px, lambda c: tuple(v + (noise(F.col("x"), F.col("y"), seed * 7 + (0 if mono else 2 * k)) - 0.5) * (amount / 100) for k, v in enumerate(c)))
+def add_noise(px: DataFrame, amount: float = 40, mono: bool = False, seed: int = 1, gaussian: bool = False) -> DataFrame:
+    """Noise by position: uniform, of up to half the amount (percent) each way, or normal, of a quarter of it as deviation."""
+
+    def one(k: int) -> Column:
+        u = lambda n: noise(F.col("x"), F.col("y"), seed * 7 + (0 if mono else 2 * k) + n)
+        if not gaussian:
+            return (u(0) - 0.5) * (amount / 100)
+        return F.sqrt(-2 * F.log(F.greatest(F.lit(1e-12), u(0)))) * F.cos(2 * math.pi * u(1)) * (amount / 400)
+
+    return points(px, lambda c: tuple(v + one(k) for k, v in enumerate(c)))
 
 
 #: Width of the grains of each kind of mezzotint, and length of its runs.

@@ -89,6 +89,8 @@ _after = lambda form, of: f" select x, y, {', '.join(f'case when a = 0 then 0 el
 for _mono in (False, True):
     _h, _t = _hashes("st", *((f"n{c}", "x", "y", 21 + (0 if _mono else 2 * k)) for k, c in enumerate("rgb")))
     _one("filter_add_noise" + ("_mono" if _mono else ""), lambda px, mono=_mono: S.add_noise(px, 40, mono, 3), _BASE + _h + _after(lambda c: _byte(f"{c} / 255::double + (n{c} - 0.5) * 0.4::double"), _t))
+_h, _t = _hashes("st", *((f"{p}{c}", "x", "y", 21 + 2 * k + n) for k, c in enumerate("rgb") for n, p in enumerate("uv")))
+_one("filter_add_noise_gaussian", lambda px: S.add_noise(px, 40, False, 3, gaussian=True), _BASE + _h + _after(lambda c: _byte(f"{c} / 255::double + sqrt(-2 * ln(greatest(1e-12::double, u{c}))) * cos({2 * math.pi!r}::double * v{c}) * 0.1::double"), _t))
 for _kind, _fields in {
     "mediumDots": [(f"n{c}", "cast(floor(x / 2) as bigint)", "cast(floor(y / 2) as bigint)", 1 + k) for k, c in enumerate("rgb")],
     "grainyDots": [(f"{p}{c}", f"cast(floor(x / {n}) as bigint)", f"cast(floor(y / {n}) as bigint)", 1 + k + e) for k, c in enumerate("rgb") for p, n, e in (("p", 1, 0), ("q", 2, 9))],
