@@ -74,13 +74,20 @@ def replace_color(px: DataFrame, color: tuple = (120, 90, 60), fuzziness: float
     return point(new, lambda *c: [half_up(v + (n * 255 - v) * F.col("w")) for v, n in zip(c, hsl_rgb(F.col("h"), F.col("s"), F.col("l")), strict=True)])
 
 
-def match_color(px: DataFrame, source: DataFrame, fade: float = 0.25) -> DataFrame:
-    """Gives pixels the opponent-colour means and deviations of another raster; each side's statistics are one broadcast row."""
-    own, other = color_stats(px), color_stats(source)
+def match_color(px: DataFrame, source: DataFrame, fade: float = 0.25, luminance: float = 100, intensity: float = 100, neutralize: bool = False, selection: DataFrame | None = None, source_selection: DataFrame | None = None) -> DataFrame:
+    """Gives pixels the opponent-colour means and deviations of another raster; each side's statistics are one broadcast row.
+
+    ``luminance`` and ``intensity`` scale the result's light and colour in
+    percent, ``neutralize`` drops the other raster's cast, and selections narrow
+    what the statistics of either side are of.
+    """
+    own, other = color_stats(px, selection), color_stats(source, source_selection)
     both = px.crossJoin(F.broadcast(own)).crossJoin(F.broadcast(other.select(*(F.col(c).alias(f"to_{c}") for c in other.columns))))
     r, g, b = _unit()
     opp = {"lum": 0.3 * r + 0.59 * g + 0.11 * b, "rg": r - g, "yb": (r + g) / 2 - b}
-    both = both.withColumns({k: (v - F.col(f"mean_{k}")) / F.col(f"std_{k}") * F.col(f"to_std_{k}") + F.col(f"to_mean_{k}") for k, v in opp.items()})
+    to = lambda k: F.lit(0.0) if neutralize and k != "lum" else F.col(f"to_mean_{k}")
+    scaled = lambda k, v: v * ((luminance if k == "lum" else intensity) / 100)
+    both = both.withColumns({k: scaled(k, (v - F.col(f"mean_{k}")) / F.col(f"std_{k}") * F.col(f"to_std_{k}") + to(k)) for k, v in opp.items()})
     both = both.withColumn("ng", F.col("lum") - 0.3 * F.col("rg") - 0.11 * (F.col("rg") / 2 - F.col("yb")))
     new = (F.col("ng") + F.col("rg"), F.col("ng"), F.col("ng") + F.col("rg") / 2 - F.col("yb"))
     return point(both, lambda *_: [byte(n + (v - n) * fade) for n, v in zip(new, _unit(), strict=True)])

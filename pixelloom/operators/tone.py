@@ -104,8 +104,10 @@ def equalize(px: DataFrame) -> DataFrame:
     return point(px.crossJoin(F.broadcast(lut)), lambda *c: [F.get(F.col("lut"), v.cast("int")) for v in c])
 
 
-def color_stats(px: DataFrame) -> DataFrame:
-    """Mean and deviation of luminance and two opponent colours, from exact integer sums."""
+def color_stats(px: DataFrame, selection: DataFrame | None = None) -> DataFrame:
+    """Mean and deviation of luminance and two opponent colours, from exact integer sums; of what is selected by half or more."""
+    if selection is not None:
+        px = px.join(selection.where("cov >= 128").select("x", "y"), ["x", "y"], "left_semi")
     lum, rg, yb = F.col("r") * 30 + F.col("g") * 59 + F.col("b") * 11, F.col("r") - F.col("g"), F.col("r") + F.col("g") - 2 * F.col("b")
     parts = {"lum": (lum, 25500.0), "rg": (rg, 255.0), "yb": (yb, 510.0)}
     sums = px.where("a <> 0").agg(F.count("*").alias("n"), *(F.sum(v).alias(f"s_{k}") for k, (v, _) in parts.items()), *(F.sum(v * v).alias(f"q_{k}") for k, (v, _) in parts.items()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from pixelloom.operators import color as C
 from pixelloom.plans.more import _byte, _unit
 from pixelloom.plans.queries import PX, _point_sql
@@ -65,3 +67,6 @@ def _stats(name: str, table: str) -> str:
 QUERIES["adjust_match_color"] = lambda spark, d: C.match_color(events_raster(spark, d), orders_raster(spark, d))
 _OPP = {"lum": "0.3::double * fr + 0.59::double * fg + 0.11::double * fb", "rg": "fr - fg", "yb": "(fr + fg) / 2 - fb"}
 ORACLE_SQL["adjust_match_color"] = _U + _stats("p", "pe") + _stats("o", "po") + ", t as (select x, y, r, g, b, a, fr, fg, fb, " + ", ".join(f"({e} - p_m_{k}) / p_d_{k} * o_d_{k} + o_m_{k} as t{k}" for k, e in _OPP.items()) + " from v, p, o), w as (select *, tlum - 0.3::double * trg - 0.11::double * (trg / 2 - tyb) as mg from t), n as (select *, mg + trg as nr, mg as ng, mg + trg / 2 - tyb as nb from w)" + _out(_byte("n{c} + (f{c} - n{c}) * 0.25::double"))
+_half = lambda px: px.select("x", "y", F.when(F.col("x") < 60, 200).otherwise(100).alias("cov"))
+QUERIES["adjust_match_color_neutral"] = lambda spark, d: C.match_color(px := events_raster(spark, d), orders_raster(spark, d), 0.1, 90, 140, True, _half(px), _half(orders_raster(spark, d)))
+ORACLE_SQL["adjust_match_color_neutral"] = _U + ", peh as (select * from pe where x < 60), poh as (select * from po where x < 60)" + _stats("p", "peh") + _stats("o", "poh") + ", t as (select x, y, r, g, b, a, fr, fg, fb, " + ", ".join(f"(({e} - p_m_{k}) / p_d_{k} * o_d_{k} + {f'o_m_{k}' if k == 'lum' else '0'}) * {'0.9' if k == 'lum' else '1.4'}::double as t{k}" for k, e in _OPP.items()) + " from v, p, o), w as (select *, tlum - 0.3::double * trg - 0.11::double * (trg / 2 - tyb) as mg from t), n as (select *, mg + trg as nr, mg as ng, mg + trg / 2 - tyb as nb from w)" + _out(_byte("n{c} + (f{c} - n{c}) * 0.1::double"))
