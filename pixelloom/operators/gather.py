@@ -1,11 +1,12 @@
-"""Inverse mapping: each target pixel names a place in the source, whose taps are joined by coordinate and summed in order."""
+"""Inverse mapping: each target pixel names a place in the source and meets the block of pixels there; its taps are summed in order."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from pixelloom.operators.stencils import RGBA, premultiplied, to_bytes
 
 #: How far the cubic kernels of image resampling, and that of distortions, swing over.
 SHARPNESS = {"bicubic": -0.75, "bicubicSmoother": -0.4, "bicubicSharper": -1.0, "distort": -0.5}
+#: Side of a block of the source, in pixels.
+BLOCK = 64
 #: Wavelengths of ripples.
 RIPPLES = {"small": 8, "medium": 16, "large": 32}
 
@@ -25,10 +28,30 @@ def size_of(px: DataFrame) -> DataFrame:
     return F.broadcast(px.agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")))
 
 
-def keys(d: Column, a: float) -> Column:
-    """The cubic kernel at a distance."""
-    t = F.abs(d)
-    return F.when(t <= 1, (a + 2) * t * t * t - (a + 3) * t * t + 1).when(t < 2, a * t * t * t - 5 * a * t * t + 8 * a * t - 4 * a).otherwise(0.0)
+def _copies(c: str, n: str, edge: str, lo: int, hi: int) -> Column:
+    """Where a source pixel also stands beyond the raster, so that all taps find it in place."""
+    at, last = F.col(c), F.col(n) - 1
+    if edge == "repeat":
+        few, many = F.when(at == 0, lo - hi).otherwise(at), F.when(at == last, last + hi - lo).otherwise(at)
+        return F.sequence(few.cast("long"), many.cast("long"))
+    if edge == "wrap":
+        first = F.ceil((lo - at) / F.col(n))
+        return F.transform(F.sequence(first, F.floor((last + hi - at) / F.col(n))), lambda k: at + k * F.col(n))
+    return F.array(at)
+
+
+def _block(c: Column, n: str) -> Column:
+    return F.floor(F.greatest(F.lit(0), F.least(F.col(n) - 1, c)) / BLOCK)
+
+
+def _weights(d: np.ndarray, method: str, k: int) -> np.ndarray:
+    """The share of the tap ``k`` pixels on, at a distance ``d`` past the first."""
+    if method == "nearest":
+        return np.ones(len(d))
+    if method == "bilinear":
+        return d if k else 1 - d
+    a, t = SHARPNESS[method], np.abs(d - k)
+    return np.where(t <= 1, (a + 2) * t * t * t - (a + 3) * t * t + 1, np.where(t < 2, a * t * t * t - 5 * a * t * t + 8 * a * t - 4 * a, 0.0))
 
 
 def gather(at: DataFrame, px: DataFrame, method: str, edge: str = "repeat") -> DataFrame:
@@ -36,26 +59,58 @@ def gather(at: DataFrame, px: DataFrame, method: str, edge: str = "repeat") -> D
 
     u and v count from pixel centres. Beyond the source (w x h) the border
     repeats, the source wraps, or nothing is; targets without a tap are left out.
+
+    A target is one row, sent to the block of the source that it falls on; a
+    block's pixels and the few around it stand before its targets, so a task
+    holds one block and one batch of targets, however many fall on it.
     """
-    reach = {"nearest": (0, 0), "bilinear": (0, 1)}.get(method, (-1, 2))
-    base = (F.floor(F.col("u") + 0.5), F.floor(F.col("v") + 0.5)) if method == "nearest" else (F.floor("u"), F.floor("v"))
-    at = at.withColumns({"u0": base[0], "v0": base[1]})
-    steps = range(reach[0], reach[1] + 1)
-
-    def weight(c: str, k: int) -> Column:
-        if method == "nearest":
-            return F.lit(1.0)
-        d = F.col(c) - F.col(f"{c}0")
-        return (d if k else 1 - d) if method == "bilinear" else keys(d - k, SHARPNESS[method])
-
-    at = at.select("x", "y", "u0", "v0", "w", "h", *(weight(c, k).alias(f"{c}{k + 1}_") for c in "uv" for k in steps))
-    inside = {"repeat": lambda c, n: F.greatest(F.lit(0), F.least(F.col(n) - 1, c)), "wrap": lambda c, n: F.pmod(c, F.col(n)), "transparent": lambda c, n: c}[edge]
-    taps = [F.struct(F.lit(n).alias("k"), inside(F.col("u0") + i, "w").alias("sx"), inside(F.col("v0") + j, "h").alias("sy"), (F.col(f"u{i + 1}_") * F.col(f"v{j + 1}_")).alias("f")) for n, (j, i) in enumerate((j, i) for j in steps for i in steps)]
-    taps = at.select("x", "y", F.explode(F.array(*taps)).alias("t")).select("x", "y", "t.*")
-    source = premultiplied(px).select(F.col("x").alias("sx"), F.col("y").alias("sy"), *RGBA)
-    met = taps.join(source, ["sx", "sy"]).groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("k", "f", *RGBA))).alias("taps"))  # 16 taps at most
-    total = lambda c: F.aggregate("taps", F.lit(0.0), lambda s, t: s + t["f"] * t[c])
-    return met.select("x", "y", *(total(c).alias(c) for c in RGBA))
+    lo, hi = {"nearest": (0, 0), "bilinear": (0, 1)}.get(method, (-1, 2))
+    base = {c: F.floor(F.col(c) + 0.5) if method == "nearest" else F.floor(c) for c in "uv"}
+    size = {"u": F.col("w"), "v": F.col("h")}
+    at = at.select("x", "y", *(base[c].alias(f"{c}0") for c in "uv"), *((F.col(c) - base[c]).alias(f"{c}d") for c in "uv"), "w", "h")
+    if edge == "transparent":
+        at = at.where(" and ".join(f"{c}0 >= {-hi} and {c}0 <= {n} - 1 - {lo}" for c, n in (("u", "w"), ("v", "h"))))
+    place = {"repeat": lambda c: F.greatest(F.lit(-hi), F.least(size[c] - 1 - lo, F.col(f"{c}0"))), "wrap": lambda c: F.pmod(F.col(f"{c}0"), size[c]), "transparent": lambda c: F.col(f"{c}0")}[edge]
+    at = at.withColumns({f"{c}0": place(c).cast("long") for c in "uv"})
+    rows = at.select(_block(F.col("u0"), "w").alias("bx"), _block(F.col("v0"), "h").alias("by"), F.lit(1).alias("target"), "x", "y", F.col("u0").alias("i"), F.col("v0").alias("j"), F.col("ud").alias("p"), F.col("vd").alias("q"))
+
+    source = px.join(size_of(px)).select("w", "h", F.col("x").alias("x_"), F.col("y").alias("y_"), *RGBA)
+    for c, n in (("x", "w"), ("y", "h")):
+        source = source.withColumn(c, F.explode(_copies(f"{c}_", n, edge, lo, hi))).withColumn(f"b{c}", F.explode(F.sequence(_block(F.col(c) - hi, n), _block(F.col(c) - lo, n))))
+    source = source.select("bx", "by", F.lit(0).alias("target"), "x", "y", F.col("r").alias("i"), F.col("g").alias("j"), F.col("b").cast("double").alias("p"), F.col("a").cast("double").alias("q"))
+
+    pad, side = hi - lo, BLOCK + 2 * (hi - lo)
+    taps = [(j, i) for j in range(lo, hi + 1) for i in range(lo, hi + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, planes, there = None, np.zeros((len(RGBA), side * side)), np.zeros(side * side, bool)
+        for b in batches:
+            bx, by, target, x, y, i, j, p, q = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            ends = np.flatnonzero((np.diff(bx) != 0) | (np.diff(by) != 0) | (np.diff(target) != 0)) + 1
+            for s, e in zip([0, *ends.tolist()], [*ends.tolist(), len(bx)]):
+                if s == e:
+                    continue
+                if here != (bx[s], by[s]):
+                    here = (bx[s], by[s])
+                    planes[:], there[:] = 0, False
+                left, top = here[0] * BLOCK - pad, here[1] * BLOCK - pad
+                if not target[s]:
+                    spot, a = (y[s:e] - top) * side + x[s:e] - left, q[s:e]
+                    for k, c in enumerate((i, j, p)):
+                        planes[k, spot] = c[s:e] * a
+                    planes[3, spot], there[spot] = a * 255, True
+                    continue
+                spot = (j[s:e] - top) * side + i[s:e] - left
+                wu, wv = ({k: _weights(d[s:e], method, k) for k in range(lo, hi + 1)} for d in (p, q))
+                sums, some = np.zeros((len(RGBA), e - s)), np.zeros(e - s, bool)
+                for dj, di in taps:
+                    tap = spot + dj * side + di
+                    sums += wu[di] * wv[dj] * planes[:, tap]
+                    some |= there[tap]
+                yield pa.RecordBatch.from_pydict({"x": x[s:e][some], "y": y[s:e][some]} | dict(zip(RGBA, sums[:, some])))
+
+    met = rows.unionByName(source).repartition("bx", "by").sortWithinPartitions("bx", "by", "target")
+    return met.mapInArrow(run, "x long, y long, " + ", ".join(f"{c} double" for c in RGBA))
 
 
 def distort(px: DataFrame, to: Callable[..., tuple[Column, Column, Column]], edge: str = "repeat") -> DataFrame:
