@@ -118,7 +118,7 @@ def is_web_safe(c: Rgb) -> Column:
 def hue_weight(h: Column, band: tuple[float, float, float, float]) -> Column:
     """Membership of a hue in a range: up to the second edge, flat to the third, down to the fourth, round the circle."""
     up, flat, down = ((e - band[0]) % 360 for e in band[1:])
-    at = F.pmod(h - band[0], F.lit(360.0))
+    at = (h - band[0] + 360) % 360  # not pmod, which keeps more bits of some hues
     rise = F.lit(1.0) if up == 0 else at / up
     fall = F.lit(1.0) if down == flat else (down - at) / (down - flat)
     return F.when(at <= up, rise).when(at <= flat, 1.0).when(at <= down, fall).otherwise(0.0)
