@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lines a pixel row is sampled on.
@@ -90,6 +91,8 @@ def edges(knots: DataFrame, shapes: DataFrame, tolerance: float = TOLERANCE) ->
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (b.schema.field(0).type, b.schema.field(1).type, *[pa.float64()] * 4))], names=["doc", "shape", "x0", "y0", "x1", "y1"])
 
     kinds = dict(rows.dtypes)
+    # Few bytes, but long edges cross many lines: dealt over all tasks, by a number that is kept.
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x0", "y0", "x3", "y3")
     return rows.mapInArrow(flatten, f"doc {kinds['doc']}, shape {kinds['shape']}, x0 double, y0 double, x1 double, y1 double")
 
 
@@ -117,16 +120,6 @@ def crossings(outline: DataFrame, sub: int) -> DataFrame:
     return rows.select("doc", F.floor(F.col("line") / sub).alias("py"), F.pmod("line", F.lit(sub)).cast("int").alias("k"), "shape", (xa + (y - ya) / (yb - ya) * (xb - xa)).alias("x"), F.when(down, 1).otherwise(-1).alias("turn"))
 
 
-def spans(cross: DataFrame, shapes: DataFrame) -> DataFrame:
-    """(doc, py, k, shape, x, on: 1 or -1) where each shape begins and ends along each line, by running sums of its turns."""
-    w = Window.partitionBy("doc", "py", "k", "shape").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    now = F.sum("turn").over(w)
-    rows = cross.join(shapes.select("doc", "shape", "rule"), ["doc", "shape"]).withColumn("now", now)
-    inside: Column = lambda c: F.when(F.col("rule") == "evenodd", F.pmod(c, F.lit(2)) == 1).otherwise(c != 0)
-    rows = rows.withColumn("is", inside(F.col("now"))).withColumn("was", inside(F.col("now") - F.col("turn")))
-    return rows.where(F.col("is") != F.col("was")).select("doc", "py", "k", "shape", "x", F.when(F.col("is"), 1).otherwise(-1).alias("on"))
-
-
 #: What a shape makes of what stands before it (a) and itself (b).
 OPS = {"add": np.logical_or, "subtract": lambda a, b: a & ~b, "intersect": np.logical_and, "exclude": np.logical_xor}
 
@@ -135,52 +128,83 @@ def coverage(outline: DataFrame, shapes: DataFrame, boxes: DataFrame, sub: int =
     """(doc, x, y, cover: 0...1) of the pixels in ``boxes`` (doc, x0, y0, x1, y1: long) that the combined shapes cover at all.
 
     Exact along x, sampled on ``sub`` lines a pixel row. The first shape's
-    operation has nothing before it: if it subtracts, all but it is covered. A
-    group is one row of pixels.
+    operation has nothing before it: if it subtracts, all but it is covered.
+    Crossings are sorted by line and x and stream through; a task holds those
+    of one line and the coverage of one row of pixels.
     """
-    ops = shapes.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("shape", "op"))).alias("ops"))  # shapes of one path
-    rows = spans(crossings(outline, sub), shapes).join(boxes, "doc").where((F.col("py") >= F.col("y0")) & (F.col("py") < F.col("y1"))).select("doc", "py", "k", "shape", "x", "on")
-    # Rows without a crossing are covered where the first shape subtracts.
-    every = boxes.join(ops, "doc").withColumn("py", F.explode(F.sequence("y0", F.col("y1") - 1)))
-    events = rows.groupBy("doc", "py").agg(F.collect_list(F.struct("k", "shape", "x", "on")).alias("events"))
-    both = every.join(events, ["doc", "py"], "left").select("doc", "py", "x0", "x1", "ops", "events")
+    ops = shapes.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("shape", "op", "rule"))).alias("ops"))  # shapes of one path
+    # A row of pixels stands before its crossings, and alone if it has none: it is covered where the first shape subtracts.
+    every = boxes.join(ops, "doc").withColumn("py", F.explode(F.sequence("y0", F.col("y1") - 1))).select("doc", "py", F.lit(-1).alias("k"), "x0", "x1", "ops")
+    rows = every.unionByName(crossings(outline, sub), allowMissingColumns=True).where("doc is not null").select("doc", "py", "k", "shape", "x", "turn", "x0", "x1", "ops")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, line, held = None, None, []  # the row of pixels, and the crossings of its last line so far
+
+        def close() -> None:
+            if held and row and row.key == line[:2]:
+                row.add(*(np.concatenate(c) for c in zip(*held)))
+                row.lines += 1
+            held.clear()
+
         for b in batches:
-            for doc, py, x0, x1, ops_, found in zip(*(c.to_pylist() for c in b.columns)):
-                cover = _row(x1 - x0, x0, ops_, found or [], sub)
-                at = np.flatnonzero(cover > 0)
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(at), b.schema.field(0).type), pa.array(at + x0, pa.int64()), pa.array([py] * len(at), pa.int64()), pa.array(cover[at], pa.float64())], names=["doc", "x", "y", "cover"])
-
-    return both.mapInArrow(fill, f"doc {dict(both.dtypes)['doc']}, x long, y long, cover double")
-
-
-def _row(width: int, left: int, ops: list[dict], events: list[dict], sub: int) -> np.ndarray:
-    """Coverage of one row of pixels."""
-    ends, run = np.zeros(width + 2), np.zeros(width + 2)
-    number = {o["shape"]: s for s, o in enumerate(ops)}
-    k, shape, x, on = (np.array([e[c] for e in events]) for c in ("k", "shape", "x", "on"))
-    for line in range(sub):
-        own = np.flatnonzero(k == line) if len(events) else np.empty(0, int)
-        own = own[np.argsort(x[own], kind="stable")] if len(own) else own
-        xs = np.concatenate([[-np.inf], x[own], [np.inf]]) if len(own) else np.array([-np.inf, np.inf])
-        # Whether each shape holds what follows each event; nothing is held at the far left.
-        held = np.zeros((len(ops), len(xs) - 1), bool)
-        for s in range(len(ops)):
-            mine = np.array([on[i] if number.get(shape[i]) == s else 0 for i in own], int)
-            held[s, 1:] = np.cumsum(mine) > 0
-        acc = ~held[0] if ops[0]["op"] == "subtract" else held[0]
-        for s in range(1, len(ops)):
-            acc = OPS[ops[s]["op"]](acc, held[s])
-        a, z = np.clip(xs[:-1][acc] - left, 0, width), np.clip(xs[1:][acc] - left, 0, width)
+            if not b.num_rows:
+                continue
+            doc, kind = b.column("doc"), b.schema.field("doc").type
+            key = [b.column(c).to_numpy(zero_copy_only=False) for c in ("py", "k")]
+            other = pc.not_equal(doc.slice(1), doc.slice(0, len(doc) - 1)).to_numpy(zero_copy_only=False)
+            ends = np.flatnonzero(np.logical_or.reduce([other, *(np.diff(c) != 0 for c in key)])) + 1
+            shape, x, turn = b.column("shape"), *(b.column(c).to_numpy(zero_copy_only=False) for c in ("x", "turn"))
+            for s, e in zip([0, *ends.tolist()], [*ends.tolist(), b.num_rows]):
+                at = (doc[s].as_py(), int(key[0][s]), int(key[1][s]))
+                if at != line:
+                    close()
+                    line = at
+                if at[2] >= 0:
+                    held.append((shape[s:e].to_numpy(zero_copy_only=False), x[s:e], turn[s:e]))
+                    continue
+                if row:
+                    yield row.batch(kind)
+                row = _Row(at[:2], b.column("x0")[s].as_py(), b.column("x1")[s].as_py(), b.column("ops")[s].as_py(), sub)
+        close()
+        if row:
+            yield row.batch(kind)
+
+    return rows.repartition("doc", "py").sortWithinPartitions("doc", "py", "k", "x").mapInArrow(fill, f"doc {dict(rows.dtypes)['doc']}, x long, y long, cover double")
+
+
+class _Row:
+    """Coverage of one row of pixels, line by line."""
+
+    def __init__(self, key: tuple, left: int, right: int, ops: list[dict], sub: int):
+        self.key, self.left, self.width, self.ops, self.sub, self.lines = key, left, right - left, ops, sub, 0
+        self.ends, self.run = np.zeros(self.width + 2), np.zeros(self.width + 2)
+
+    def add(self, shape: np.ndarray, x: np.ndarray, turn: np.ndarray) -> None:
+        """One line, by its crossings from left to right; nothing is held at the far left."""
+        xs = np.concatenate([[-np.inf], x, [np.inf]])
+        acc = None
+        for o in self.ops:
+            now = np.concatenate([[0], np.cumsum(np.where(shape == o["shape"], turn, 0))])
+            held = now % 2 == 1 if o["rule"] == "evenodd" else now != 0
+            acc = OPS[o["op"]](acc, held) if acc is not None else ~held if o["op"] == "subtract" else held
+        a, z = np.clip(xs[:-1][acc] - self.left, 0, self.width), np.clip(xs[1:][acc] - self.left, 0, self.width)
         a, z = a[z > a], z[z > a]
         ia, iz = np.floor(a).astype(int), np.floor(z).astype(int)
         same = ia == iz
-        np.add.at(ends, ia, np.where(same, z - a, ia + 1 - a))
-        np.add.at(ends, iz[~same], (z - iz)[~same])
-        np.add.at(run, ia[~same] + 1, 1)
-        np.add.at(run, iz[~same], -1)
-    return np.minimum(1, (ends + np.cumsum(run))[:width] / sub)
+        np.add.at(self.ends, ia, np.where(same, z - a, ia + 1 - a))
+        np.add.at(self.ends, iz[~same], (z - iz)[~same])
+        np.add.at(self.run, ia[~same] + 1, 1)
+        np.add.at(self.run, iz[~same], -1)
+
+    def batch(self, kind: pa.DataType) -> pa.RecordBatch:
+        if self.ops[0]["op"] == "subtract" and self.lines < self.sub:  # lines without a crossing
+            empty = np.empty(0)
+            for _ in range(self.sub - self.lines):
+                self.add(empty, empty, empty)
+        cover = np.minimum(1, (self.ends + np.cumsum(self.run))[: self.width] / self.sub)
+        at = np.flatnonzero(cover > 0)
+        doc, py = self.key
+        return pa.RecordBatch.from_arrays([pa.array([doc] * len(at), kind), pa.array(at + self.left, pa.int64()), pa.array([py] * len(at), pa.int64()), pa.array(cover[at], pa.float64())], names=["doc", "x", "y", "cover"])
 
 
 def polygon(px: DataFrame, points: DataFrame, smooth: bool = True) -> DataFrame:
