@@ -12,16 +12,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that ``edges`` (u, v) join each node to.
 
     Each round takes the least label of the neighbours and jumps to the label's
-    own label, so rounds grow with the logarithm of the longest path.
+    own label, so rounds grow with the logarithm of the longest path. Tables as
+    long as the graph are merged, as packed files look small enough to broadcast.
     """
     both = cut(edges.union(edges.select("v", "u")).where("u <> v").distinct())
     now = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
     while True:
         labels = now.select(F.col("node").alias("v"), F.col("label").alias("l"))
-        near = both.join(labels, "v").groupBy(F.col("u").alias("node")).agg(F.min("l").alias("m"))
-        low = cut(now.join(near, "node").select("node", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")))
+        near = both.join(labels.hint("merge"), "v").groupBy(F.col("u").alias("node")).agg(F.min("l").alias("m"))
+        low = cut(now.join(near.hint("merge"), "node").select("node", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")))
         to = low.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        now = cut(low.join(to, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")))
+        now = cut(low.join(to.hint("merge"), "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")))
         if low.where("moved").isEmpty():
             return now
 
@@ -44,4 +45,4 @@ def regions(px: DataFrame, linked: Column, columns: tuple) -> DataFrame:
     rows = cut(rows.withColumn("run", F.col("y") * (1 << 31) + start).drop("joined", *(f"p_{c}" for c in ("x", "y", *columns))))
     edges = before(rows, "y").where("joined").select(F.col("run").alias("u"), F.col("p_run").alias("v")).distinct()
     found = components(edges)
-    return rows.join(found, rows["run"] == found["node"], "left").withColumn("region", F.coalesce("label", "run")).drop("run", "node", "label")
+    return rows.join(found.hint("merge"), rows["run"] == found["node"], "left").withColumn("region", F.coalesce("label", "run")).drop("run", "node", "label")

@@ -79,7 +79,7 @@ def wand(px: DataFrame, x: int, y: int, tolerance: int = 32, smooth: bool = True
     found = regions(at.where(F.col("d") <= tolerance), F.lit(True), ("d",))
     home = F.broadcast(found.where((F.col("x") == x) & (F.col("y") == y)).select("region"))
     chosen = found.join(home, "region", "left_semi").select("x", "y", coverage(F.col("d"), tolerance, smooth).alias("cov"))
-    return px.select("x", "y").join(chosen, ["x", "y"], "left").select("x", "y", F.coalesce("cov", F.lit(0)).cast("long").alias("cov"))
+    return px.select("x", "y").join(chosen.hint("merge"), ["x", "y"], "left").select("x", "y", F.coalesce("cov", F.lit(0)).cast("long").alias("cov"))
 
 
 def grow(px: DataFrame, sel: DataFrame, tolerance: int) -> DataFrame:
