@@ -184,8 +184,9 @@ def view(zoom, cx, cy, rotation, width, height) -> Column:
 
 def to_screen(v: Column) -> Column:
     """Document to screen: the centre goes to the middle, scaled, then turned."""
-    c, s = v["zoom"] * F.cos(v["rotation"]), v["zoom"] * F.sin(v["rotation"])
-    return mat(c, s, -s, c, v["width"] / 2 - (c * v["cx"] - s * v["cy"]), v["height"] / 2 - (s * v["cx"] + c * v["cy"]))
+    c, s, z = F.cos(v["rotation"]), F.sin(v["rotation"]), v["zoom"]
+    # The centre is turned before it is scaled, as the SQL rounds it.
+    return mat(c * z, s * z, -s * z, c * z, v["width"] / 2 - z * (c * v["cx"] - s * v["cy"]), v["height"] / 2 - z * (s * v["cx"] + c * v["cy"]))
 
 
 def _from_middle(v: Column, x, y) -> tuple[Column, Column]:
