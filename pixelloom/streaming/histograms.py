@@ -14,7 +14,8 @@ from pixelloom.sources.rasters import event_pixels
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.readStream.schema("event_id bigint, ts timestamp, user_id bigint, event_type string, value double").option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events as a stream; as a pattern, the path may be one file or a folder of parts."""
+    return spark.readStream.schema("event_id bigint, ts timestamp, user_id bigint, event_type string, value double").parquet(f"{sf_dir}/events.parque[t]")
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
