@@ -6,13 +6,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.operators.staging import cut
 
 #: Points of a ring that are fitted at a time; longer rings are fitted in arcs that share their ends and tangents.
 ARC = 4096
+#: Side of a block whose points are put end to end at once, and how much wider the next blocks are.
+SIDE, GROWTH = 256, 16
 #: Rounds of moving the places of points along a curve before it is halved.
 ROUNDS = 20
 
@@ -52,29 +54,84 @@ def links(sel: DataFrame, level: float = 0.5) -> DataFrame:
     return cells.withColumn("code", code).select("doc", F.explode(found).alias("l")).select("doc", "l.*")
 
 
+def _block(node: Column, side: int) -> tuple[Column, Column]:
+    """The block of a node; one block holds all about the origin once its side is large enough."""
+    at = F.shiftright(node, 1)
+    y = F.shiftright(at + (1 << 29), 30)
+    return F.floor((at - y * (1 << 30) + side // 2) / side), F.floor((y + side // 2) / side)
+
+
+def _joined(start: np.ndarray, to: np.ndarray, length: np.ndarray, least: np.ndarray, least_at: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Runs of points (first node, node after the last, points, least node and its place) put end to end: values and which of them are known.
+
+    Of each run the run that begins its chain (``head``) and its place there; of
+    a chain that closes its ring, place from the ring's least node and size; of
+    a chain that does not, at its head, what makes it a run of its own.
+    """
+    n = len(start)
+    order = np.argsort(start)
+    at = order[np.minimum(np.searchsorted(start, to, sorter=order), n - 1)]
+    inside = start[at] == to
+    back = np.full(n, -1)
+    back[at[inside]] = np.flatnonzero(inside)
+    rounds = max(n - 1, 1).bit_length() + 1
+    hop, low = np.where(back < 0, np.arange(n), back), least.copy()
+    for _ in range(rounds):
+        low, hop = np.minimum(low, low[hop]), hop[hop]
+    closed = back[hop] >= 0
+    back[closed & (low == least)] = -1
+    hop, place = np.where(back < 0, np.arange(n), back), np.where(back < 0, 0, length[back])
+    for _ in range(rounds):
+        place, hop = place + place[hop], hop[hop]
+    size, lowest, out, first = np.zeros(n, np.int64), least.copy(), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    np.add.at(size, hop, length)
+    np.minimum.at(lowest, hop, least)
+    has = least == lowest[hop]
+    first[hop[has]] = (place + least_at)[has]
+    out[hop[~inside]] = to[~inside]
+    open_, heads = ~closed, ~closed & (hop == np.arange(n))
+    return {
+        "head": (start[hop], open_), "place": (np.where(closed, (place - first[hop]) % size[hop], place), closed | open_), "ring": (lowest[hop], closed), "size": (size[hop], closed),
+        "out": (out, heads), "length": (size, heads), "least": (lowest, heads), "least_at": (first, heads),
+    }
+
+
 def rings(points: DataFrame) -> DataFrame:
-    """Adds to ``links`` the ring (its least node) and ``n``, the place from there on.
+    """Adds to ``links`` the ring (its least node), ``n``, the place from there on, and ``size``, the ring's points.
 
-    Each round doubles how far a point knows its ring: first the least node
-    ahead, then, with the ring cut before that node, the steps to its end. So
-    rounds grow with the logarithm of the longest ring, and no ring is gathered.
+    A block's points are put end to end into runs, the runs that leave it meet
+    those of the blocks around in blocks GROWTH times as wide, and so on until
+    every ring has closed; then places are handed down again. A task holds a
+    block's points or the few runs that cross its inner edges, never a ring.
     """
-    base = cut(points)
-    now = base.select("doc", "node", F.col("next").alias("to"), F.least("node", "next").alias("ring"))
-    while True:
-        ahead = now.select("doc", F.col("node").alias("to"), F.col("to").alias("further"), F.col("ring").alias("other"))
-        now = cut(now.join(ahead, ["doc", "to"]).select("doc", "node", F.col("further").alias("to"), F.least("ring", "other").alias("ring")))
-        # A ring's points agree once each has the same as the next one.
-        after = now.select("doc", F.col("node").alias("next"), F.col("ring").alias("next_ring"))
-        if base.join(now.select("doc", "node", "ring"), ["doc", "node"]).join(after, ["doc", "next"]).where("ring <> next_ring").isEmpty():
-            break
-    base = cut(base.join(now.select("doc", "node", "ring"), ["doc", "node"]))
-    now = base.select("doc", "node", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("to"), F.when(F.col("next") != F.col("ring"), 1).otherwise(0).cast("long").alias("left"))
-    while not now.where("to is not null").isEmpty():
-        ahead = now.select(F.col("doc").alias("a_doc"), F.col("node").alias("a_node"), F.col("to").alias("further"), F.col("left").alias("more"))
-        now = cut(now.join(ahead, (F.col("doc") == F.col("a_doc")) & (F.col("to") == F.col("a_node")), "left").select("doc", "node", F.col("further").alias("to"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
-    both = base.join(now.select("doc", "node", "left"), ["doc", "node"])
-    return both.withColumn("n", F.max("left").over(Window.partitionBy("doc", "ring")) - F.col("left")).drop("left")
+    kind = dict(points.dtypes)["doc"]
+    found = ("head", "place", "ring", "size", "out", "length", "least", "least_at")
+
+    def join(runs: DataFrame, side: int, *more: str) -> DataFrame:
+        def run(t: pa.Table) -> pa.Table:
+            made = _joined(*(t.column(c).to_numpy() for c in ("node", "next", "length", "least", "least_at")))
+            return pa.table({c: t.column(c) for c in ("doc", "node", "next", *more)} | {f"{c}_": pa.array(v, pa.int64(), mask=~known) for c, (v, known) in made.items()})
+
+        bx, by = _block(F.col("node"), side)
+        schema = f"doc {kind}, node long, next long, " + "".join(f"{c} double, " for c in more) + ", ".join(f"{c}_ long" for c in found)
+        return cut(runs.withColumns({"bx": bx, "by": by}).groupBy("doc", "bx", "by").applyInArrow(run, schema))
+
+    one = {"length": F.lit(1).cast("long"), "least": F.col("node"), "least_at": F.lit(0).cast("long")}
+    side, levels = SIDE, [join(points.withColumns(one), SIDE, "x", "y")]
+    while not (left := levels[-1].where("out_ is not null").select("doc", "node", F.col("out_").alias("next"), F.col("length_").alias("length"), F.col("least_").alias("least"), F.col("least_at_").alias("least_at"))).isEmpty():
+        side *= GROWTH
+        levels.append(join(left, side))
+    known = None
+    for level in reversed(levels):
+        closed = level.where("ring_ is not null")
+        place = {"ring": F.col("ring_"), "n": F.col("place_"), "size": F.col("size_")}
+        if known is not None:
+            above = known.select(F.col("doc").alias("a_doc"), F.col("node").alias("a_node"), F.col("ring").alias("a_ring"), F.col("n").alias("a_n"), F.col("size").alias("a_size"))
+            rest = level.where("ring_ is null").join(above, (F.col("doc") == F.col("a_doc")) & (F.col("head_") == F.col("a_node")))
+            rest = rest.withColumns({"ring": F.col("a_ring"), "n": (F.col("a_n") + F.col("place_")) % F.col("a_size"), "size": F.col("a_size")}).select(*points.columns if level is levels[0] else ("doc", "node"), "ring", "n", "size")
+        closed = closed.withColumns(place).select(*points.columns if level is levels[0] else ("doc", "node"), "ring", "n", "size")
+        known = closed if known is None else closed.unionByName(rest)
+    return known
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -147,8 +204,7 @@ def curves(ringed: DataFrame, tolerance: float = 2.0) -> DataFrame:
     point; a longer one in arcs that begin where the last ended, with the
     tangent that the points on both sides give.
     """
-    size = Window.partitionBy("doc", "ring")
-    rows = ringed.withColumn("size", F.count("*").over(size)).where("size > 2")
+    rows = ringed.where("size > 2")
     arc = F.floor(F.col("n") / ARC)
     # Each arc is sent its own points, one before, and two after (the next arc's first ones; the last arc's are the ring's first).
     near = F.array(F.struct(arc.alias("arc"), F.col("n").alias("k")))
@@ -167,6 +223,8 @@ def curves(ringed: DataFrame, tolerance: float = 2.0) -> DataFrame:
         flat = np.stack(found).reshape(n, 8)
         return pa.table(same | {"n": pa.array(np.arange(n) + arc_ * ARC)} | {f"{c}{k}": flat[:, 2 * k + i] for k in range(4) for i, c in enumerate("xy")})
 
+    # Fitting costs far more than its few bytes let the planner expect, so arcs are dealt out by number.
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc", "shape", "arc")
     kind = dict(ringed.dtypes)["doc"]
     return rows.groupBy("doc", "shape", "arc").applyInArrow(run, f"doc {kind}, shape long, n long, " + ", ".join(f"{c}{k} double" for k in range(4) for c in "xy"))
 
