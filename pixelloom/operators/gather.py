@@ -118,10 +118,10 @@ def distort(px: DataFrame, to: Callable[..., tuple[Column, Column, Column]], edg
     w, h = F.col("w").cast("double"), F.col("h").cast("double")
     at = px.join(size_of(px))
     u, v, moved = to(F.col("x") + 0.5, F.col("y") + 0.5, w, h)
-    at = at.withColumns({"u": F.when(moved, u - 0.5), "v": F.when(moved, v - 0.5)})
-    made = gather(at.where("u is not null").select("x", "y", "u", "v", "w", "h"), px, "distort", edge)
+    # Tested apart from the places: under a condition, what u and v share would be worked out anew each time.
+    made = gather(at.where(moved).select("x", "y", (u - 0.5).alias("u"), (v - 0.5).alias("v"), "w", "h"), px, "distort", edge)
     made = made.withColumn("a", F.least(F.lit(65025.0), F.greatest(F.lit(0.0), F.col("a"))))
-    stays = premultiplied(at.where("u is null")).select("x", "y", *(F.col(c).cast("double").alias(c) for c in RGBA))
+    stays = premultiplied(at.where(~F.coalesce(moved, F.lit(False)))).select("x", "y", *(F.col(c).cast("double").alias(c) for c in RGBA))
     return to_bytes(made.union(stays), {c: F.col(c) for c in RGBA})
 
 
