@@ -18,7 +18,7 @@ FAR = float("inf")
 
 
 def _column_marks(tiles: DataFrame, mark: Callable[[np.ndarray], np.ndarray], by: Keys, tile: int) -> DataFrame:
-    """First and last marked row of each column of each tile (NONE: no such row)."""
+    """First and last marked row of each column of each tile (NONE: no such row), then their coverage."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -27,7 +27,9 @@ def _column_marks(tiles: DataFrame, mark: Callable[[np.ndarray], np.ndarray], by
                 any_ = on.any(0)
                 first = np.where(any_, np.where(on, ys, 1 << 40).min(0), NONE)
                 last = np.where(any_, np.where(on, ys, NONE).max(0), NONE)
-                yield pa.RecordBatch.from_pydict({c: pa.array([row[c]], b.schema.field(c).type) for c in (*by, "tx", "ty", *BOUNDS)} | {"data": [np.stack([first, last]).astype(np.int64).tobytes()]})
+                cov, start, xs = _planes(row["data"], 1, tile, "uint8")[0], row["ty"] * tile, np.arange(tile)
+                ends = [cov[np.where(any_, v - start, 0), xs] for v in (first, last)]
+                yield pa.RecordBatch.from_pydict({c: pa.array([row[c]], b.schema.field(c).type) for c in (*by, "tx", "ty", *BOUNDS)} | {"data": [np.stack([first, last, *ends]).astype(np.int64).tobytes()]})
 
     return tiles.mapInArrow(find, tiles.schema)
 
@@ -40,7 +42,7 @@ def _marked(row: dict, mark: Callable[[np.ndarray], np.ndarray], tile: int) -> n
 
 
 def _nearest_rows(tiles: DataFrame, mark: Callable[[np.ndarray], np.ndarray], by: Keys, tile: int) -> DataFrame:
-    """Tiles with ``near``: for each pixel the nearest marked row of its column; the upper one of two.
+    """Tiles with ``near``: for each pixel the nearest marked row of its column, the upper one of two; after all rows the coverage there.
 
     Beside them, of the squared distances to those rows: ``least`` of the tile,
     ``worst`` of its rows' least ones, and ``most`` of what the tile's own
@@ -51,19 +53,19 @@ def _nearest_rows(tiles: DataFrame, mark: Callable[[np.ndarray], np.ndarray], by
     def carry(t: pa.Table) -> pa.Table:
         """For each tile of a column of tiles: the last marked row above it and the first below, by column."""
         rows = sorted(_rows_of(t, by), key=lambda r: r["ty"])
-        marks = [np.frombuffer(r["data"], np.int64).reshape(2, tile) for r in rows]
-        above, below = [np.full(tile, NONE)], [np.full(tile, NONE)]
-        for first, last in marks[:-1]:
-            above.append(np.where(last == NONE, above[-1], last))
-        for first, last in marks[:0:-1]:
-            below.append(np.where(first == NONE, below[-1], first))
+        marks = [np.frombuffer(r["data"], np.int64).reshape(4, tile) for r in rows]
+        above, below = [np.full((2, tile), NONE)], [np.full((2, tile), NONE)]
+        for m in marks[:-1]:
+            above.append(np.where(m[1] == NONE, above[-1], m[[1, 3]]))
+        for m in marks[:0:-1]:
+            below.append(np.where(m[0] == NONE, below[-1], m[[0, 2]]))
         data = [np.stack(x).tobytes() for x in zip(above, below[::-1])]
         return pa.table({c: pa.array([r[c] for r in rows], t.schema.field(c).type) for c in (*cells, *BOUNDS)} | {"data": data, "own": pa.array([False] * len(rows))})
 
     def fill(t: pa.Table) -> pa.Table:
         k = t.column("own").to_pylist().index(True)
         row = {c: t.column(c)[k].as_py() for c in (*cells, *BOUNDS, "data")}
-        above, below = np.frombuffer(t.column("data")[1 - k].as_py(), np.int64).reshape(2, tile)
+        above, above_cov, below, below_cov = np.frombuffer(t.column("data")[1 - k].as_py(), np.int64).reshape(4, tile)
         on, ys = _marked(row, mark, tile), _inside(row, tile)[1][:, None]
         up = np.maximum.accumulate(np.where(on, ys, above[None, :]), axis=0)
         big = 1 << 40
@@ -72,11 +74,13 @@ def _nearest_rows(tiles: DataFrame, mark: Callable[[np.ndarray], np.ndarray], by
         near = np.where((down < big) & ((up == NONE) | (down - ys < ys - up)), down, up)
         f = np.where(near == NONE, FAR, (ys - near).astype(np.float64) ** 2)
         xs = np.arange(tile)
+        own_cov = _planes(row["data"], 1, tile, "uint8")[0][np.clip(near - ys[0], 0, tile - 1), xs[None, :]]
+        cov = np.where(near < ys[0], above_cov, np.where(near > ys[-1], below_cov, own_cov)).astype(np.uint8)
         own = f.copy()
         for s in np.flatnonzero(np.isfinite(f).any(0)):
             np.minimum(own, f[:, s : s + 1] + (xs - s)[None, :] ** 2, out=own)
         number = lambda v: None if v == FAR else float(v)
-        return pa.table({c: pa.array([row[c]], t.schema.field(c).type) for c in (*cells, *BOUNDS)} | {"data": [row["data"]], "near": [near.astype(np.int64).tobytes()], "least": pa.array([number(f.min())], pa.float64()), "worst": pa.array([number(f.min(1).max())], pa.float64()), "most": pa.array([number(own.max())], pa.float64())})
+        return pa.table({c: pa.array([row[c]], t.schema.field(c).type) for c in (*cells, *BOUNDS)} | {"data": [row["data"]], "near": [near.astype(np.int64).tobytes() + cov.tobytes()], "least": pa.array([number(f.min())], pa.float64()), "worst": pa.array([number(f.min(1).max())], pa.float64()), "most": pa.array([number(own.max())], pa.float64())})
 
     marks = _column_marks(tiles, mark, by, tile).groupBy(*by, "tx").applyInArrow(carry, _schema(tiles, (*cells, *BOUNDS), "data binary", "own boolean"))
     both = marks.union(tiles.select(*cells, *BOUNDS, "data", F.lit(True)))
@@ -84,7 +88,12 @@ def _nearest_rows(tiles: DataFrame, mark: Callable[[np.ndarray], np.ndarray], by
 
 
 def nearest(sel: DataFrame, mark: Callable[[np.ndarray], np.ndarray], by: Keys = (), tile: int = TILE) -> DataFrame:
-    """Adds to each pixel the nearest marked one: d2 (squared distance), nx, ny; null if none is marked.
+    """``with_coverage`` without the nearest pixel's coverage."""
+    return with_coverage(sel, mark, by, tile).drop("ncov")
+
+
+def with_coverage(sel: DataFrame, mark: Callable[[np.ndarray], np.ndarray], by: Keys = (), tile: int = TILE) -> DataFrame:
+    """Adds to each pixel the nearest marked one: d2 (squared distance), nx, ny, ncov (its coverage); null if none is marked.
 
     Of several nearest the one with the least x, then y. ``mark`` takes an array
     of coverage. Columns are solved first, by carrying marked rows along columns
@@ -119,21 +128,22 @@ def nearest(sel: DataFrame, mark: Callable[[np.ndarray], np.ndarray], by: Keys =
         row = {c: t.column(c)[k].as_py() for c in (*cells, *BOUNDS, "data")}
         xs, ys = _inside(row, tile)
         best = np.full((tile, tile), FAR)
-        nx, ny = np.full((tile, tile), NONE), np.full((tile, tile), NONE)
+        nx, ny, ncov = np.full((tile, tile), NONE), np.full((tile, tile), NONE), np.zeros((tile, tile), np.uint8)
         for j in np.argsort(t.column("sx").to_numpy()):
             start = t.column("sx")[int(j)].as_py() * tile
-            near = np.frombuffer(t.column("near")[int(j)].as_py(), np.int64).reshape(tile, tile)
+            data = t.column("near")[int(j)].as_py()
+            near, cov = np.frombuffer(data, np.int64, tile * tile).reshape(tile, tile), np.frombuffer(data, np.uint8, offset=8 * tile * tile).reshape(tile, tile)
             f = np.where(near == NONE, FAR, (ys[:, None] - near).astype(np.float64) ** 2)
             for s in np.flatnonzero((near != NONE).any(0)):
                 d = f[:, s : s + 1] + (xs - (start + s))[None, :].astype(np.float64) ** 2
                 less = d < best
                 if less.any():
-                    best, nx, ny = np.where(less, d, best), np.where(less, start + s, nx), np.where(less, near[:, s : s + 1], ny)
-        planes = np.stack([_planes(row["data"], 1, tile, "uint8")[0].astype(np.float64), np.where(np.isfinite(best), best, -1), nx, ny])
-        return pa.Table.from_batches([_pixels(row, by, planes, ("cov", "d2", "nx", "ny"), tile, t)])
+                    best, nx, ny, ncov = np.where(less, d, best), np.where(less, start + s, nx), np.where(less, near[:, s : s + 1], ny), np.where(less, cov[:, s : s + 1], ncov)
+        planes = np.stack([_planes(row["data"], 1, tile, "uint8")[0].astype(np.float64), np.where(np.isfinite(best), best, -1), nx, ny, ncov])
+        return pa.Table.from_batches([_pixels(row, by, planes, ("cov", "d2", "nx", "ny", "ncov"), tile, t)])
 
-    out = sent.groupBy(*cells).applyInArrow(solve, _schema(sel, by, "x long", "y long", "cov long", "d2 long", "nx long", "ny long"))
-    return out.select(*by, "x", "y", "cov", *(F.when(F.col("d2") >= 0, F.col(c)).alias(c) for c in ("d2", "nx", "ny")))
+    out = sent.groupBy(*cells).applyInArrow(solve, _schema(sel, by, "x long", "y long", "cov long", "d2 long", "nx long", "ny long", "ncov long"))
+    return out.select(*by, "x", "y", "cov", *(F.when(F.col("d2") >= 0, F.col(c)).alias(c) for c in ("d2", "nx", "ny", "ncov")))
 
 
 def _selected(cov: np.ndarray) -> np.ndarray:
@@ -160,8 +170,8 @@ def contract(sel: DataFrame, px: int = 3, by: Keys = (), tile: int = TILE) -> Da
 
 def _both_sides(sel: DataFrame, by: Keys, tile: int) -> DataFrame:
     """Each pixel with the nearest one of the other side of the edge: selected ones look out, others in."""
-    out = nearest(sel, _selected, by, tile).where("cov < 128")
-    return out.unionByName(nearest(sel, _unselected, by, tile).where("cov >= 128"))
+    out = with_coverage(sel, _selected, by, tile).where("cov < 128")
+    return out.unionByName(with_coverage(sel, _unselected, by, tile).where("cov >= 128"))
 
 
 def border(sel: DataFrame, px: int = 4, by: Keys = (), tile: int = TILE) -> DataFrame:
@@ -177,9 +187,7 @@ def signed_distance(sel: DataFrame, by: Keys = (), tile: int = TILE) -> DataFram
     the edge runs. Without such a pixel the distance is a million.
     """
     rows = _both_sides(sel, by, tile)
-    near = sel.select(*(F.col(c).alias(f"n_{c}") for c in by), F.col("x").alias("n_x"), F.col("y").alias("n_y"), (F.col("cov") / 255).alias("n_cov"))
-    rows = rows.join(near, [rows[c].eqNullSafe(near[f"n_{c}"]) for c in by] + [rows["nx"] == near["n_x"], rows["ny"] == near["n_y"]], "left")
-    a, q, d = F.col("cov") / 255, F.coalesce("n_cov", F.lit(0.0)), F.sqrt("d2")
+    a, q, d = F.col("cov") / 255, F.coalesce(F.col("ncov") / 255, F.lit(0.0)), F.sqrt("d2")
     within = F.when(F.col("d2").isNull(), F.lit(-1e6)).otherwise(-(d - (0.5 - q)))
     beyond = F.when(F.col("d2").isNull(), F.lit(1e6)).otherwise(d - (q - 0.5))
     return rows.select(*by, "x", "y", F.when((a > 0) & (a < 1), 0.5 - a).when(a >= 0.5, within).otherwise(beyond).alias("distance"))
