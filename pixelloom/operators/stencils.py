@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from pixelloom.functions.color import hsb, hsb_rgb, hsl, hsl_rgb, luma
 from pixelloom.functions.painting import noise
 from pixelloom.operators.raster import RGB
 from pixelloom.operators.tiled import box_blur, convolve, dust_and_scratches, extreme, median  # noqa: F401
+from pixelloom.operators.tiles import filtered, to_tiles
 
 RGBA = (*RGB, "a")
 TILE = 256
@@ -264,14 +266,19 @@ def despeckle(px: DataFrame) -> DataFrame:
 
 def surface_blur(px: DataFrame, radius: int = 5, threshold: int = 15) -> DataFrame:
     """Each channel's mean over a square, weighted by alpha and by how near a value is to the pixel's own."""
-    at = around(straight(px), RGBA, radius)
-
-    def one(c: str) -> Column:
-        near = F.zip_with(f"n_{c}", "n_a", lambda v, a: F.struct(v.alias("v"), (F.greatest(F.lit(0.0), 1 - F.abs(v - F.col(c)) / (2.5 * threshold)) * a).alias("w")))
-        sums = F.aggregate(near, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda t, e: F.struct((t["s"] + e["v"] * e["w"]).alias("s"), (t["w"] + e["w"]).alias("w")))
-        return F.rint(F.when(sums["w"] > 0, sums["s"] / sums["w"]).otherwise(F.col(c))).cast("long")
-
-    return straight(at.select("x", "y", *(one(c).alias(c) for c in RGB), "a"))
+    def run(block: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        h, w = len(ys), len(xs)
+        own = block[:3, radius : radius + h, radius : radius + w]
+        sums, weights = np.zeros(own.shape), np.zeros(own.shape)
+        for j in range(2 * radius + 1):
+            for i in range(2 * radius + 1):
+                v = block[:3, j : j + h, i : i + w]
+                weight = np.maximum(0.0, 1 - np.abs(v - own) / (2.5 * threshold)) * block[3, j : j + h, i : i + w]
+                sums, weights = sums + v * weight, weights + weight
+        new = np.where(weights > 0, np.rint(sums / np.where(weights > 0, weights, 1)), own)
+        return np.concatenate([new, block[3:, radius : radius + h, radius : radius + w]])
+
+    return straight(filtered(to_tiles(straight(px)), radius, run))
 
 
 def wind(px: DataFrame, blast: bool = False, from_right: bool = True, seed: int = 1) -> DataFrame:
