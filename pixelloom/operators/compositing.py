@@ -291,6 +291,11 @@ def composite(layers: DataFrame, pixels: DataFrame, masks: DataFrame | None = No
     parts = present(pixels, RGBA, ("doc", "layer"), tile).withColumn("mask", F.lit(False))
     if masks is not None:
         parts = parts.union(present(masks, ("cov",), ("doc", "layer"), tile).withColumn("mask", F.lit(True)))
+    return folded(layers, parts, boxes, tile)
+
+
+def folded(layers: DataFrame, parts: DataFrame, boxes: DataFrame, tile: int = TILE) -> DataFrame:
+    """``composite`` of what are tiles already: ``parts`` (doc, layer, tx, ty, data, mask), planes of colour or of a mask."""
     parts = parts.groupBy(F.col("doc").alias("p_doc"), F.col("tx").alias("p_tx"), F.col("ty").alias("p_ty")).agg(F.collect_list(F.struct("layer", "mask", "data")).alias("parts"))
     every = grid(boxes, tile)
     tiles = every.join(parts, (F.col("doc") == F.col("p_doc")) & (F.col("tx") == F.col("p_tx")) & (F.col("ty") == F.col("p_ty")), "left").select("doc", "tx", "ty", *BOUNDS, "parts")

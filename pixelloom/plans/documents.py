@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.operators.compositing import composite
+from pixelloom.operators.compositing import composite, folded
 from pixelloom.plans.compositing import _CELLS, _LAYER, Chain, _masks, _pixels, _rows, group, invert, px
 from pixelloom.sources import psd
 from pixelloom.streaming.histograms import shared_path
@@ -16,8 +16,8 @@ ORACLE_SQL = {}
 _TREE = (px(1, name="Ground"), group(10, px(2, name="Ümlaut ☃", mode="multiply", opacity=0.8, masked=True, density=0.6), px(3, name="Clipped", clipped=True, fill=0.4, mode="screen"), name="Group", opacity=0.6), invert(12, name="Invert", opacity=0.2))
 
 
-def _read(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Documents, layers, pixels and masks of files that were just written: a document a strip of the rasters."""
+def _read(spark: SparkSession, d: str) -> DataFrame:
+    """What was parsed of files that were just written: a document a strip of the rasters."""
     pixels = _pixels(spark, d)
     masks = _masks(pixels).where("layer = 2")
     rows = _rows(_TREE)
@@ -27,30 +27,30 @@ def _read(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame,
     boxes = pixels.groupBy("doc").agg(F.lit(0).cast("long").alias("x0"), F.lit(0).cast("long").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
     folder = shared_path(spark, "documents")
     psd.save(psd.written(layers, pixels, composite(layers, pixels, masks, boxes), masks), folder)
-    read = psd.parsed(psd.files(spark, f"{folder}/*.psd")).withColumn("doc", F.regexp_extract("doc", r"/(\d+)\.psd$", 1))
-    return psd.documents(read), psd.layers(read), psd.pixels(read), psd.masks(read)
+    # The folder, not a pattern: Spark lists each file that a pattern matches by itself.
+    return psd.parsed(psd.files(spark, folder)).withColumn("doc", F.regexp_extract("doc", r"/(\d+)\.psd$", 1))
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d)[0].select(F.col("doc").cast("long").alias("doc"), "width", "height", "depth", "error")
+    return psd.documents(_read(spark, d)).select(F.col("doc").cast("long").alias("doc"), "width", "height", "depth", "error")
 
 
 def _layers(spark: SparkSession, d: str) -> DataFrame:
-    rows = _read(spark, d)[1]
+    rows = psd.layers(_read(spark, d))
     above = rows.select(F.col("doc").alias("p_doc"), F.col("id").alias("p_id"), F.col("name").alias("group"))
     rows = rows.join(above, (F.col("doc") == F.col("p_doc")) & (F.col("parent") == F.col("p_id")), "left")
     return rows.select(F.col("doc").cast("long").alias("doc"), "name", "group", "z", "kind", "visible", F.floor(F.col("opacity") * 100 + 0.5).alias("opacity"), F.floor(F.col("fill") * 100 + 0.5).alias("fill"), "mode", "clipped", "masked")
 
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
-    _, layers, pixels, _ = _read(spark, d)
-    named = pixels.join(layers.select("doc", F.col("id").alias("layer"), "name"), ["doc", "layer"])
+    read = _read(spark, d)
+    named = psd.pixels(read).join(psd.layers(read).select("doc", F.col("id").alias("layer"), "name"), ["doc", "layer"])
     return named.where("a > 0").select(F.col("doc").cast("long").alias("doc"), "name", "x", "y", "r", "g", "b", "a")
 
 
 def _flat(spark: SparkSession, d: str) -> DataFrame:
-    _, layers, pixels, masks = _read(spark, d)
-    return composite(layers, pixels, masks).select(F.col("doc").cast("long").alias("doc"), "x", "y", "r", "g", "b", "a")
+    read = _read(spark, d)
+    return folded(psd.layers(read), psd.tiles(read), psd.boxes(read)).select(F.col("doc").cast("long").alias("doc"), "x", "y", "r", "g", "b", "a")
 
 
 QUERIES |= {"document_files": _sizes, "document_layers": _layers, "document_pixels": _values, "document_composite": _flat}
