@@ -9,15 +9,13 @@ begins, so smooth parts need not travel pixel by pixel.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.operators.staging import cut
-from pixelloom.operators.tiles import BOUNDS, TILE, Keys, _pixels, _planes, _rows_of, _schema, filtered, stepped, to_tiles
+from pixelloom.operators.tiles import BOUNDS, TILE, Keys, _pixels, _planes, _rows_of, _schema, _strips_schema, filtered, haloed, pieces, to_tiles
 
 RGB = ("r", "g", "b")
 #: What a pixel may still move in a round when the membrane counts as solved, in levels.
@@ -48,36 +46,58 @@ def relax(values: np.ndarray, open_: np.ndarray, there: np.ndarray, sweeps: int)
     return values
 
 
-def _rounds(tiles: DataFrame, by: Keys, tile: int) -> DataFrame:
-    """Tiles (v0, v1, v2, open) with the membrane in their open pixels."""
+def _rounds(tiles: DataFrame, open_: DataFrame, by: Keys, tile: int) -> DataFrame:
+    """Tiles (v0, v1, v2, open) with the membrane in their open pixels; ``open_`` (keys, tx, ty) are those that have any.
 
-    def once(block: np.ndarray, row: dict) -> np.ndarray:
+    Only these move, so a round holds the pieces that they get of each other,
+    and the pieces of their closed neighbours once. Python sees a tile at a
+    time, as a group, never a batch of them.
+    """
+    cells = (*by, "tx", "ty")
+    around = -(-OVERLAP // tile)
+    is_ = lambda df, others: [df[c].eqNullSafe(others[f"o_{c}"]) for c in cells]
+    near = F.explode(F.array(*(F.struct((F.col("tx") + i).alias("tx"), (F.col("ty") + j).alias("ty")) for j in range(-around, around + 1) for i in range(-around, around + 1))))
+    near = open_.select(*by, near.alias("n")).select(*by, "n.*").distinct().select(*(F.col(c).alias(f"o_{c}") for c in cells))
+    open_ = open_.select(*(F.col(c).alias(f"o_{c}") for c in cells))
+    from_ = open_.select(*(F.col(f"o_{c}").alias(f"f_{c}") for c in cells))
+
+    def dealt(t: pa.Table, planes: np.ndarray, moved: float) -> pa.Table:
+        row = {c: t.column(c)[0].as_py() for c in (*cells, *BOUNDS)}
+        out = pieces(row, planes, OVERLAP, tile)
+        n = len(out["tx"])
+        same = {c: pa.array([row[c]] * n, t.schema.field(c).type) for c in (*by, *BOUNDS)}
+        return pa.table(same | out | {"moved": [moved] * n})
+
+    def first(t: pa.Table) -> pa.Table:
+        return dealt(t, _planes(t.column("data")[0].as_py(), 4, tile, "float64"), 0.0)
+
+    def once(t: pa.Table) -> pa.Table:
+        block = haloed(t, OVERLAP, 4, tile, "float64")
+        row = {c: t.column(c)[0].as_py() for c in (*cells, *BOUNDS)}
         xs = row["tx"] * tile - OVERLAP + np.arange(block.shape[2])
         ys = row["ty"] * tile - OVERLAP + np.arange(block.shape[1])
         there = ((ys >= row["y0"]) & (ys < row["y1"]))[:, None] & ((xs >= row["x0"]) & (xs < row["x1"]))[None, :]
         free = (block[3] > 0) & there
         edge = np.ones(free.shape, bool)  # the outermost pixels are the neighbours' to move
         edge[1:-1, 1:-1] = False
-        new = relax(block[:3], free & ~edge, there, SWEEPS) if free.any() else block[:3]
-        moved = np.abs(new - block[:3]).max(0)
+        new = relax(block[:3], free & ~edge, there, SWEEPS)
         own = slice(OVERLAP, OVERLAP + tile)
-        return np.stack([*new[:, own, own], block[3, own, own], moved[own, own]])
-
-    def still(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"moved": [float(_planes(d, 5, tile, "float64")[4].max()) for d in b.column("data").to_pylist()]})
-
-    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = [np.ascontiguousarray(_planes(d, 5, tile, "float64")[:4]).tobytes() for d in b.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), pa.array(data, pa.binary())], names=names)
-
-    names = tiles.columns
+        return dealt(t, np.stack([*new[:, own, own], block[3, own, own]]), float(np.abs(new - block[:3])[:, own, own].max()))
+
+    kind = f"{_strips_schema(tiles, by)}, moved double"
+    giver = [F.floor(F.col("px") / tile).alias("gx"), F.floor(F.col("py") / tile).alias("gy")]
+    held = tiles.join(near, is_(tiles, near), "left_semi").groupBy(*cells).applyInArrow(first, kind)
+    held = held.join(open_, is_(held, open_), "left_semi").select("*", *giver)
+    moves = [held[c].eqNullSafe(from_[f"f_{c}"]) for c in by] + [held["gx"] == from_["f_tx"], held["gy"] == from_["f_ty"]]
+    held = cut(held.join(from_.withColumn("moves", F.lit(True)), moves, "left").drop(*(f"f_{c}" for c in cells), "gx", "gy"))
+    fixed, moving = held.where("moves is null").drop("moves"), held.where("moves").drop("moves")
     while True:
-        new = cut(stepped(tiles, OVERLAP, once, 4, by, tile))
-        tiles = new.mapInArrow(without, tiles.schema)
-        if (new.select("data").mapInArrow(still, "moved double").agg(F.max("moved")).first()[0] or 0) <= SETTLED:
-            return tiles
+        new = moving.unionByName(fixed).groupBy(*cells).applyInArrow(once, kind)
+        moving = cut(new.join(open_, is_(new, open_), "left_semi"))
+        if (moving.agg(F.max("moved")).first()[0] or 0) <= SETTLED:
+            break
+    own = moving.select("*", *giver).where("gx = tx and gy = ty").select(tiles.columns)
+    return tiles.join(open_, is_(tiles, open_), "left_anti").unionByName(own)
 
 
 def membrane(values: DataFrame, by: Keys = (), tile: int = TILE) -> DataFrame:
@@ -97,14 +117,16 @@ def membrane(values: DataFrame, by: Keys = (), tile: int = TILE) -> DataFrame:
         on = [values[c].eqNullSafe(done[f"h_{c}"]) for c in by] + [F.floor(values["x"] / 2) == done["hx"], F.floor(values["y"] / 2) == done["hy"]]
         start = values.join(done, on, "left").select(*by, "x", "y", *(F.when(F.col("open") == 1, F.coalesce(f"h{k}", f"v{k}")).otherwise(F.col(f"v{k}")).alias(f"v{k}") for k in range(3)), "open")
     planes = ("v0", "v1", "v2", "open")
-    solved = _rounds(cut(to_tiles(start, planes, by, tile, dtype="float64")), by, tile)
+    open_ = cut(values.where("open = 1").select(*by, *(F.floor(F.col(c) / tile).alias(f"t{c}") for c in "xy")).distinct())
+    solved = cut(to_tiles(start, planes, by, tile, dtype="float64"))
+    solved = solved if open_.isEmpty() else _rounds(solved, open_, by, tile)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in _rows_of(b, by):
-                yield _pixels(row, by, _planes(row["data"], 4, tile, "float64"), planes, tile, b, pa.float64())
+    def spread(t: pa.Table) -> pa.Table:
+        row = next(_rows_of(t, by))
+        return pa.Table.from_batches([_pixels(row, by, _planes(row["data"], 4, tile, "float64"), planes, tile, t, pa.float64())])
 
-    out = solved.mapInArrow(spread, _schema(solved, by, "x long", "y long", *(f"{c} double" for c in planes)))
+    # Tiles of doubles are large: each is a group, as a batch of them would grow with the table.
+    out = solved.groupBy(*by, "tx", "ty").applyInArrow(spread, _schema(solved, by, "x long", "y long", *(f"{c} double" for c in planes)))
     return out.withColumn("open", F.col("open").cast("int"))
 
 

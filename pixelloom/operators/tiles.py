@@ -112,25 +112,34 @@ def from_tiles(tiles: DataFrame, channels: tuple = RGBA, by: Keys = (), tile: in
     return tiles.mapInArrow(spread, _schema(tiles, by, "x long", "y long", *(f"{c} {'double' if real else 'long'}" for c in channels)))
 
 
+def pieces(row: dict, planes: np.ndarray, reach: int, tile: int) -> dict[str, list]:
+    """What a tile gives to itself and to all tiles within ``reach`` (tx, ty of the receiver): x, y, w, h of the piece and its data."""
+    around, out = -(-reach // tile), []
+    lo_x, lo_y = row["tx"] * tile, row["ty"] * tile
+    for ty in range(max(row["ty"] - around, row["y0"] // tile), min(row["ty"] + around, (row["y1"] - 1) // tile) + 1):
+        for tx in range(max(row["tx"] - around, row["x0"] // tile), min(row["tx"] + around, (row["x1"] - 1) // tile) + 1):
+            xa, xb = max(lo_x, tx * tile - reach), min(lo_x + tile, (tx + 1) * tile + reach)
+            ya, yb = max(lo_y, ty * tile - reach), min(lo_y + tile, (ty + 1) * tile + reach)
+            if xa < xb and ya < yb:
+                out.append((tx, ty, xa, ya, xb - xa, yb - ya, np.ascontiguousarray(planes[:, ya - lo_y : yb - lo_y, xa - lo_x : xb - lo_x]).tobytes()))
+    return {n: list(v) for n, v in zip(("tx", "ty", "px", "py", "pw", "ph", "data"), zip(*out))}
+
+
 def _strips(tiles: DataFrame, reach: int, channels: int, by: Keys, tile: int, dtype: str) -> DataFrame:
     """What each tile needs of itself and of all tiles within ``reach``: a row (its tx, ty; x, y, w, h of the piece; data)."""
-    around = -(-reach // tile)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in _rows_of(b, by):
-                planes, out = _planes(row["data"], channels, tile, dtype), []
-                lo_x, lo_y = row["tx"] * tile, row["ty"] * tile
-                for ty in range(max(row["ty"] - around, row["y0"] // tile), min(row["ty"] + around, (row["y1"] - 1) // tile) + 1):
-                    for tx in range(max(row["tx"] - around, row["x0"] // tile), min(row["tx"] + around, (row["x1"] - 1) // tile) + 1):
-                        xa, xb = max(lo_x, tx * tile - reach), min(lo_x + tile, (tx + 1) * tile + reach)
-                        ya, yb = max(lo_y, ty * tile - reach), min(lo_y + tile, (ty + 1) * tile + reach)
-                        if xa < xb and ya < yb:
-                            out.append((tx, ty, xa, ya, xb - xa, yb - ya, np.ascontiguousarray(planes[:, ya - lo_y : yb - lo_y, xa - lo_x : xb - lo_x]).tobytes()))
-                same = {c: pa.array([row[c]] * len(out), b.schema.field(c).type) for c in (*by, *BOUNDS)}
-                yield pa.RecordBatch.from_pydict(same | {n: list(v) for n, v in zip(("tx", "ty", "px", "py", "pw", "ph", "data"), zip(*out))})
-
-    return tiles.mapInArrow(deal, _schema(tiles, (*by, *BOUNDS), "tx long", "ty long", "px long", "py long", "pw long", "ph long", "data binary"))
+                out = pieces(row, _planes(row["data"], channels, tile, dtype), reach, tile)
+                same = {c: pa.array([row[c]] * len(out["tx"]), b.schema.field(c).type) for c in (*by, *BOUNDS)}
+                yield pa.RecordBatch.from_pydict(same | out)
+
+    return tiles.mapInArrow(deal, _strips_schema(tiles, by))
+
+
+def _strips_schema(tiles: DataFrame, by: Keys) -> str:
+    return _schema(tiles, (*by, *BOUNDS), "tx long", "ty long", "px long", "py long", "pw long", "ph long", "data binary")
 
 
 def haloed(t: pa.Table, reach: int, channels: int, tile: int, dtype: str) -> np.ndarray:
