@@ -1,30 +1,69 @@
-"""Connected regions of pixels: runs along rows, then components of the graph of touching runs."""
+"""Connected regions of pixels: runs along rows, then components of the graph of touching runs, cell by cell."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.operators.staging import cut
 
+#: A node is y * 2^ROW + x.
+ROW = 31
+#: Sides of the first cells, and how many times as long each further one is, as powers of two.
+SIDE, GROWTH = 8, 4
+
+
+def least_joined(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of edges, and the least node that they join each to: roots hook onto lesser ones until no edge is between two."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root, a, b = np.arange(len(nodes)), at[: len(u)], at[len(u) :]
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return nodes, nodes[root]
+        a, b = ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node that ``edges`` (u, v) join each node to.
+    """(node, label) for each node that ``edges`` (u, v) join to a lesser one: the least of all that it is joined to.
 
-    Each round takes the least label of the neighbours and jumps to the label's
-    own label, so rounds grow with the logarithm of the longest path. Tables as
-    long as the graph are merged, as packed files look small enough to broadcast.
+    The edges within a square cell are taken in one task and leave its nodes as
+    stars about the least of them; edges between cells then join those, in
+    cells sixteen times as long. So rounds grow with the logarithm of the
+    raster's side, whatever way a region winds, and a task holds the edges
+    along the borders of 16 x 16 cells. Tables as long as the graph are merged,
+    as packed files look small enough to broadcast.
     """
-    both = cut(edges.union(edges.select("v", "u")).where("u <> v").distinct())
-    now = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
+
+    def link(t: pa.Table) -> pa.Table:
+        nodes, roots = least_joined(t.column("u").to_numpy(), t.column("v").to_numpy())
+        less = nodes != roots
+        return pa.table({"node": nodes[less], "root": roots[less]})
+
+    rest, levels, shift = cut(edges.where("u <> v")), [], SIDE
     while True:
-        labels = now.select(F.col("node").alias("v"), F.col("label").alias("l"))
-        near = both.join(labels.hint("merge"), "v").groupBy(F.col("u").alias("node")).agg(F.min("l").alias("m"))
-        low = cut(now.join(near.hint("merge"), "node").select("node", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")))
-        to = low.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        now = cut(low.join(to.hint("merge"), "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")))
-        if low.where("moved").isEmpty():
-            return now
+        cell = lambda c: (F.shiftright(c, min(63, ROW + shift)), F.shiftright(F.col(c).bitwiseAND((1 << ROW) - 1), min(ROW, shift)))  # noqa: B023, E731
+        cells = rest.select("u", "v", *(c.alias(n) for c, n in zip(cell("u"), ("cy", "cx"))), *(c.alias(n) for c, n in zip(cell("v"), ("dy", "dx"))))
+        stars = cut(cells.where("cy = dy and cx = dx").groupBy("cy", "cx").applyInArrow(link, "node long, root long"))
+        levels.append(stars)
+        rest = cells.where("cy <> dy or cx <> dx").select("u", "v")
+        for c in ("u", "v"):
+            rest = rest.join(stars.hint("merge"), F.col(c) == F.col("node"), "left").withColumn(c, F.coalesce("root", c)).drop("node", "root")
+        rest = cut(rest.distinct())
+        if rest.isEmpty():
+            break
+        shift += GROWTH
+    found = levels.pop().withColumnRenamed("root", "label")
+    while levels:
+        to = found.select(F.col("node").alias("root"), "label")
+        found = cut(levels.pop().join(to.hint("merge"), "root", "left").select("node", F.coalesce("label", "root").alias("label")).union(found))
+    return found
 
 
 def regions(px: DataFrame, linked: Column, columns: tuple) -> DataFrame:
