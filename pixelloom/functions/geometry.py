@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Pixels a side of a tile, and how tile coordinates are packed into one number.
 TILE = 256
@@ -177,6 +180,20 @@ def decompose(m: Column) -> Column:
     return F.struct(sx.alias("scale_x"), d.alias("scale_y"), angle.alias("rotation"), F.when(d == 0, 0.0).otherwise(F.atan2(c, d)).alias("skew_x"))
 
 
+def _by_library(fn):
+    """``fn`` of angles as the C library rounds it, which SQL engines call; Java's own differs in the last bit of some."""
+
+    def run(angles: pa.Array) -> pa.Array:
+        every, at = np.unique(angles.fill_null(0.0).to_numpy(zero_copy_only=False), return_inverse=True)
+        made = np.array([fn(a) if math.isfinite(a) else math.nan for a in every.tolist()], float)
+        return pa.array(made[at], pa.float64(), mask=angles.is_null().to_numpy(zero_copy_only=False))
+
+    return F.arrow_udf(run, DoubleType())
+
+
+_cos, _sin = _by_library(math.cos), _by_library(math.sin)
+
+
 def view(zoom, cx, cy, rotation, width, height) -> Column:
     names = ("zoom", "cx", "cy", "rotation", "width", "height")
     return F.struct(*(_col(v).cast("double").alias(n) for v, n in zip((zoom, cx, cy, rotation, width, height), names, strict=True)))
@@ -184,14 +201,14 @@ def view(zoom, cx, cy, rotation, width, height) -> Column:
 
 def to_screen(v: Column) -> Column:
     """Document to screen: the centre goes to the middle, scaled, then turned."""
-    c, s, z = F.cos(v["rotation"]), F.sin(v["rotation"]), v["zoom"]
+    c, s, z = _cos(v["rotation"]), _sin(v["rotation"]), v["zoom"]
     # The centre is turned before it is scaled, as the SQL rounds it.
     return mat(c * z, s * z, -s * z, c * z, v["width"] / 2 - z * (c * v["cx"] - s * v["cy"]), v["height"] / 2 - z * (s * v["cx"] + c * v["cy"]))
 
 
 def _from_middle(v: Column, x, y) -> tuple[Column, Column]:
     """A screen point as an offset from the view's centre, turned back, not yet scaled."""
-    c, s, dx, dy = F.cos(v["rotation"]), F.sin(v["rotation"]), x - v["width"] / 2, y - v["height"] / 2
+    c, s, dx, dy = _cos(v["rotation"]), _sin(v["rotation"]), x - v["width"] / 2, y - v["height"] / 2
     return dx * c + dy * s, dy * c - dx * s
 
 
@@ -203,7 +220,7 @@ def at_screen(v: Column, x, y) -> tuple[Column, Column]:
 
 def visible(v: Column) -> Column:
     """Whole-pixel bounds of what a view shows: the turned window's half sides around the centre."""
-    c, s = F.abs(F.cos(v["rotation"])), F.abs(F.sin(v["rotation"]))
+    c, s = F.abs(_cos(v["rotation"])), F.abs(_sin(v["rotation"]))
     half_x, half_y = (v["width"] * c + v["height"] * s) / v["zoom"] / 2, (v["width"] * s + v["height"] * c) / v["zoom"] / 2
     return rect(F.floor(v["cx"] - half_x), F.floor(v["cy"] - half_y), F.ceil(v["cx"] + half_x), F.ceil(v["cy"] + half_y))
 
@@ -211,8 +228,10 @@ def visible(v: Column) -> Column:
 def zoom_at(v: Column, factor, x, y) -> Column:
     """The view zoomed so that the point under (x, y) stays there."""
     zoom = F.least(F.lit(MAX_ZOOM), F.greatest(F.lit(MIN_ZOOM), v["zoom"] * factor))
-    dx, dy = _from_middle(v, x, y)
-    return view(zoom, v["cx"] + dx / v["zoom"] - dx / zoom, v["cy"] + dy / v["zoom"] - dy / zoom, v["rotation"], v["width"], v["height"])
+    by = F.least(F.lit(MAX_ZOOM) / v["zoom"], F.greatest(F.lit(MIN_ZOOM) / v["zoom"], _col(factor).cast("double")))
+    dx, dy = (d / v["zoom"] for d in _from_middle(v, x, y))
+    # The offset is scaled twice, as the SQL rounds it.
+    return view(zoom, v["cx"] + dx - dx / by, v["cy"] + dy - dy / by, v["rotation"], v["width"], v["height"])
 
 
 def fit(v: Column, width, height, pad: float = 32) -> Column:
